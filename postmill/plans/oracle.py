@@ -184,11 +184,8 @@ MARKUP = rf"""(?s)<!--.*?(?:-->|\z)|<(?:>|(?:[^\s>"'']|{QUOTED})[^>"'']*(?:{QUOT
 
 
 def page_text(c: str) -> str:
-    kept = c
-    for name in ("head", "title", "style", "script"):
-        kept = kept  # one alternation below: the leftmost element wins
     elements = "(?is)" + "|".join(f"<{n}[^>]*>.*?</{n}>" for n in ("head", "title", "style", "script"))
-    text = f"trim(regexp_replace(regexp_replace({kept}, '{elements}', '', 'g'), '{MARKUP}', '', 'g'), {SPACE})"
+    text = f"trim(regexp_replace(regexp_replace({c}, '{elements}', '', 'g'), '{MARKUP}', '', 'g'), {SPACE})"
     for entity, char in ENTITY_PAIRS:
         text = f"replace({text}, '{entity}', '{char}')"
     return text
@@ -587,5 +584,127 @@ texts as (
 select calendar, cast(0 as bigint) as segment, strlen(ics) as n_bytes, md5(ics) as ics_md5 from texts"""
 
 
+SQL["sanitize_pages_counts"] = f"""
+with balance as ({SQL['tag_balance']})
+select p.page_id, cast(coalesce(sum(dropped), 0) as bigint) as n_dropped, cast(coalesce(sum(left_open), 0) as bigint) as n_closed
+from pages p left join balance b on b.page_id = p.page_id group by p.page_id"""
+SQL["embed_assets"] = f"""
+with {references('src|background')},
+pairs as (
+  select page_id, list({{'page': ref, 'new': split_part(ref, '=', 1) || '="cid:' || cid || '"'}} order by pos) as swaps
+  from refs where class = 'data_uri' or (class = 'relative' and url in (select url from assets)) group by page_id)
+select p.page_id, md5(case when swaps is null then html else list_reduce(
+  list_prepend({{'page': html, 'new': ''}}, swaps), lambda a, s: {{'page': replace(a.page, s.page, s.new), 'new': ''}}).page end) as html_md5
+from pages_media p left join pairs on pairs.page_id = p.page_id"""
+ATOM = "[!#-''*+/-9=?^-~-]+"
+LABEL = "[a-z0-9]([a-z0-9-]*[a-z0-9])?"
+# No address here is quoted or has a literal host, so what is left of the stricter pattern is atoms and labels.
+PCRE = (
+    f"(regexp_matches(address, '(?i)^{ATOM}(\\.{ATOM})*@{LABEL}(\\.{LABEL}){{0,126}}\\z') and strlen(address) < 255"
+    " and strpos(address, '@') <= 65 and not regexp_matches(address, '(?i)[@.][a-z0-9-]{64}'))"
+)
+SQL["validate_addresses_pcre"] = f"""
+with {CLEAN} select {ROW}, coalesce({REASON.format(valid=PCRE)}, '') as reason from clean"""
+
+# Sources
+
+SQL["read_transcript"] = r"""
+with stamped as (
+  select *, regexp_extract(value, '^([0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2})\t', 1) as stamp,
+    regexp_replace(value, '^[0-9: -]{19}\t', '') as rest from debug_lines),
+parsed as (
+  select log, line_no, nullif(stamp, '') as ts,
+    case when stamp = '' then null else regexp_extract(rest, '^(CLIENT -> SERVER|SERVER -> CLIENT): ?', 1) end as direction,
+    case when stamp = '' then ltrim(replace(value, chr(9), '')) else regexp_replace(rest, '^(CLIENT -> SERVER|SERVER -> CLIENT): ?', '') end as text
+  from stamped)
+select log, line_no, last_value(ts ignore nulls) over w as ts, coalesce(last_value(direction ignore nulls) over w, '') as direction, text
+from parsed window w as (partition by log order by line_no rows between unbounded preceding and current row)"""
+SQL["read_catalogue"] = """
+select lower(p_brand) as lang, p_name as message_key, arg_max(p_type, p_partkey) || '''s' as message
+from part where p_size % 5 <> 0 group by 1, 2"""
+
+# Rendering
+
+MESSAGE_REF = SQL["message_ids"].split("message_id, ", 1)[1].split(" as message_ref", 1)[0]
+CONTENT = """case when message_type = 'inline' then 'multipart/related' when message_type in ('alt', 'alt_inline')
+  then 'multipart/alternative' when message_type = 'plain' then content_type || '; charset=' || charset else 'multipart/mixed' end"""
+SQL["header_lines"] = f"""
+with {ACCEPTED}, {TYPED},
+named as (
+  select *, {MESSAGE_REF} as message_ref, trim(from_address, {SPACE}) as sent_by, {secured('from_name')} as phrase,
+    trim(confirm_to, {SPACE}) as confirm from typed),
+lines as (
+  select message_id, 1 as pos, 0 as seq, 'Date' as name, strftime(sent_at, '%a, %-d %b %Y %H:%M:%S +0000') as value from named
+  union all select message_id, 3, 0, 'From', '"' || replace(phrase, '"', chr(92) || '"') || '" <' || sent_by || '>' from named
+  union all select message_id, 7, 0, 'Subject', {secured('subject')} from named
+  union all select message_id, 8, 0, 'Message-ID', message_ref from named
+  union all select message_id, 10, 0, 'X-Mailer', 'postmill' from named
+  union all select message_id, 11, 0, 'Disposition-Notification-To', '<' || confirm || '>' from named where confirm <> ''
+  union all select message_id, 13, 0, 'MIME-Version', '1.0' from named
+  union all select message_id, 14, 0, 'Content-Type', {CONTENT} || case when message_type = 'plain' then '' else ';' || chr(13) || chr(10)
+    || chr(9) || 'boundary="b1_' || md5(cast(message_id as varchar)) || '"' end from named
+  union all select message_id, 15, 0, 'Content-Transfer-Encoding', encoding from named where message_type = 'plain' or encoding = '8bit'
+  union all
+  select message_id, case label when 'To' then 2 when 'Cc' then 4 else 6 end, 0, label,
+    string_agg('"' || replace(name, '"', chr(92) || '"') || '" <' || address || '>', ', ' order by kind_rank, seq, t1, t2, address)
+  from (select *, case kind when 'to' then 'To' when 'cc' then 'Cc' else kind end as label from accepted where kind <> 'bcc')
+  group by message_id, label
+  union all
+  select message_id, 2, 0, 'To', 'undisclosed-recipients:;' from messages m
+  where not exists (select 1 from accepted a where a.message_id = m.message_id and a.kind in ('to', 'cc'))
+  union all
+  select message_id, 12, seq, trim(split_part(raw, ':', 1), {SPACE}),
+    case when contains(raw, ':') then trim(substr(raw, strpos(raw, ':') + 1), {SPACE}) else '' end from raw_headers)
+select message_id, cast(pos as bigint) as pos, cast(seq as bigint) as seq, name, value from lines"""
+
+# Streams, as batches
+
+SQL["delivery_rate"] = """
+select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as window_start, command, count(*) as n_attempts,
+  count(*) filter (not is_sent) as n_failed from delivery_log group by 1, 2"""
+SQL["delivery_rate_sliding"] = """
+with slots as (select *, time_bucket(interval '30 minutes', ts) as half from delivery_log),
+windows as (select *, half as window_start from slots union all select *, half - interval '30 minutes' from slots)
+select strftime(window_start, '%Y-%m-%d %H:%M:%S') as window_start, command, count(*) as n_attempts,
+  count(*) filter (not is_sent) as n_failed from windows group by 1, 2"""
+SQL["connection_sessions"] = """
+with gaps as (
+  select *, coalesce(ts - lag(ts) over (partition by session_id order by ts) > interval '300 seconds', true) as starts from delivery_log),
+numbered as (
+  select *, sum(cast(starts as int)) over (partition by session_id order by ts, event_id rows unbounded preceding) as n from gaps)
+select session_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') as started, count(*) as n_attempts,
+  count(*) filter (not is_sent) as n_failed from numbered group by session_id, n"""
+SQL["live_dedup"] = """
+with feed as (
+  select session_id % 20 as message_id, ts, event_id,
+    concat(case when is_sent then 'U.' else 'u.' end, cast(event_id % 50 as varchar), '@example.com') as address from delivery_log)
+select message_id, address, event_id from feed
+qualify row_number() over (partition by message_id, lower(address) order by ts, event_id) = 1"""
+SQL["live_unexpected"] = UNEXPECTED
+SQL["recipient_ledger"] = """
+with clears as (select message_id, seq, op, kind from ledger_commands where op = 'clear'),
+adds as (
+  select *, lower(address) as name, kind = 'Reply-To' as reply from ledger_commands where op = 'add'),
+names as (select distinct message_id, name, reply from adds),
+steps as (
+  select message_id, name, reply, seq, op, kind from adds
+  union all
+  select n.message_id, n.name, n.reply, c.seq, c.op, c.kind from names n join clears c on c.message_id = n.message_id
+  where (n.reply and c.kind = 'Reply-To') or (not n.reply and c.kind <> 'Reply-To')),
+replayed as (
+  select message_id, name, reply, list_reduce(
+    list_prepend({'seq': cast(-1 as bigint), 'op': '', 'kind': '', 'owner': '', 'got': cast([] as bigint[])},
+      list({'seq': seq, 'op': op, 'kind': kind, 'owner': '', 'got': cast([] as bigint[])} order by seq)),
+    lambda a, x: {'seq': x.seq, 'op': '', 'kind': '',
+      'owner': case when x.op = 'add' and a.owner = '' then x.kind
+                    when x.op = 'clear' and (x.kind = 'all' or x.kind = a.owner) then '' else a.owner end,
+      'got': case when x.op = 'add' and a.owner = '' then list_append(a.got, x.seq) else a.got end}) as r
+  from steps group by message_id, name, reply),
+accepted as (
+  select message_id, unnest(r.got) as seq, r.got[len(r.got)] as newest, r.owner as owner from replayed)
+select a.message_id, a.seq, c.kind, c.address, cast(a.seq = a.newest and a.owner <> '' as bigint) as listed
+from accepted a join adds c on c.message_id = a.message_id and c.seq = a.seq"""
+
+
 def oracle_queries() -> dict[str, str]:
     return {name: with_views(sql) for name, sql in SQL.items()}

@@ -18,8 +18,14 @@ from postmill.operators import messages as msg
 from postmill.operators import pages as pag
 from postmill.operators import recipients as rec
 from postmill.operators import replies as rep
+from postmill.operators.render import attachment_texts, header_block, ready, render_corpus, render_text_messages
 from postmill.operators.sanitise import sanitize_pages
-from postmill.plans.views import view
+from postmill.plans.views import table, view
+from postmill.sources.catalogues import parse_catalogue
+from postmill.sources.files import attachment_files
+from postmill.sources.transcripts import parse_transcript
+from postmill.streaming import delivery as live
+from postmill.streaming.ledger import recipient_ledger as ledger
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -440,9 +446,13 @@ def tag_balance(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query
-def sanitize_pages_clean(spark: SparkSession, d: str) -> DataFrame:
-    clean = sanitize_pages(view(spark, d, "pages_media"))
-    return clean.select("page_id", "n_dropped", "n_closed", F.md5("html").alias("html_md5"))
+def sanitize_pages_counts(spark: SparkSession, d: str) -> DataFrame:
+    return sanitize_pages(view(spark, d, "pages_media")).select("page_id", "n_dropped", "n_closed")
+
+
+@query
+def sanitize_pages_html(spark: SparkSession, d: str) -> DataFrame:
+    return sanitize_pages(view(spark, d, "pages_media"))
 
 
 # Replies and outcomes
@@ -534,3 +544,127 @@ def translation_coverage(spark: SparkSession, d: str) -> DataFrame:
 def calendar_export(spark: SparkSession, d: str) -> DataFrame:
     texts = cal.calendar_export(view(spark, d, "calendar_events"), "20240101T000000Z")
     return texts.select("calendar", "segment", F.octet_length("ics").cast("bigint").alias("n_bytes"), F.md5("ics").alias("ics_md5"))
+
+
+# Sources
+
+
+@query
+def attachment_files_list(spark: SparkSession, d: str) -> DataFrame:
+    return attachment_files(spark, f"{d}/*.parquet").select("name", "n_bytes")
+
+
+@query
+def read_transcript(spark: SparkSession, d: str) -> DataFrame:
+    lines = parse_transcript(view(spark, d, "debug_lines"))
+    return lines.select("log", "line_no", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "direction", "text")
+
+
+@query
+def read_catalogue(spark: SparkSession, d: str) -> DataFrame:
+    value = F.concat(
+        F.when(F.col("p_size") % 5 == 0, "// ").otherwise(""), F.lit("$TEXTS['"), "p_name", F.lit("'] = '"), "p_type", F.lit("\\'s';")
+    )
+    lines = table(spark, d, "part").select(F.lower("p_brand").alias("lang"), F.col("p_partkey").alias("line_no"), value.alias("value"))
+    return cat.latest_translations(parse_catalogue(lines))
+
+
+# Rendering
+
+
+def _message_parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    messages = msg.default_sender(view(spark, d, "messages"))
+    recipients = rec.accepted_recipients(view(spark, d, "raw_recipients"))
+    headers = msg.custom_headers(view(spark, d, "raw_headers"))
+    files = att.mime_types(view(spark, d, "attachments"), "name").select(
+        "message_id", "seq", "t1", "t2", "name", "mime", "disposition", "encoding", "cid",
+        F.concat(F.lit("content of "), "name").cast("binary").alias("content"),
+    )
+    return messages, recipients, headers, files
+
+
+@query
+def header_lines(spark: SparkSession, d: str) -> DataFrame:
+    messages, recipients, headers, files = _message_parts(spark, d)
+    return header_block(ready(messages, files), recipients, headers, host="mx.example.com")
+
+
+@query
+def attachment_parts(spark: SparkSession, d: str) -> DataFrame:
+    messages, _, _, files = _message_parts(spark, d)
+    parts = attachment_texts(msg.message_type(messages, files), files)
+    return parts.select("message_id", "pos", "seq", "t1", "t2", F.md5("piece").alias("piece_md5"))
+
+
+@query
+def render_messages(spark: SparkSession, d: str) -> DataFrame:
+    return render_corpus(*_message_parts(spark, d), host="mx.example.com")
+
+
+@query
+def render_texts(spark: SparkSession, d: str) -> DataFrame:
+    messages, recipients, headers, _ = _message_parts(spark, d)
+    return render_text_messages(messages, recipients, headers, host="mx.example.com")
+
+
+@query
+def render_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The documents as messages: 8-bit, 7-bit and, for long lines, quoted-printable bodies."""
+    docs = view(spark, d, "messages_text").select(
+        "message_id", "body", "alt_body", "encoding", "charset", F.lit("text/plain").alias("content_type"),
+        F.lit("").alias("ical"), F.lit("").alias("given_id"), F.lit("").alias("confirm_to"), F.lit("Mañana").alias("from_name"),
+        F.lit("docs@example.com").alias("from_address"), F.concat(F.lit("Über "), "source").alias("subject"),
+        F.timestamp_seconds("message_id").alias("sent_at"),
+    )
+    zero = F.lit(0).cast("bigint")
+    to = docs.select(
+        "message_id", zero.alias("kind_rank"), F.lit("to").alias("kind"), zero.alias("seq"), zero.alias("t1"), zero.alias("t2"),
+        F.concat(F.lit("reader."), F.col("message_id").cast("string"), F.lit("@example.com")).alias("address"), F.lit("").alias("name"),
+    )
+    none = view(spark, d, "raw_headers").filter("false").withColumns({"name": F.lit(""), "value": F.lit("")})
+    return render_text_messages(docs, to, none)
+
+
+# Streams, as batches
+
+
+def _rate(log: DataFrame, *window: str) -> DataFrame:
+    rate = live.delivery_rate(log, *window)
+    return rate.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query
+def delivery_rate(spark: SparkSession, d: str) -> DataFrame:
+    return _rate(view(spark, d, "delivery_log"), "1 hour")
+
+
+@query
+def delivery_rate_sliding(spark: SparkSession, d: str) -> DataFrame:
+    return _rate(view(spark, d, "delivery_log"), "1 hour", "30 minutes")
+
+
+@query
+def connection_sessions(spark: SparkSession, d: str) -> DataFrame:
+    sessions = live.connection_sessions(view(spark, d, "delivery_log"))
+    return sessions.withColumn("started", F.date_format("started", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
+@query
+def live_dedup(spark: SparkSession, d: str) -> DataFrame:
+    feed = view(spark, d, "delivery_log").select(
+        (F.col("session_id") % 20).alias("message_id"), "ts", "event_id",
+        F.concat(F.when(F.col("is_sent"), "U.").otherwise("u."), (F.col("event_id") % 50).cast("string"), F.lit("@example.com")).alias("address"),
+    )
+    return live.live_dedup(feed).select("message_id", "address", "event_id")
+
+
+@query
+def live_unexpected(spark: SparkSession, d: str) -> DataFrame:
+    found = live.live_unexpected(view(spark, d, "delivery_log"))
+    return found.select("event_id", "command", F.col("code").cast("bigint").alias("code"), "detail")
+
+
+@query
+def recipient_ledger(spark: SparkSession, d: str) -> DataFrame:
+    kept = ledger(view(spark, d, "ledger_commands"))
+    return kept.withColumn("listed", F.col("listed").cast("bigint"))

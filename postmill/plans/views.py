@@ -148,6 +148,17 @@ select user_id, event_id * 3 + 2,
        case when event_type = 'signup' then 'EHLO' else 'QUIT' end
 from events"""
 
+# Debug log lines: every second event is followed by a folded line.
+VIEWS["debug_lines"] = """
+select user_id as log, event_id * 2 as line_no,
+       concat(substr(cast(ts as {text}), 1, 19), chr(9),
+              case when event_type = 'click' then 'CLIENT -> SERVER: RCPT TO' when event_type = 'view' then 'connecting'
+                   else 'SERVER -> CLIENT: 250 ok' end) as value
+from events
+union all
+select user_id, event_id * 2 + 1, concat('                   ', chr(9), '                  more ', event_type)
+from events where event_id % 2 = 0"""
+
 VIEWS["rcpt_results"] = """
 select l_orderkey as message_id, l_linenumber as attempt, l_suppkey as t1, l_partkey as t2,
        concat('supplier.', cast(l_suppkey as {text}), '@supply.example.com') as address,
@@ -218,7 +229,8 @@ select l_orderkey as message_id,
             when l_partkey % 4 = 2 then 'to' else 'Reply-To' end as kind,
        case when l_quantity < 8 then '' when l_partkey % 2 = 0 then concat('S.', cast(l_suppkey % 3 as {text}), '@example.com')
             else concat('s.', cast(l_suppkey % 3 as {text}), '@example.com') end as address
-from lineitem"""
+from (select l_orderkey, l_linenumber, l_suppkey, l_partkey, min(l_quantity) as l_quantity from lineitem
+      group by l_orderkey, l_linenumber, l_suppkey, l_partkey) lines"""
 
 VIEWS["file_names"] = """
 select l_partkey as file_id, l_suppkey as t1, l_linenumber as t2,
