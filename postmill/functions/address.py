@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from postmill.functions.text import byte_string, has_8bit, has_break
 
@@ -54,7 +55,7 @@ def address_key(c: Column) -> Column:
     return F.lower(c)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _ascii_domain(domains: pd.Series) -> pd.Series:
     def convert(domain: str) -> str:
         try:

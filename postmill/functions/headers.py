@@ -7,6 +7,7 @@ import base64
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from postmill.functions.text import byte_string, has_8bit
 
@@ -16,10 +17,18 @@ NEEDS_ENCODING = {
     "comment": r"()\x22\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\xFF",
     "phrase": r"\x00-\x1F\x22\x5C\x7F-\xFF",
 }
+CONTROLS = (*range(32), 127)
 CONTROL_LETTERS = {7: "a", 8: "b", 9: "t", 10: "n", 11: "v", 12: "f", 13: "r"}
 PLAIN_PHRASE = r"^[A-Za-z0-9!#$%&'*+/=?^_`{|}~ -]*\z"
 
 
+def _control_escape(char: Column) -> Column:
+    """A control character as backslash and letter, or as three octal digits."""
+    octal = F.lpad(F.conv(F.ascii(char).cast("string"), 10, 8), 3, "0")
+    letters = F.create_map(*[F.lit(x) for code, letter in CONTROL_LETTERS.items() for x in (chr(code), letter)])
+    return F.concat(F.lit("\\"), F.coalesce(letters[char], octal))
+
+
 def bytes_to_encode(c: Column, position: str = "text") -> Column:
     """Bytes of a header text that need encoding."""
     return F.length(F.regexp_replace(byte_string(c), f"[^{NEEDS_ENCODING[position]}]+", "")).cast("bigint")
@@ -34,9 +43,8 @@ def encoding_scheme(c: Column, position: str = "text") -> Column:
 def phrase(c: Column) -> Column:
     """A display name as written in a header. ASCII names only; see ``encoded_words`` for others."""
     escaped = F.regexp_replace(c, r"[\\\"]", r"\\$0")
-    controls = escaped
-    for code in [*range(32), 127]:
-        controls = F.replace(controls, F.lit(chr(code)), F.lit("\\" + CONTROL_LETTERS.get(code, f"{code:03o}")))
+    codes = F.lit([chr(code) for code in CONTROLS])
+    controls = F.aggregate(codes, escaped, lambda text, code: F.replace(text, code, _control_escape(code)))
     escaped = F.when(c.rlike(r"[\x00-\x1F\x7F]"), controls).otherwise(escaped)
     return F.when(has_8bit(c) | c.rlike(PLAIN_PHRASE), c).otherwise(F.concat(F.lit('"'), escaped, F.lit('"')))
 
@@ -70,7 +78,7 @@ def _words(text: str, position: str, charset: str) -> str:
 def encoded_words(position: str = "text", charset: str = "utf-8"):
     """Arrow function giving header texts as encoded words of at most 75 characters; ASCII texts stay as they are."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def encode(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: t if t is None else _words(t, position, charset))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,6 +34,11 @@ QUOTED = r"""(?:"[^"]*(?:"|\z)|'[^']*(?:'|\z))"""
 MARKUP = rf"""{COMMENT}|<(?:>|(?:[^\s>"']|{QUOTED})[^>"']*(?:{QUOTED}[^>"']*)*(?:>|\z))"""
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once per row, however often ``use`` names it, inside lambdas too."""
+    return F.transform(F.array(value), use)[0]
+
+
 def element(names: Iterable[str], closed: str = r"</{name}>") -> str:
     """Pattern of whole elements, content included, one alternative per name."""
     return "(?is)" + "|".join(rf"<{n}[^>]*>.*?{closed.format(name=n)}" for n in names)
@@ -80,15 +85,30 @@ def _decoded_once(value: Column) -> Column:
     return F.array_join(F.transform(pieces, literal), "")
 
 
+def _defanged(value: Column) -> Column:
+    digits = F.length(value) - F.length(F.translate(value, "0123456789abcdefABCDEF", ""))
+    start = F.struct(value.alias("text"), F.lit(True).alias("more"))
+
+    def decode(state: Column, _: Column) -> Column:
+        text = state["text"]
+        coded = text.rlike(r"(?i)&#[0-9]|&#x[0-9a-f]|\\[0-9]")
+        decoded = bound(
+            coded, lambda yes: F.struct(F.when(yes, _decoded_once(text)).otherwise(text).alias("text"), yes.alias("more"))
+        )
+        return F.when(state["more"], decoded).otherwise(state)
+
+    decoded = F.aggregate(F.sequence(F.lit(0), digits), start, decode)["text"]
+    hiding = value.contains("&#") | value.contains("\\")
+    return F.when(hiding, F.regexp_replace(decoded, r"(?s)\\(.?)", "$1")).otherwise(value)
+
+
 def defanged(value: Column) -> Column:
-    """Decode again and again until nothing is left to decode, then drop backslashes. Each pass uses up at least one
-    & or backslash, so their number bounds the passes."""
-    marks = F.length(value) - F.length(F.translate(value, "&\\", ""))
-    passes = F.sequence(F.lit(1), F.greatest(marks, F.lit(1)))
-    decoded = F.aggregate(
-        passes, value, lambda v, _: F.when(v.rlike(r"(?i)&#[0-9]|&#x[0-9a-f]|\\[0-9]"), _decoded_once(v)).otherwise(v)
-    )
-    return F.when(marks > 0, F.regexp_replace(decoded, r"(?s)\\(.?)", "$1")).otherwise(value)
+    """Decode again and again until nothing is left to decode, then drop backslashes.
+
+    Every decoding pass uses up more digits than it can bring forth, so their number bounds the passes; once a pass
+    finds nothing, the rest only pass the text along.
+    """
+    return bound(value, _defanged)
 
 
 def unspaced(value: Column) -> Column:

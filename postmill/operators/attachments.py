@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from postmill.session import small_table
+
 # File extensions and the types they stand for. Anything else is DEFAULT_TYPE.
 DEFAULT_TYPE = "application/octet-stream"
 OOXML = "application/vnd.openxmlformats-officedocument."
@@ -79,7 +81,7 @@ PATH = r"(?i)^(.*?)[\\/]*(([^/\\]*?)(\.([^.\\/]+?)|))[\\/.]*$"
 
 def type_table(spark: SparkSession) -> DataFrame:
     rows = [(ext, mime) for mime, exts in EXTENSIONS_BY_TYPE.items() for ext in exts.split()]
-    return spark.createDataFrame(rows, "ext string, mime string")
+    return small_table(spark, ("ext", "mime"), rows)
 
 
 def path_parts(path: Column) -> dict[str, Column]:

@@ -41,7 +41,9 @@ def calendar_export(events: DataFrame, stamped: str, segment_rows: int = SEGMENT
         F.concat(F.lit("URL;VALUE=URI:"), F.col("url")),
         F.lit("END:VEVENT"),
     )
-    texts = ordered_concat(events.withColumn("_entry", entry), ["calendar"], ["seq"], "_entry", "\n", segment_rows)
+    texts = ordered_concat(
+        events.withColumn("_entry", entry), ["calendar"], ["seq"], "_entry", "\n", segment_rows, events
+    )
     name = F.concat(F.lit("X-WR-CALNAME:"), F.col("calendar").cast("string"))
     head = F.concat_ws("\n", *[F.lit(line) for line in HEADER], name, F.lit(PRODUCT))
     whole = F.concat_ws(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from postmill.functions.address import ascii_addresses, is_address
 from postmill.functions.text import base64_size, blank, has_8bit, has_long_line, lf_breaks, trimmed
+from postmill.session import small_table
 
 ENVELOPE_FIELDS = ("from_address", "sender", "confirm_to")
 
@@ -45,7 +46,7 @@ LAYOUT = (
 
 
 def layout_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(LAYOUT), "message_type string, pos bigint, part string, level bigint")
+    return small_table(spark, ("message_type", "pos", "part", "level"), LAYOUT)
 
 
 def validate_envelope_fields(

@@ -9,6 +9,7 @@ from collections.abc import Callable, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from postmill.functions import html as h
 from postmill.functions.text import crlf_breaks, blank, trimmed
@@ -39,7 +40,7 @@ def plain_text(html: Column) -> Column:
     return text
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _decode_entities(texts: pd.Series) -> pd.Series:
     closed = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
     return texts.str.replace(closed, lambda m: html.unescape(m.group()), regex=True)
@@ -176,15 +177,18 @@ def tag_attributes(tag_rows: DataFrame) -> DataFrame:
 
 def _attribute_rule(text: Column) -> Column:
     """(rule, name) of one attribute; a null rule where it may stay."""
-    name = F.lower(F.regexp_extract(text, r"^[\w-]+", 0))
     value = F.regexp_replace(F.regexp_replace(text, r"(?s)^[\w-]+(?:\s*=\s*)?", ""), r"""(?s)^(["'])(.*)\1$""", "$2")
     checked = h.unspaced(h.defanged(value))
-    rule = (
-        F.when(name.rlike(h.REMOVED_ATTRIBUTES), "removed_attribute")
-        .when(name.rlike("^src|background|^href|action") & checked.rlike(h.BAD_LINK), "script_value")
-        .when(name.startswith("style") & checked.rlike(h.BAD_STYLE), "style_value")
-    )
-    return F.struct(rule.alias("rule"), name.alias("name"))
+
+    def judged(name: Column) -> Column:
+        rule = (
+            F.when(name.rlike(h.REMOVED_ATTRIBUTES), "removed_attribute")
+            .when(name.rlike("^src|background|^href|action") & checked.rlike(h.BAD_LINK), "script_value")
+            .when(name.startswith("style") & checked.rlike(h.BAD_STYLE), "style_value")
+        )
+        return F.struct(rule.alias("rule"), name.alias("name"))
+
+    return h.bound(F.lower(F.regexp_extract(text, r"^[\w-]+", 0)), judged)
 
 
 def policy_violations(pages: DataFrame, column: str = "html") -> DataFrame:

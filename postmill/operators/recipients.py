@@ -162,12 +162,14 @@ def recipient_headers(
     transport: str = "smtp",
     segment_rows: int = SEGMENT,
     messages: DataFrame | None = None,
+    added: DataFrame | None = None,
 ) -> DataFrame:
     """Address header lines: ``message_id, kind, segment, header``.
 
     Bcc is written only for transports that read it from the header, To not for the one that writes its own. A message with neither to nor cc gets the
     undisclosed-recipients line; give ``messages`` to include those without any row here. A header of more than
-    ``segment_rows`` addresses is given as several segments, to be joined by ``', '``.
+    ``segment_rows`` addresses is given as several segments, to be joined by ``', '``. ``added`` names the recipients
+    before any check, if at hand: counting those spares a pass over the deduplicated ones.
     """
     shown = ["cc", REPLY_TO] + (["to"] if transport != "mail" else [])
     shown += ["bcc"] if transport in ("sendmail", "qmail", "mail") else []
@@ -175,7 +177,9 @@ def recipient_headers(
     entries = df.filter(F.col("kind").isin(*shown)).withColumns(
         {"entry": formatted(F.col("address"), F.col("name")), "label": F.when(_namespace(), REPLY_TO).otherwise(label)}
     )
-    lines = ordered_concat(entries, ["message_id", "label"], order, "entry", ", ", segment_rows).select(
+    lines = ordered_concat(
+        entries, ["message_id", "label"], order, "entry", ", ", segment_rows, added or df, ["message_id"]
+    ).select(
         "message_id",
         F.col("label").alias("kind"),
         "segment",

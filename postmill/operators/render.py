@@ -7,12 +7,14 @@ import quopri
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from postmill.functions.headers import encoded_words
 from postmill.functions.text import CRLF, blank, crlf_breaks, has_8bit, secured, trimmed
 from postmill.operators.messages import content_type, layout_table, message_ids, message_type, transfer_encoding
 from postmill.operators.ordered import ordered_concat
 from postmill.operators.recipients import ORDER, formatted, recipient_headers
+from postmill.session import small_table
 
 # Pieces of one message joined into one text: attachments are large, so segments are shorter than for addresses.
 SEGMENT_PIECES = 20_000
@@ -68,11 +70,12 @@ def header_block(
     x_mailer: str = "postmill",
     transport: str = "smtp",
     charset: str = "utf-8",
+    added: DataFrame | None = None,
 ) -> DataFrame:
     """``message_id, pos, seq, name, value``: the header lines of each message in order of (pos, seq).
 
     ``messages`` is typed and encoded; ``recipients`` are the accepted ones; ``headers`` are ``message_id, seq, name,
-    value``. To is one line of several rows where a message has very many recipients.
+    value``, and ``added`` the recipients before any check. To is one line of several rows where a message has very many recipients.
     """
     kind = F.col("message_type")
     multi = ~kind.isin("plain")
@@ -112,7 +115,7 @@ def header_block(
     own = named.select("message_id", F.inline(lines)).filter("value is not null").select(
         "message_id", "pos", zero.alias("seq"), "name", "value"
     )
-    to = recipient_headers(encode_names(recipients, charset=charset), ORDER, transport, messages=messages)
+    to = recipient_headers(encode_names(recipients, charset=charset), ORDER, transport, messages=messages, added=added)
     places = F.create_map(*[F.lit(x) for item in PLACES.items() for x in item])
     addressed = to.select(
         "message_id",
@@ -131,7 +134,7 @@ def header_block(
     return own.unionByName(addressed).unionByName(custom)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _quoted_printable(parts: pd.Series) -> pd.Series:
     def encode(data: bytes | None) -> str | None:
         if data is None:
@@ -158,7 +161,7 @@ def _lines(*lines: Column) -> Column:
 
 
 def _closing_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(CLOSINGS), "message_type string, pos bigint, level bigint")
+    return small_table(spark, ("message_type", "pos", "level"), CLOSINGS)
 
 
 def part_texts(messages: DataFrame) -> DataFrame:
@@ -238,7 +241,7 @@ def render_corpus(
     headers: DataFrame,
     attachments: DataFrame,
     segment_rows: int = SEGMENT_PIECES,
-    **options: str,
+    **options,
 ) -> DataFrame:
     """``message_id, segment, message``: every message whole, in any of the eight types, with CRLF breaks.
 
@@ -261,11 +264,14 @@ def render_corpus(
         zero.alias("t2"), F.lit(CRLF + CRLF).alias("piece"),
     )
     pieces = top.unionByName(gap).unionByName(part_texts(typed)).unionByName(attachment_texts(typed, attachments))
-    texts = ordered_concat(pieces, ["message_id"], ["pos", "step", "seq", "t1", "t2"], "piece", "", segment_rows)
+    # Only custom headers and attachments can be many.
+    many = headers.select("message_id").unionByName(attachments.select("message_id"))
+    order = ["pos", "step", "seq", "t1", "t2"]
+    texts = ordered_concat(pieces, ["message_id"], order, "piece", "", segment_rows, many)
     return texts.select("message_id", "segment", F.col("text").alias("message"))
 
 
-def render_text_messages(messages: DataFrame, recipients: DataFrame, headers: DataFrame, **options: str) -> DataFrame:
+def render_text_messages(messages: DataFrame, recipients: DataFrame, headers: DataFrame, **options) -> DataFrame:
     """Messages without attachments: plain or with an alternative text."""
     none = messages.sparkSession.createDataFrame(
         [],

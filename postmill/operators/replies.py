@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from postmill.functions.text import trimmed
 from postmill.operators.ordered import SEGMENT, block_of, ordered_concat, running_total
+from postmill.session import small_table
 
 # Reply codes that count as success, by command.
 EXPECTED_CODES = {
@@ -38,7 +39,7 @@ RELAY_ENTRY = r"^((ssl|tls)://)*([a-zA-Z0-9.-]*):?([0-9]*)\z"
 
 def expected_table(spark: SparkSession) -> DataFrame:
     rows = [(command, code) for command, codes in EXPECTED_CODES.items() for code in codes]
-    return spark.createDataFrame(rows, "command string, code int")
+    return small_table(spark, ("command", "code"), rows)
 
 
 def reply_lines(lines: DataFrame) -> DataFrame:
@@ -57,7 +58,9 @@ def assemble_replies(lines: DataFrame, segment_rows: int = SEGMENT) -> DataFrame
     A reply of more than ``segment_rows`` lines comes in several segments, each with its own first line number.
     """
     numbered = reply_lines(lines)
-    texts = ordered_concat(numbered, ["session_id", "reply_no", "command"], ["line_no"], "line", "\n", segment_rows)
+    texts = ordered_concat(
+        numbered, ["session_id", "reply_no", "command"], ["line_no"], "line", "\n", segment_rows, lines, ["session_id"]
+    )
     return texts.select("session_id", "reply_no", "command", "segment", F.col("text").alias("reply"))
 
 
@@ -69,7 +72,7 @@ def reply_fields(reply: Column) -> dict[str, Column]:
     more = F.coalesce(F.concat(F.replace(extended, F.lit("."), F.lit("\\.")), F.lit(" ")), F.lit(""))
     cut = F.regexp_replace(reply, F.concat(code, F.lit("[ -]"), more), F.lit(""))
     detail = F.when(parsed, cut).otherwise(F.substring(reply, 5, 2**31 - 1))
-    return {"code": code.try_cast("int"), "code_ex": extended, "detail": detail}
+    return {"code": code.try_cast("bigint"), "code_ex": extended, "detail": detail}
 
 
 def parse_replies(replies: DataFrame) -> DataFrame:
@@ -151,7 +154,7 @@ def send_outcome(results: DataFrame) -> DataFrame:
 def failure_texts(results: DataFrame, order: list[str], segment_rows: int = SEGMENT) -> DataFrame:
     """``message_id, segment, failures``: ``address: detail`` of the rejected recipients, run together in order."""
     bad = results.filter(~F.col("accepted")).withColumn("_text", F.concat("address", F.lit(": "), "detail"))
-    return ordered_concat(bad, ["message_id"], order, "_text", "", segment_rows).select(
+    return ordered_concat(bad, ["message_id"], order, "_text", "", segment_rows, results).select(
         "message_id", "segment", F.col("text").alias("failures")
     )
 

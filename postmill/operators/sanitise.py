@@ -31,32 +31,39 @@ def _foreign_url(block_external: bool) -> str:
 def _safe_attribute(attr: Column, placeholder: str, block_external: bool) -> Column:
     """``name=value`` as printed, quotes included."""
     name, given = attr["name"], attr["value"]
-    checked = h.unspaced(h.defanged(given))
     script = r"(?is)^([\"'])(?:\S+script:|mocha:*|about:).*([\"'])"
-    source = F.regexp_replace(checked, script, f"$1{placeholder}$2")
-    if block_external:
-        source = F.regexp_replace(source, r"(?is)^([\"'])https*:.*([\"'])", f"$1{placeholder}$1")
-    link = F.regexp_replace(checked, script, "$1#$1")
-    # A style value that only reads well once decoded is hiding something.
-    hidden = h.defanged(given) != given
-    style = _chain(
-        F.when(hidden, F.lit(DEFUSED)).otherwise(checked),
-        [
-            (r"/\*.*\*/", ""),
-            (r"(?i)expression|binding|behaviou*r|include-source|position:", DEFUSED),
-            (r"(?i)\\?u\\?r\\?l\\?", "url"),
-            (_foreign_url(block_external), f"url({placeholder})"),
-        ],
-    )
-    style = F.when(style.rlike(r"[\x00-\x1F]") | has_8bit(style), '"disallowed character"').otherwise(style)
-    fixed = (
-        F.when(name.rlike("^src|background"), source)
-        .when(name.rlike("^href|action"), link)
-        .when(name.startswith("style"), style)
-        .otherwise(checked)
-    )
-    # The test runs on decoded text; a value that passed it is printed as it was given.
-    return F.concat(name, F.lit("="), F.when((fixed == checked) & ~(name.startswith("style") & hidden), given).otherwise(fixed))
+    outside = r"(?is)^([\"'])https*:.*([\"'])"
+    style_rules = [
+        (r"/\*.*\*/", ""),
+        (r"(?i)expression|binding|behaviou*r|include-source|position:", DEFUSED),
+        (r"(?i)\\?u\\?r\\?l\\?", "url"),
+        (_foreign_url(block_external), f"url({placeholder})"),
+    ]
+
+    def source(checked: Column) -> Column:
+        safe = F.regexp_replace(checked, script, f"$1{placeholder}$2")
+        return F.regexp_replace(safe, outside, f"$1{placeholder}$1") if block_external else safe
+
+    def style(decoded: Column) -> Column:
+        # A style value that only reads well once decoded is hiding something.
+        start = F.when(decoded != given, DEFUSED).otherwise(h.unspaced(decoded))
+        return h.bound(
+            _chain(start, style_rules),
+            lambda v: F.when(v.rlike(r"[\x00-\x1F]") | has_8bit(v), '"disallowed character"').otherwise(v),
+        )
+
+    def printed(decoded: Column) -> Column:
+        checked = h.unspaced(decoded)
+        fixed = (
+            F.when(name.rlike("^src|background"), source(checked))
+            .when(name.rlike("^href|action"), F.regexp_replace(checked, script, "$1#$1"))
+            .when(name.startswith("style"), style(decoded))
+            .otherwise(checked)
+        )
+        # The tests run on decoded text; a value that passed them is printed as it was given.
+        return h.bound(fixed, lambda v: F.when(v == checked, given).otherwise(v))
+
+    return F.concat(name, F.lit("="), h.bound(h.defanged(given), printed))
 
 
 def _attributes(tag: Column, name: Column, placeholder: str, block_external: bool) -> Column:
@@ -97,29 +104,77 @@ def _body_attributes(pairs: Column, placeholder: str) -> Column:
 
 def _safe_style(block: Column, placeholder: str, block_external: bool) -> Column:
     """A whole style element with its rules made safe."""
-    content = F.regexp_replace(block, r"(?is)^<style(?:\s[^>]*)?>|</\s*style\s*>\z", "")
-    content = F.regexp_replace(F.regexp_replace(content, r"(?s)<!--.*?(?:-->|\z)", ""), r"(?is)body(\s*\{.*?\})", ".bodyclass$1")
-    safe = _chain(
+    content = F.regexp_replace(block, r"(?is)^<style(?:\s[^>]*)?>|</\s*style\s*>\z|<!--.*?(?:-->|\z)", "")
+    content = F.regexp_replace(content, r"(?is)body(\s*\{.*?\})", ".bodyclass$1")
+
+    def safe(text: Column) -> Column:
+        return _chain(
+            text,
+            [
+                (r"(?im)^\s*@import.*$", IMPORT_REMOVED),
+                (r"(?i)\\?u\\?r\\?l\\?", "url"),
+                (_foreign_url(block_external), f"url({placeholder})"),
+            ],
+        )
+
+    def checked(text: Column) -> Column:
+        return _chain(
+            text,
+            [
+                (r"/\*.*\*/", ""),
+                (r"(?i)expression|behaviou*r|binding|include-source|javascript|script", DEFUSED),
+                (r"(?i)position", ""),
+            ],
+        )
+
+    def rules(text: Column) -> Column:
+        seen = h.bound(h.unspaced(h.defanged(text)), lambda v: F.struct(v.alias("seen"), checked(v).alias("checked")))
+        return h.bound(seen, lambda v: F.when(v["checked"] == v["seen"], text).otherwise(v["checked"]))
+
+    forbidden = r"[\x0E-\x1F]"
+    body = h.bound(
         content,
-        [
-            (r"(?im)^\s*@import.*$", IMPORT_REMOVED),
-            (r"(?i)\\?u\\?r\\?l\\?", "url"),
-            (_foreign_url(block_external), f"url({placeholder})"),
-        ],
-    )
-    seen = h.unspaced(h.defanged(safe))
-    checked = _chain(
-        seen,
-        [
-            (r"/\*.*\*/", ""),
-            (r"(?i)expression|behaviou*r|binding|include-source|javascript|script", DEFUSED),
-            (r"(?i)position", ""),
-        ],
-    )
-    rules = F.when(content.rlike(r"[\x0E-\x1F]") | has_8bit(content), STYLE_REMOVED).otherwise(
-        F.when(checked == seen, safe).otherwise(checked)
+        lambda c: F.when(c.rlike(forbidden) | has_8bit(c), STYLE_REMOVED).otherwise(h.bound(safe(c), rules)),
     )
-    return F.concat(F.lit("<style>"), rules, F.lit("</style>"))
+    return F.concat(F.lit("<style>"), body, F.lit("</style>"))
+
+
+def _balanced(items: Column) -> Column:
+    """(html, n_dropped, n_closed) of a page's printed tokens: surplus closers left out, missing ones added."""
+    nothing = F.struct(F.lit(0).alias("open"), F.array().cast("array<int>").alias("dropped"))
+
+    def names(kind: str) -> Column:
+        return F.transform(F.filter(items, lambda i: i["kind"] == kind), lambda i: i["name"])
+
+    def count(state: Column, i: Column) -> Column:
+        opens = i["kind"] == "open"
+        surplus = ~opens & (state["open"] == 0)
+        return F.struct(
+            (state["open"] + F.when(opens, 1).when(surplus, 0).otherwise(-1)).alias("open"),
+            F.when(surplus, F.array_append(state["dropped"], i["pos"])).otherwise(state["dropped"]).alias("dropped"),
+        )
+
+    def balance(name: Column) -> Column:
+        own = F.filter(items, lambda i: (i["name"] == name) & i["kind"].isin("open", "close"))
+        return h.bound(
+            F.aggregate(own, nothing, count),
+            lambda c: F.struct(name.alias("name"), c["open"].alias("open"), c["dropped"].alias("dropped")),
+        )
+
+    def result(counts: Column) -> Column:
+        closers = F.transform(counts, lambda c: F.repeat(F.concat(F.lit("</"), c["name"], F.lit(">")), c["open"]))
+        n_closed = F.aggregate(counts, F.lit(0).cast("bigint"), lambda n, c: n + c["open"])
+
+        def joined(dropped: Column) -> Column:
+            kept = F.filter(items, lambda i: ~F.array_contains(dropped, i["pos"]))
+            text = F.concat(F.array_join(F.transform(kept, lambda i: i["text"]), ""), F.array_join(closers, ""), F.lit("\n"))
+            return F.struct(
+                text.alias("html"), F.size(dropped).cast("bigint").alias("n_dropped"), n_closed.alias("n_closed")
+            )
+
+        return h.bound(F.flatten(F.transform(counts, lambda c: c["dropped"])), joined)
+
+    return h.bound(F.transform(F.array_distinct(F.concat(names("open"), names("close"))), balance), result)
 
 
 def sanitize_pages(
@@ -133,19 +188,21 @@ def sanitize_pages(
     def item(token: Column, pos: Column) -> Column:
         is_style = token.rlike(r"(?i)^<style[\s>]")
         is_tag = token.rlike("^</?[A-Za-z]") & ~is_style
-        name = F.when(is_tag, h.tag_name(token)).otherwise("")
-        return F.struct(
-            token.alias("token"), pos.alias("pos"), is_style.alias("style"), name.alias("name"),
-            F.when(is_tag, h.tag_kind(token, name)).otherwise("text").alias("kind"),
+        return h.bound(
+            F.when(is_tag, h.tag_name(token)).otherwise(""),
+            lambda name: F.struct(
+                token.alias("token"), pos.alias("pos"), is_style.alias("style"), name.alias("name"),
+                F.when(name != "", h.tag_kind(token, name)).otherwise("text").alias("kind"),
+            ),
         )
 
     def printed(i: Column) -> Column:
         shown = F.when(i["name"] == "body", "div").otherwise(i["name"])
-        attributes = F.array_join(_attributes(i["token"], i["name"], placeholder, block_external), " ")
-        opening = F.concat(
-            F.lit("<"), shown, F.when(attributes == "", "").otherwise(F.concat(F.lit(" "), attributes)),
-            F.when(i["kind"] == "self", " />").otherwise(">"),
+        attributes = h.bound(
+            F.array_join(_attributes(i["token"], i["name"], placeholder, block_external), " "),
+            lambda a: F.when(a == "", "").otherwise(F.concat(F.lit(" "), a)),
         )
+        opening = F.concat(F.lit("<"), shown, attributes, F.when(i["kind"] == "self", " />").otherwise(">"))
         bare = F.concat(F.lit("<"), shown, F.lit(">"))
         has_attributes = i["token"].rlike(r"[\s/]") | (i["name"] == "body")
         text = (
@@ -157,37 +214,7 @@ def sanitize_pages(
         )
         return F.struct(i["pos"].alias("pos"), shown.alias("name"), i["kind"].alias("kind"), text.alias("text"))
 
-    items = F.filter(F.transform(tokens, item), lambda i: ~i["name"].isin(*h.REMOVED_TAGS))
-
-    def names(kind: str) -> Column:
-        return F.transform(F.filter("_items", lambda i: i["kind"] == kind), lambda i: i["name"])
-
-    nothing = F.struct(F.lit(0).alias("open"), F.array().cast("array<int>").alias("dropped"))
-
-    def count(state: Column, i: Column) -> Column:
-        opens = i["kind"] == "open"
-        surplus = ~opens & (state["open"] == 0)
-        return F.struct(
-            (state["open"] + F.when(opens, 1).when(surplus, 0).otherwise(-1)).alias("open"),
-            F.when(surplus, F.array_append(state["dropped"], i["pos"])).otherwise(state["dropped"]).alias("dropped"),
-        )
-
-    def balance(name: Column) -> Column:
-        own = F.filter("_items", lambda i: (i["name"] == name) & i["kind"].isin("open", "close"))
-        return F.struct(name.alias("name"), F.aggregate(own, nothing, count).alias("count"))
-
-    kept = F.transform("_items", lambda i: F.when(F.array_contains("_dropped", i["pos"]), "").otherwise(i["text"]))
-    closers = F.transform("_balance", lambda b: F.repeat(F.concat(F.lit("</"), b["name"], F.lit(">")), b["count"]["open"]))
-    n_closed = F.aggregate("_balance", F.lit(0).cast("bigint"), lambda n, b: n + b["count"]["open"])
-    return (
-        pages.select("page_id", F.transform(items, printed).alias("_items"))
-        .withColumn("_names", F.array_distinct(F.concat(names("open"), names("close"))))
-        .withColumn("_balance", F.transform("_names", balance))
-        .withColumn("_dropped", F.flatten(F.transform("_balance", lambda b: b["count"]["dropped"])))
-        .select(
-            "page_id",
-            F.concat(F.array_join(kept, ""), F.array_join(closers, ""), F.lit("\n")).alias("html"),
-            F.size("_dropped").cast("bigint").alias("n_dropped"),
-            n_closed.alias("n_closed"),
-        )
+    kept = F.filter(F.transform(tokens, item), lambda i: ~i["name"].isin(*h.REMOVED_TAGS))
+    return pages.select("page_id", h.bound(F.transform(kept, printed), _balanced).alias("_safe")).select(
+        "page_id", "_safe.html", "_safe.n_dropped", "_safe.n_closed"
     )

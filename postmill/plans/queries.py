@@ -111,7 +111,8 @@ def dedup_idn(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def recipient_headers(spark: SparkSession, d: str) -> DataFrame:
-    return rec.recipient_headers(rec.accepted_recipients(view(spark, d, "raw_recipients")), transport="sendmail")
+    added = view(spark, d, "raw_recipients")
+    return rec.recipient_headers(rec.accepted_recipients(added), transport="sendmail", added=added)
 
 
 @query
@@ -586,7 +587,7 @@ def _message_parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, D
 @query
 def header_lines(spark: SparkSession, d: str) -> DataFrame:
     messages, recipients, headers, files = _message_parts(spark, d)
-    return header_block(ready(messages, files), recipients, headers, host="mx.example.com")
+    return header_block(ready(messages, files), recipients, headers, host="mx.example.com", added=view(spark, d, "raw_recipients"))
 
 
 @query
@@ -598,13 +599,13 @@ def attachment_parts(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def render_messages(spark: SparkSession, d: str) -> DataFrame:
-    return render_corpus(*_message_parts(spark, d), host="mx.example.com")
+    return render_corpus(*_message_parts(spark, d), host="mx.example.com", added=view(spark, d, "raw_recipients"))
 
 
 @query
 def render_texts(spark: SparkSession, d: str) -> DataFrame:
     messages, recipients, headers, _ = _message_parts(spark, d)
-    return render_text_messages(messages, recipients, headers, host="mx.example.com")
+    return render_text_messages(messages, recipients, headers, host="mx.example.com", added=view(spark, d, "raw_recipients"))
 
 
 @query
@@ -622,7 +623,7 @@ def render_documents(spark: SparkSession, d: str) -> DataFrame:
         F.concat(F.lit("reader."), F.col("message_id").cast("string"), F.lit("@example.com")).alias("address"), F.lit("").alias("name"),
     )
     none = view(spark, d, "raw_headers").filter("false").withColumns({"name": F.lit(""), "value": F.lit("")})
-    return render_text_messages(docs, to, none)
+    return render_text_messages(docs, to, none, added=to)
 
 
 # Streams, as batches
