@@ -75,18 +75,22 @@ EXTENSIONS_BY_TYPE = {
     "video/x-sgi-movie": "movie",
 }
 
-# Fixed value: how a path splits into folder, base name, stem and extension; / and \ both separate.
-PATH = r"(?i)^(.*?)[\\/]*(([^/\\]*?)(\.([^.\\/]+?)|))[\\/.]*$"
-
-
 def type_table(spark: SparkSession) -> DataFrame:
     rows = [(ext, mime) for mime, exts in EXTENSIONS_BY_TYPE.items() for ext in exts.split()]
     return small_table(spark, ("ext", "mime"), rows)
 
 
 def path_parts(path: Column) -> dict[str, Column]:
-    groups = {"dirname": 1, "basename": 2, "filename": 3, "extension": 5}
-    return {name: F.regexp_extract(path, PATH, group) for name, group in groups.items()}
+    """Folder, base name, stem and extension of a path. / and \\ both separate; they and dots are cut at the end."""
+    whole = F.rtrim(path, F.lit("/\\."))
+    base = F.substring_index(F.translate(whole, "\\", "/"), "/", -1)
+    extension = F.when(F.contains(base, F.lit(".")), F.substring_index(base, ".", -1)).otherwise("")
+    return {
+        "dirname": F.rtrim(F.left(whole, F.length(whole) - F.length(base)), F.lit("/\\")),
+        "basename": base,
+        "filename": F.when(F.contains(base, F.lit(".")), F.left(base, F.length(base) - F.length(extension) - 1)).otherwise(base),
+        "extension": extension,
+    }
 
 
 def mime_types(files: DataFrame, column: str = "path", types: DataFrame | None = None) -> DataFrame:

@@ -705,6 +705,14 @@ accepted as (
 select a.message_id, a.seq, c.kind, c.address, cast(a.seq = a.newest and a.owner <> '' as bigint) as listed
 from accepted a join adds c on c.message_id = a.message_id and c.seq = a.seq"""
 
+# Sinks, read back
+
+SQL["write_delivery_log"] = "select event_id, session_id, command, reply from delivery_log"
+SQL["outbox"] = """
+select cust_id, email, cast(sent or email in (
+  select concat('customer.', cast(user_id % 400 as varchar), '@building.example.com') from events where event_type = 'purchase')
+  as bigint) as sent from mailinglist"""
+
 
 def oracle_queries() -> dict[str, str]:
     return {name: with_views(sql) for name, sql in SQL.items()}

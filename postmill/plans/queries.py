@@ -21,8 +21,11 @@ from postmill.operators import replies as rep
 from postmill.operators.render import attachment_texts, header_block, ready, render_corpus, render_text_messages
 from postmill.operators.sanitise import sanitize_pages
 from postmill.plans.views import table, view
+from postmill.session import shared_dir
 from postmill.sources.catalogues import parse_catalogue
 from postmill.sources.files import attachment_files
+from postmill.sources.sinks import write_corpus as store_corpus
+from postmill.sources.sinks import write_delivery_log as store_log
 from postmill.sources.transcripts import parse_transcript
 from postmill.streaming import delivery as live
 from postmill.streaming.ledger import recipient_ledger as ledger
@@ -669,3 +672,36 @@ def live_unexpected(spark: SparkSession, d: str) -> DataFrame:
 def recipient_ledger(spark: SparkSession, d: str) -> DataFrame:
     kept = ledger(view(spark, d, "ledger_commands"))
     return kept.withColumn("listed", F.col("listed").cast("bigint"))
+
+
+# Sinks, read back
+
+
+@query
+def write_delivery_log(spark: SparkSession, d: str) -> DataFrame:
+    path = shared_dir(spark) + "/log"
+    log = view(spark, d, "delivery_log").select("event_id", "session_id", "command", "reply")
+    store_log(log, path, "csv")
+    return spark.read.schema(log.schema).csv(path)
+
+
+@query
+def write_corpus(spark: SparkSession, d: str) -> DataFrame:
+    path = shared_dir(spark) + "/corpus"
+    store_corpus(render_texts(spark, d), path, 8)
+    return spark.read.parquet(path).drop("bucket")
+
+
+@query
+def outbox(spark: SparkSession, d: str) -> DataFrame:
+    """The delivery log as a stream: attempts appended, delivered emails marked on the list."""
+    folder = shared_dir(spark)
+    stream = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events*.parquet")
+    attempts = stream.select(
+        "event_id",
+        (F.col("event_type") == "purchase").alias("is_sent"),
+        F.concat(F.lit("customer."), (F.col("user_id") % 400).cast("string"), F.lit("@building.example.com")).alias("email"),
+    )
+    live.outbox(attempts, f"{folder}/log", f"{folder}/sent", f"{folder}/checkpoint").awaitTermination()
+    current = live.current_list(view(spark, d, "mailinglist"), f"{folder}/sent")
+    return current.select("cust_id", "email", F.col("sent").cast("bigint").alias("sent"))

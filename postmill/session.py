@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 import pyarrow as pa
@@ -28,8 +29,11 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors can reach: the cluster's checkpoint folder, or a scratch one where it names none (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    """A new folder all executors can reach, under the cluster's checkpoint folder; in /tmp where none is set (tests)."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        return tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    return f"{shared.rstrip('/')}/postmill-{uuid.uuid4().hex}"
 
 
 def spread(df: DataFrame) -> DataFrame:
