@@ -35,15 +35,15 @@ PATTERNS = ("html5", "pcre", "noregex")
 def is_address(c: Column, pattern: str = "html5") -> Column:
     """Whether a text is an address under ``pattern``; ``auto`` is ``pcre``. A line break always refuses."""
     if pattern == "html5":
-        matches = c.rlike(HTML5)
+        matches = c.rlike(HTML5)  # no part of it takes a line break
     elif pattern in ("pcre", "auto"):
-        matches = byte_string(c).rlike(PCRE)
+        matches = ~has_break(c) & byte_string(c).rlike(PCRE)
     elif pattern == "noregex":
         at = F.instr(c, "@")
-        matches = (F.octet_length(c) >= 3) & (at >= 2) & (at != F.length(c))
+        matches = ~has_break(c) & (F.octet_length(c) >= 3) & (at >= 2) & (at != F.length(c))
     else:
         raise ValueError(f"unknown address pattern: {pattern}")
-    return F.coalesce(~has_break(c) & matches, F.lit(False))
+    return F.coalesce(matches, F.lit(False))
 
 
 def domain_of(c: Column) -> Column:
@@ -66,14 +66,20 @@ def _ascii_domain(domains: pd.Series) -> pd.Series:
     return domains.map(convert)
 
 
-def ascii_addresses(df: DataFrame, column: str = "address") -> DataFrame:
+def is_international(c: Column) -> Column:
+    """Whether the domain of an address has 8-bit characters."""
+    return F.coalesce(has_8bit(c) & has_8bit(domain_of(c)), F.lit(False))
+
+
+def ascii_addresses(df: DataFrame, column: str = "address", found_in: DataFrame | None = None) -> DataFrame:
     """Give addresses with an international domain their ASCII form; a domain that cannot be converted stays as it is.
 
-    The conversion runs once per distinct international domain. Spark broadcasts the map where its size allows.
+    The conversion runs once per distinct international domain of ``found_in``, any table that holds at least the
+    addresses of ``df`` and is cheaper to read. Spark broadcasts the map where its size allows.
     """
-    foreign = F.when(has_8bit(domain_of(F.col(column))), domain_of(F.col(column)))
+    foreign = F.when(is_international(F.col(column)), domain_of(F.col(column)))
     domains = (
-        df.select(foreign.alias("_domain")).filter("_domain is not null").distinct()
+        (df if found_in is None else found_in).select(foreign.alias("_domain")).filter("_domain is not null").distinct()
         .withColumn("_ascii", _ascii_domain("_domain"))
     )
     local = F.substring_index(F.col(column), "@", -1)

@@ -11,9 +11,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postmill.functions.address import PATTERNS, address_key, ascii_addresses, domain_of, is_address
+from postmill.functions.address import PATTERNS, address_key, ascii_addresses, domain_of, is_address, is_international
 from postmill.functions.headers import phrase
-from postmill.functions.text import blank, has_8bit, has_break, secured, trimmed
+from postmill.functions.text import blank, has_break, secured, trimmed
 from postmill.operators.ordered import SEGMENT, block_of, ordered_concat, running_total
 
 ORDER = ("kind_rank", "seq", "t1", "t2", "address")
@@ -48,8 +48,8 @@ def refusal(pattern: Pattern = "html5") -> Column:
 
 def validate_addresses(df: DataFrame, pattern: Pattern = "html5") -> tuple[DataFrame, DataFrame]:
     """Split into (valid, refused); the refused rows carry ``reason``."""
-    judged = df.withColumn("reason", refusal(pattern))
-    return judged.filter("reason is null").drop("reason"), judged.filter("reason is not null")
+    fit = F.coalesce(F.col("kind").isin(*KINDS), F.lit(False)) & _valid(F.col("address"), pattern)
+    return df.filter(fit), df.filter(~fit).withColumn("reason", refusal(pattern))
 
 
 def _namespace() -> Column:
@@ -86,10 +86,11 @@ def dedup_idn(df: DataFrame, pattern: Pattern = "html5", order: Sequence[str] =
     Such addresses wait in a queue: the queue drops exact repeats, is handled after all plain addresses, and takes the
     ASCII form of each domain. A plain twin added later therefore still wins.
     """
-    queued = F.coalesce(has_8bit(domain_of(F.col("address"))), F.lit(False))
-    rows = clean_recipients(df).withColumns({"pass": queued.cast("int"), "_reply": _namespace()})
+    rows = clean_recipients(df).withColumns(
+        {"pass": is_international(F.col("address")).cast("int"), "_reply": _namespace()}
+    )
     queue = _first_per_key(rows.filter("pass = 1"), ["message_id", "_reply", "address"], order)
-    handled = rows.filter("pass = 0").unionByName(ascii_addresses(queue)).drop("_reply")
+    handled = rows.filter("pass = 0").unionByName(ascii_addresses(queue, found_in=rows)).drop("_reply")
     valid, _ = validate_addresses(handled, pattern)
     return dedup_reply_to(valid, ["pass", *order])
 
