@@ -657,6 +657,26 @@ lines as (
     case when contains(raw, ':') then trim(substr(raw, strpos(raw, ':') + 1), {SPACE}) else '' end from raw_headers)
 select message_id, cast(pos as bigint) as pos, cast(seq as bigint) as seq, name, value from lines"""
 
+SQL["attachment_parts"] = f"""
+with {TYPED},
+slots(message_type, disposition, pos, level) as (values
+  ('inline', 'inline', 2, 1), ('attach', 'attachment', 2, 1), ('inline_attach', 'inline', 3, 2), ('inline_attach', 'attachment', 4, 1),
+  ('alt_inline', 'inline', 4, 2), ('alt_attach', 'attachment', 4, 1), ('alt_inline_attach', 'inline', 5, 3),
+  ('alt_inline_attach', 'attachment', 6, 1)),
+files as (
+  select a.*, s.pos, s.level, chr(13) || chr(10) as nl,
+    case when name like '%.pdf' then 'application/pdf' when name like '%.PNG' then 'image/png' else 'application/octet-stream' end as mime
+  from attachments a join typed t on t.message_id = a.message_id
+  join slots s on s.message_type = t.message_type and s.disposition = a.disposition)
+select message_id, cast(pos as bigint) as pos, cast(seq as bigint) as seq, t1, t2, md5(
+  '--b' || level || '_' || md5(cast(message_id as varchar)) || nl || 'Content-Type: ' || mime || '; name="' || name || '"' || nl
+  || 'Content-Transfer-Encoding: ' || encoding || nl
+  || case when disposition = 'inline' then 'Content-ID: <' || cid || '>' || nl else '' end
+  || 'Content-Disposition: ' || disposition || '; filename=' || name || nl || nl
+  || case when encoding = 'base64' then to_base64(encode('content of ' || name)) else 'content of ' || name end
+  || nl || nl || nl) as piece_md5
+from files"""
+
 # Streams, as batches
 
 SQL["delivery_rate"] = """
