@@ -677,6 +677,31 @@ select message_id, cast(pos as bigint) as pos, cast(seq as bigint) as seq, t1, t
   || nl || nl || nl) as piece_md5
 from files"""
 
+TEXT_TYPED = f"typed as (select *, case when {blank('alt_body')} then 'plain' else 'alt' end as message_type from messages)"
+
+
+def text_part(mime: str, text: str, encoding: str, charset: str) -> str:
+    """One part under the first boundary; ``nl`` and ``mark`` are columns."""
+    shown = f"case when {encoding} = '7bit' then '' else 'Content-Transfer-Encoding: ' || {encoding} || nl end"
+    body = f"case when {encoding} = 'base64' then to_base64(encode({text})) else {text} end"
+    return f"'--' || mark || nl || 'Content-Type: {mime}; charset=' || {charset} || nl || {shown} || nl || {body} || nl || nl || nl"
+
+
+SQL["render_texts"] = SQL["header_lines"].replace(f"{TYPED}", TEXT_TYPED).rsplit("select message_id, cast(pos", 1)[0].rstrip() + f""",
+blocks as (
+  select message_id, string_agg(name || ': ' || value, chr(13) || chr(10) order by pos, seq) as block from lines group by message_id),
+ready as (
+  select t.*, b.block, chr(13) || chr(10) as nl, 'b1_' || md5(cast(t.message_id as varchar)) as mark,
+    case when encoding = '8bit' then '7bit' else encoding end as enc, case when encoding = '8bit' then 'us-ascii' else charset end as cs
+  from typed t join blocks b on b.message_id = t.message_id)
+select message_id, cast(0 as bigint) as segment, block || nl || nl || case when message_type = 'plain'
+    then case when enc = 'base64' then to_base64(encode(body)) else body end || nl
+    else 'This is a multi-part message in MIME format.' || nl || nl || {text_part('text/plain', 'alt_body', 'enc', 'cs')}
+      || {text_part('text/html', 'body', 'enc', 'cs')}
+      || case when ical = '' then '' else {text_part('text/calendar; method=REQUEST', 'ical', 'encoding', 'charset')} end
+      || nl || '--' || mark || '--' || nl end as message from ready"""
+SQL["write_corpus"] = SQL["render_texts"]
+
 # Streams, as batches
 
 SQL["delivery_rate"] = """
