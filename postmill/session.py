@@ -10,6 +10,9 @@ from collections.abc import Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+# Stands in for the shared folder in local sessions (tests, benchmarks).
+LOCAL_ROOT = os.path.join(tempfile.gettempdir(), "postmill-local")
+
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "postmill") -> SparkSession:
     """A local session for tests and benchmarks. On a cluster, use the cluster's own session."""
@@ -28,12 +31,33 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
     )
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``. Only a local session, where all tasks share one disk, may go without."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return shared.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    return LOCAL_ROOT
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder all executors can reach, under the cluster's checkpoint folder; in /tmp where none is set (tests)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        return tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    return f"{shared.rstrip('/')}/postmill-{uuid.uuid4().hex}"
+    """A new folder under ``shared_root``. It is deleted when the session's JVM ends."""
+    path = f"{shared_root(spark)}/postmill-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(target)
+    files.deleteOnExit(target)
+    return path
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder and read from there: no lineage, so a lost executor costs no recomputation."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_root(df.sparkSession))
+    return df.checkpoint()
 
 
 def spread(df: DataFrame) -> DataFrame:
