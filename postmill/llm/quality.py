@@ -22,13 +22,14 @@ SENTENCE_END = r"[.!?:;…。！？][\"'’”»)\]]*[\x20\x09-\x0D]*$"
 # Signs that part the entries of a menu or a path.
 SEPARATORS = r"[|»›•·>]"
 MOST_SEPARATORS = 2
-# A line of so few words without a sentence end is a menu entry or a button.
-MENU_WORDS = 3
+# A line with one separator for so many words is a menu, however it ends.
+WORDS_PER_SEPARATOR = 4
 BOILERPLATE = (
     "all rights reserved", "cookie policy", "privacy policy", "terms of service", "terms of use", "enable javascript",
     "click here", "sign up for our", "subscribe to our", "lorem ipsum", "skip to content", "powered by",
 )
-# Lines without a sentence end still pass as prose from this many words on: cut-off paragraphs, verse, lists of names.
+# A line without a sentence end passes as prose from so many words on: cut-off paragraphs, verse, lists of names. A shorter one
+# is a menu entry, a heading or a button.
 PROSE_WORDS = 8
 # Signs that are no prose where they make up more than this share of a line.
 MOST_SIGNS = 0.1
@@ -76,10 +77,11 @@ def line_fails(line: Column) -> Column:
     """True for a line with a word that is a menu, boilerplate, signs rather than prose, or neither a sentence nor long enough."""
     n_words = F.size(words_of(line))
     boiler = F.lower(line).rlike("|".join(BOILERPLATE))
-    menu = (n_words <= MENU_WORDS) | (F.regexp_count(line, F.lit(SEPARATORS)) > MOST_SEPARATORS)
+    parts = F.regexp_count(line, F.lit(SEPARATORS))
+    menu = (parts > MOST_SEPARATORS) & (parts * WORDS_PER_SEPARATOR >= n_words)
     unended = ~line.rlike(SENTENCE_END)
     signs = n_symbols(line) > MOST_SIGNS * F.char_length(line)
-    return boiler | signs | (unended & (menu | (n_words < PROSE_WORDS)))
+    return boiler | signs | menu | (unended & (n_words < PROSE_WORDS))
 
 
 def judge(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
