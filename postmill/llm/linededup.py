@@ -120,8 +120,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_
     """
     ids = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     common = common_lines(docs.select(ids.alias("doc_id"), text_of("text").alias("text")), min_docs, min_chars, **settings)
-    # The text's own hash names the row: rows alike in it drop the same lines.
-    mark = [F.xxhash64(text_of("text")), F.xxhash64(F.lit("text"), text_of("text"))]
+    # Document and text together name the row: copies of a text lie in different tasks, and repeated rows drop the same lines.
+    mark = [F.xxhash64(ids, text_of("text")), F.xxhash64(F.lit("text"), ids, text_of("text"))]
     texts = docs.select(mark[0].alias("_m1"), mark[1].alias("_m2"), text_of("text").alias("_text"))
     salt = F.pmod(F.xxhash64("_m1", "_at"), F.lit(SALTS)).alias("_salt")
     lines = texts.select("_m1", "_m2", F.posexplode(line_hashes(F.col("_text"), min_chars)).alias("_at", "_h"))
