@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import ann, bpe, chat, linededup, mixing, pii, quality, sharding, simhash
+from postmill.llm import ann, bpe, chat, langid, linededup, mixing, pii, quality, sharding, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,6 +27,11 @@ def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search_embeddings(_table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_conversations(chat.with_probe(_table(spark, sf_dir, "conversations")))
