@@ -34,7 +34,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.format_conversations(chat.with_probe(_table(spark, sf_dir, "conversations")))
+    return chat.format_conversations(chat.with_probe(_table(spark, sf_dir, "conversations"))).drop("n_ids", "n_loss_ids")
 
 
 @query
@@ -64,7 +64,7 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_documents(_table(spark, sf_dir, "documents"))
+    return mixing.mix_documents(_table(spark, sf_dir, "documents")).drop("first_time")
 
 
 @query

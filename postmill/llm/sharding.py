@@ -47,12 +47,13 @@ def place(
     placed = (
         groups.withColumn("_best", rendezvous(text_key, weights))
         .withColumn("_shard", F.col("_best.shard")).withColumn("_grown", F.least("_best", one_more)["shard"])
-        .withColumn("_block", F.pmod(F.xxhash64(*columns), F.lit(BLOCKS)))
+        .withColumn("_hash", hash60(F.concat_ws(":", *[key_string(F.col(c)) for c in columns])))
+        .withColumn("_block", F.floor(F.col("_hash") / (2**60 // BLOCKS)))
     )
     sizes = placed.groupBy("_shard", "_block").agg(F.sum("_copies").alias("_size"))
     before = Window.partitionBy("_shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_shard", "_block", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("_shard", "_block").orderBy(*columns).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_shard", "_block").orderBy("_hash", *columns).rowsBetween(Window.unboundedPreceding, -1)
     first = F.col("_start") + F.col("_inside")
     return (
         placed.withColumn("_inside", F.coalesce(F.sum("_copies").over(inside), F.lit(0)))
