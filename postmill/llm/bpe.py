@@ -27,15 +27,16 @@ from postmill.llm.common import text_of
 
 RANKS = "byte_bpe_50k.tiktoken"
 # Bounds of what a worker keeps: arcs, judged pairs of tokens, and the ids of recent short pieces. Beyond them it starts afresh.
-MOST_ARCS = 1 << 20
-MOST_PAIRS = 1 << 20
+MOST_ARCS = 1 << 19
+MOST_PAIRS = 1 << 18
 MOST_PIECES = 1 << 19
 LONGEST_PIECE = 64
 # An unfinished token is resolved into the tokens it may become, which makes states equal that differ in the past only, once there
 # are no more of them than this.
 FEW = 16
-# Tokens decoded at a time.
+# Tokens decoded at a time, and bytes of text after which a task hands on what it has.
 CHUNK = 1 << 16
+SLICE = 1 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -274,21 +275,46 @@ def _schema(df: DataFrame, keep: Sequence[str], *more: T.StructField) -> T.Struc
     return T.StructType([*[df.schema[c] for c in keep], *more])
 
 
-def encode(docs: DataFrame, keep: Sequence[str], path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """The columns ``keep`` and ``ids``, the token ids of the whole ``text``. Null and empty texts have no ids."""
+def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of a batch, about ``SLICE`` bytes of ``column`` at a time and one row at least."""
+    share = max(1, batch.column(column).nbytes // SLICE)
+    rows = max(1, batch.num_rows // share)
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
+def _id_lists(pieces: Pieces, cut, texts: pa.Array) -> pa.ListArray:
+    lists = [b"".join(map(pieces.__getitem__, cut(text.as_py()))) for text in texts]
+    ends = np.cumsum([0, *map(len, lists)]) // 4
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(lists), np.int32)))
+
+
+def _texts(vocabulary: Vocabulary, lists: pa.ListArray) -> pa.Array:
+    return pa.array([vocabulary.decode(ids.values.to_numpy(zero_copy_only=False)) for ids in lists], pa.string())
+
+
+IDS = T.StructField("ids", T.ArrayType(T.IntegerType()))
+DECODED = T.StructField("decoded", T.StringType())
+
+
+def encode(
+    docs: DataFrame, keep: Sequence[str], path: str | None = None, pattern: str = public_tokenizers.PATTERN, proof: bool = False
+) -> DataFrame:
+    """The columns ``keep`` and ``ids``, the token ids of the whole ``text``. Null and empty texts have no ids.
+
+    With ``proof``, also ``decoded``: what decoding the ids gives, done by the same task.
+    """
     path = path or public_tokenizers.path(RANKS)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, cut = _pieces(path), regex.compile(pattern).findall
-        for batch in batches:
-            lists = [b"".join(map(pieces.__getitem__, cut(text))) for text in batch.column("_text").to_pylist()]
-            ends = np.cumsum([0, *map(len, lists)]) // 4
-            flat = pa.array(np.frombuffer(b"".join(lists), np.int32))
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], ids], [*keep, "ids"])
+        for part in (part for batch in batches for part in _slices(batch, "_text")):
+            ids = _id_lists(pieces, cut, part.column("_text"))
+            more = {"ids": ids} | ({"decoded": _texts(_vocabulary(path), ids)} if proof else {})
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], *more.values()], [*keep, *more])
 
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], text_of("text").alias("_text"))
-    return rows.mapInArrow(work, _schema(rows, keep, T.StructField("ids", T.ArrayType(T.IntegerType()))))
+    return rows.mapInArrow(work, _schema(rows, keep, IDS, *[DECODED] * proof))
 
 
 def decode(encoded: DataFrame, keep: Sequence[str], path: str | None = None) -> DataFrame:
@@ -296,16 +322,14 @@ def decode(encoded: DataFrame, keep: Sequence[str], path: str | None = None) ->
     path = path or public_tokenizers.path(RANKS)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = _vocabulary(path)
-        for batch in batches:
-            column = batch.column("_ids")
-            texts = pa.array([vocabulary.decode(column[i].values.to_numpy(zero_copy_only=False)) for i in range(len(column))], pa.string())
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], texts], [*keep, "decoded"])
+        for part in (part for batch in batches for part in _slices(batch, "_ids")):
+            texts = _texts(_vocabulary(path), part.column("_ids"))
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], texts], [*keep, "decoded"])
 
     ids = F.coalesce(F.col("ids").cast("array<int>"), F.array().cast("array<int>"))
     known = F.transform(ids, lambda i: F.coalesce(i, F.lit(-1)))
     rows = encoded.select(*[F.col(f"`{c}`") for c in keep], known.alias("_ids"))
-    return rows.mapInArrow(work, _schema(rows, keep, T.StructField("decoded", T.StringType())))
+    return rows.mapInArrow(work, _schema(rows, keep, DECODED))
 
 
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -315,8 +339,7 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     empty table gives no rows; other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    back = decode(encode(rows, ["doc_id"], path), ["doc_id", "ids"], path)
-    return back.select(
+    return encode(rows, ["doc_id"], path, proof=True).select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), "ids",
