@@ -35,8 +35,8 @@ def bytes_to_encode(c: Column, position: str = "text") -> Column:
 
 
 def encoding_scheme(c: Column, position: str = "text") -> Column:
-    """none, B (more than a third of the bytes need encoding) or Q."""
-    need = bytes_to_encode(c, position)
+    """none, B (more than a third of the bytes need encoding) or Q. A phrase without 8-bit bytes is quoted instead."""
+    need = F.when(has_8bit(c) | F.lit(position != "phrase"), bytes_to_encode(c, position)).otherwise(0)
     return F.when(need == 0, "none").when(need * 3 > F.octet_length(c), "B").otherwise("Q")
 
 

@@ -22,7 +22,9 @@ BAD_STYLE = r"(?i)expression|binding|behaviou*r|include-source|position:"
 
 # A comment, or a tag whose quoted attribute values may hold >.
 COMMENT = r"<!--.*?(?:-->|\z)"
-TAG = r"""</?[A-Za-z][^>=]*(?:=\s*(?:"[^"]*"|'[^']*')?[^>=]*)*>"""
+# Repeats of groups are possessive: the engine goes through them in a loop, where it would recurse once per repeat. Where quotes leave
+# no tag, it ends at its first >.
+TAG = r"""(?:</?[A-Za-z][^>=]*+(?:=\s*+(?:"[^"]*+"|'[^']*+')?+[^>=]*+)*+>|</?[A-Za-z][^>]*+>)"""
 ATTRIBUTE = r"""(?s)([\w-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?"""
 STYLE = r"<style(?:\s[^>]*)?>.*?(?:</\s*style\s*>|\z)"
 # An element that goes with its content; unclosed, it runs to the end of the page. Group 1 is its opening tag.
@@ -30,8 +32,8 @@ WITH_CONTENT = (
     "(<(" + "|".join(REMOVED_WITH_CONTENT) + r")(?:\s(?:[^>]*[^/>])?)?>).*?(?:</\2\s*>|\z)"
 )
 # What a browser takes for a tag when only the text is wanted: < and no white space, up to the next > outside quotes.
-QUOTED = r"""(?:"[^"]*(?:"|\z)|'[^']*(?:'|\z))"""
-MARKUP = rf"""{COMMENT}|<(?:>|(?:[^\s>"']|{QUOTED})[^>"']*(?:{QUOTED}[^>"']*)*(?:>|\z))"""
+QUOTED = r"""(?:"[^"]*+(?:"|\z)|'[^']*+(?:'|\z))"""
+MARKUP = rf"""{COMMENT}|<(?:>|(?:[^\s>"']|{QUOTED})[^>"']*+(?:{QUOTED}[^>"']*+)*+(?:>|\z))"""
 
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -69,6 +71,13 @@ def tag_kind(tag: Column, name: Column) -> Column:
     )
 
 
+def _named(value: Column) -> Column:
+    """The named entities that can hide a scheme as characters."""
+    for name, char in (("colon", ":"), ("tab", "\t"), ("newline", "\n"), ("lpar", "("), ("rpar", ")"), ("sol", "/"), ("bsol", r"\\")):
+        value = F.regexp_replace(value, f"(?i)&{name};", char)
+    return value
+
+
 def _decoded_once(value: Column) -> Column:
     """Numeric entities and backslash escapes as characters; other text as it is."""
     pieces = F.regexp_extract_all(value, F.lit(r"(?i)&#[0-9]+;*|&#x[0-9a-f]+;*|\\[0-9]+|[^&\\]+|[&\\]"), F.lit(0))
@@ -98,7 +107,7 @@ def _defanged(value: Column) -> Column:
         return F.when(state["more"], decoded).otherwise(state)
 
     decoded = F.aggregate(F.sequence(F.lit(0), digits), start, decode)["text"]
-    hiding = value.contains("&#") | value.contains("\\")
+    hiding = value.contains("&") | value.contains("\\")
     return F.when(hiding, F.regexp_replace(decoded, r"(?s)\\(.?)", "$1")).otherwise(value)
 
 
@@ -108,7 +117,7 @@ def defanged(value: Column) -> Column:
     Every decoding pass uses up more digits than it can bring forth, so their number bounds the passes; once a pass
     finds nothing, the rest only pass the text along.
     """
-    return bound(value, _defanged)
+    return bound(F.when(value.contains("&"), _named(value)).otherwise(value), _defanged)
 
 
 def unspaced(value: Column) -> Column:

@@ -9,75 +9,103 @@ from pyspark.sql import functions as F
 
 from postmill.session import small_table
 
-# File extensions and the types they stand for. Anything else is DEFAULT_TYPE.
+# File extensions and their types. Anything else is DEFAULT_TYPE.
 DEFAULT_TYPE = "application/octet-stream"
-OOXML = "application/vnd.openxmlformats-officedocument."
-EXTENSIONS_BY_TYPE = {
-    "application/excel": "xl",
-    "application/javascript": "js",
-    "application/mac-binhex40": "hqx",
-    "application/mac-compactpro": "cpt",
-    "application/macbinary": "bin",
-    "application/msword": "doc word",
-    OOXML + "spreadsheetml.sheet": "xlsx",
-    OOXML + "spreadsheetml.template": "xltx",
-    OOXML + "presentationml.template": "potx",
-    OOXML + "presentationml.slideshow": "ppsx",
-    OOXML + "presentationml.presentation": "pptx",
-    OOXML + "presentationml.slide": "sldx",
-    OOXML + "wordprocessingml.document": "docx",
-    OOXML + "wordprocessingml.template": "dotx",
-    "application/vnd.ms-excel.addin.macroEnabled.12": "xlam",
-    "application/vnd.ms-excel.sheet.binary.macroEnabled.12": "xlsb",
-    "application/oda": "oda",
-    "application/pdf": "pdf",
-    "application/postscript": "ai eps ps",
-    "application/smil": "smi smil",
-    "application/vnd.mif": "mif",
-    "application/vnd.ms-excel": "xls",
-    "application/vnd.ms-powerpoint": "ppt",
-    "application/vnd.wap.wbxml": "wbxml",
-    "application/vnd.wap.wmlc": "wmlc",
-    "application/x-director": "dcr dir dxr",
-    "application/x-dvi": "dvi",
-    "application/x-gtar": "gtar",
-    "application/x-httpd-php": "php3 php4 php phtml",
-    "application/x-httpd-php-source": "phps",
-    "application/x-shockwave-flash": "swf",
-    "application/x-stuffit": "sit",
-    "application/x-tar": "tar tgz",
-    "application/xhtml+xml": "xht xhtml",
-    "application/zip": "zip",
-    "audio/midi": "mid midi",
-    "audio/mpeg": "mp2 mp3 mpga",
-    "audio/x-aiff": "aif aifc aiff",
-    "audio/x-pn-realaudio": "ram rm",
-    "audio/x-pn-realaudio-plugin": "rpm",
-    "audio/x-realaudio": "ra",
-    "audio/x-wav": "wav",
-    "image/bmp": "bmp",
-    "image/gif": "gif",
-    "image/jpeg": "jpeg jpe jpg",
-    "image/png": "png",
-    "image/tiff": "tiff tif",
-    "message/rfc822": "eml",
-    "text/css": "css",
-    "text/html": "html htm shtml",
-    "text/plain": "log text txt",
-    "text/richtext": "rtx",
-    "text/rtf": "rtf",
-    "text/vcard": "vcf vcard",
-    "text/xml": "xml xsl",
-    "video/mpeg": "mpeg mpe mpg",
-    "video/quicktime": "mov qt",
-    "video/vnd.rn-realvideo": "rv",
-    "video/x-msvideo": "avi",
-    "video/x-sgi-movie": "movie",
+TYPES = {
+    "ai": "application/postscript",
+    "aif": "audio/x-aiff",
+    "aifc": "audio/x-aiff",
+    "aiff": "audio/x-aiff",
+    "avi": "video/x-msvideo",
+    "bin": "application/macbinary",
+    "bmp": "image/bmp",
+    "cpt": "application/mac-compactpro",
+    "css": "text/css",
+    "dcr": "application/x-director",
+    "dir": "application/x-director",
+    "doc": "application/msword",
+    "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
+    "dotx": "application/vnd.openxmlformats-officedocument.wordprocessingml.template",
+    "dvi": "application/x-dvi",
+    "dxr": "application/x-director",
+    "eml": "message/rfc822",
+    "eps": "application/postscript",
+    "gif": "image/gif",
+    "gtar": "application/x-gtar",
+    "hqx": "application/mac-binhex40",
+    "htm": "text/html",
+    "html": "text/html",
+    "jpe": "image/jpeg",
+    "jpeg": "image/jpeg",
+    "jpg": "image/jpeg",
+    "js": "application/javascript",
+    "log": "text/plain",
+    "mid": "audio/midi",
+    "midi": "audio/midi",
+    "mif": "application/vnd.mif",
+    "mov": "video/quicktime",
+    "movie": "video/x-sgi-movie",
+    "mp2": "audio/mpeg",
+    "mp3": "audio/mpeg",
+    "mpe": "video/mpeg",
+    "mpeg": "video/mpeg",
+    "mpg": "video/mpeg",
+    "mpga": "audio/mpeg",
+    "oda": "application/oda",
+    "pdf": "application/pdf",
+    "php": "application/x-httpd-php",
+    "php3": "application/x-httpd-php",
+    "php4": "application/x-httpd-php",
+    "phps": "application/x-httpd-php-source",
+    "phtml": "application/x-httpd-php",
+    "png": "image/png",
+    "potx": "application/vnd.openxmlformats-officedocument.presentationml.template",
+    "ppsx": "application/vnd.openxmlformats-officedocument.presentationml.slideshow",
+    "ppt": "application/vnd.ms-powerpoint",
+    "pptx": "application/vnd.openxmlformats-officedocument.presentationml.presentation",
+    "ps": "application/postscript",
+    "qt": "video/quicktime",
+    "ra": "audio/x-realaudio",
+    "ram": "audio/x-pn-realaudio",
+    "rm": "audio/x-pn-realaudio",
+    "rpm": "audio/x-pn-realaudio-plugin",
+    "rtf": "text/rtf",
+    "rtx": "text/richtext",
+    "rv": "video/vnd.rn-realvideo",
+    "shtml": "text/html",
+    "sit": "application/x-stuffit",
+    "sldx": "application/vnd.openxmlformats-officedocument.presentationml.slide",
+    "smi": "application/smil",
+    "smil": "application/smil",
+    "swf": "application/x-shockwave-flash",
+    "tar": "application/x-tar",
+    "text": "text/plain",
+    "tgz": "application/x-tar",
+    "tif": "image/tiff",
+    "tiff": "image/tiff",
+    "txt": "text/plain",
+    "vcard": "text/vcard",
+    "vcf": "text/vcard",
+    "wav": "audio/x-wav",
+    "wbxml": "application/vnd.wap.wbxml",
+    "wmlc": "application/vnd.wap.wmlc",
+    "word": "application/msword",
+    "xht": "application/xhtml+xml",
+    "xhtml": "application/xhtml+xml",
+    "xl": "application/excel",
+    "xlam": "application/vnd.ms-excel.addin.macroEnabled.12",
+    "xls": "application/vnd.ms-excel",
+    "xlsb": "application/vnd.ms-excel.sheet.binary.macroEnabled.12",
+    "xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet",
+    "xltx": "application/vnd.openxmlformats-officedocument.spreadsheetml.template",
+    "xml": "text/xml",
+    "xsl": "text/xml",
+    "zip": "application/zip",
 }
 
+
 def type_table(spark: SparkSession) -> DataFrame:
-    rows = [(ext, mime) for mime, exts in EXTENSIONS_BY_TYPE.items() for ext in exts.split()]
-    return small_table(spark, ("ext", "mime"), rows)
+    return small_table(spark, ("ext", "mime"), list(TYPES.items()))
 
 
 def path_parts(path: Column) -> dict[str, Column]:

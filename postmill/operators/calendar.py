@@ -10,7 +10,7 @@ from postmill.operators.ordered import SEGMENT, ordered_concat
 
 # The lines around the events of a calendar.
 HEADER = ("BEGIN:VCALENDAR", "METHOD:PUBLISH", "VERSION:2.0")
-PRODUCT = "PRODID:-//hacksw/handcal//NONSGML v1.0//EN"
+PRODUCT = "PRODID:-//postmill//calendar//EN"
 FOOTER = "END:VCALENDAR"
 
 
@@ -42,7 +42,7 @@ def calendar_export(events: DataFrame, stamped: str, segment_rows: int = SEGMENT
         F.lit("END:VEVENT"),
     )
     texts = ordered_concat(
-        events.withColumn("_entry", entry), ["calendar"], ["seq"], "_entry", "\n", segment_rows, events
+        events.withColumn("_entry", entry), ["calendar"], ["seq"], "_entry", "\n", segment_rows
     )
     name = F.concat(F.lit("X-WR-CALNAME:"), F.col("calendar").cast("string"))
     head = F.concat_ws("\n", *[F.lit(line) for line in HEADER], name, F.lit(PRODUCT))

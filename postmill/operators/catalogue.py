@@ -41,19 +41,14 @@ def localise(
 def translation_coverage(translations: DataFrame, default_lang: str = DEFAULT_LANG) -> DataFrame:
     """``lang, message_key, problem``: keys missing against the default language, and extra ones.
 
-    The only thing every default key is paired with is the list of languages that have gaps: one short name each.
+    A language's keys are gathered and taken from the default language's: only what is missing becomes a row. Both sets are bounded
+    by what a catalogue holds, not by the number of languages.
     """
     pairs = translations.select("lang", "message_key").distinct()
     wanted = pairs.filter(F.col("lang") == default_lang).select("message_key")
     others = pairs.filter(F.col("lang") != default_lang)
     extra = others.join(wanted, "message_key", "left_anti").withColumn("problem", F.lit("extra"))
-    marked = others.join(wanted.withColumn("_hit", F.lit(1)), "message_key", "left")
-    held = marked.groupBy("lang").agg(F.count("_hit").alias("_held"))
-    n_wanted = wanted.agg(F.count(F.lit(1))).scalar()
-    gappy = held.filter(F.col("_held") < n_wanted).agg(F.collect_list("lang")).scalar()
-    missing = (
-        wanted.select(F.explode(gappy).alias("lang"), "message_key")
-        .join(others, ["lang", "message_key"], "left_anti")
-        .withColumn("problem", F.lit("missing"))
-    )
-    return missing.unionByName(extra.select("lang", "message_key", "problem"))
+    keys = wanted.agg(F.array_sort(F.collect_set("message_key")).alias("_wanted"))
+    held = others.groupBy("lang").agg(F.collect_set("message_key").alias("_held"))
+    missing = held.select("lang", F.explode(F.array_except(keys.scalar(), F.col("_held"))).alias("message_key"))
+    return missing.withColumn("problem", F.lit("missing")).unionByName(extra.select("lang", "message_key", "problem"))

@@ -263,13 +263,11 @@ def clusters(df: DataFrame, fingerprint: Column, id_column: str) -> DataFrame:
     )
 
 
-def error_totals(errors: DataFrame) -> DataFrame:
-    """Per message ``n_errors, is_error, last_error``; the latest text by ``seq`` wins."""
-    return errors.groupBy("message_id").agg(
-        F.count(F.lit(1)).alias("n_errors"),
-        (F.count(F.lit(1)) > 0).alias("is_error"),
-        F.max_by("error", "seq").alias("last_error"),
-    )
+def error_totals(messages: DataFrame, errors: DataFrame) -> DataFrame:
+    """Per message ``n_errors, is_error, last_error``; the latest text by ``seq`` wins. Without errors: 0, false and null."""
+    totals = errors.groupBy("message_id").agg(F.count(F.lit(1)).alias("_n"), F.max_by("error", "seq").alias("last_error"))
+    counted = messages.select("message_id").join(totals, "message_id", "left").withColumn("n_errors", F.coalesce("_n", F.lit(0)))
+    return counted.select("message_id", "n_errors", (F.col("n_errors") > 0).alias("is_error"), "last_error")
 
 
 def custom_headers(headers: DataFrame) -> DataFrame:

@@ -1,24 +1,40 @@
 """Order-dependent steps that hold when one group owns a large share of the rows.
 
-A plain window puts a whole group in one task. These split a group into ordered blocks, work inside each block, and
-carry one summary row per block across the group.
+A plain window puts a whole group in one task. These sort the rows into ranges of (group, order), work inside each range, and
+carry one summary row per range and group across the group. Ranges follow the rows, not their order numbers: sparse and tied
+numbers are cut as evenly as any.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Rows of one group joined into one text. Also bounds the list of large groups: at most one per SEGMENT input rows.
+from postmill.session import durable
+
+# Rows and bytes of one group joined into one text.
 SEGMENT = 200_000
-# Rows of one block in the running rules; needs an order number that grows by at least one per row.
-BLOCK = 500_000
+SEGMENT_BYTES = 64 << 20
+
 
+def in_ranges(df: DataFrame, group: Sequence[str], order: Sequence[str], block: str, partitions: int | None = None) -> DataFrame:
+    """``df`` with ``block``, the number of the range of (group, order) a row lies in.
+
+    The ranges are written to the shared folder: what is worked out from them, and a rerun of a lost task, see the same ones.
+    """
+    columns = [*group, *order]
+    ranged = df.repartitionByRange(partitions, *columns) if partitions else df.repartitionByRange(*columns)
+    return durable(ranged.withColumn(block, F.spark_partition_id()))
 
-def block_of(order: Column, size: int = BLOCK) -> Column:
-    return F.floor(order / size).cast("bigint")
+
+def _on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Join on ``keys``, null keys included."""
+    named = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
+    return left.join(named, same).drop(*[f"_right_{k}" for k in keys])
 
 
 def running_total(
@@ -36,7 +52,7 @@ def running_total(
     )
     return (
         rows.withColumn("_inside", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
-        .join(offsets, keys)
+        .transform(lambda left: _on_keys(left, offsets, keys))
         .withColumn(out, F.col("_before") + F.col("_inside"))
         .drop("_value", "_inside", "_before")
     )
@@ -57,7 +73,7 @@ def carry_last(
     )
     return (
         df.withColumn("_seen", F.last(value, ignorenulls=True).over(inside))
-        .join(carried, keys)
+        .transform(lambda left: _on_keys(left, carried, keys))
         .withColumn(out, F.coalesce("_seen", "_carried"))
         .drop("_seen", "_carried")
     )
@@ -70,49 +86,29 @@ def ordered_concat(
     piece: str,
     separator: str = "",
     segment_rows: int = SEGMENT,
-    counted: DataFrame | None = None,
-    counted_by: Sequence[str] | None = None,
+    segment_bytes: int = SEGMENT_BYTES,
+    carry: Sequence[Column] = (),
 ) -> DataFrame:
-    """Join the pieces of each group in order: ``(group..., segment, segments, text)``.
+    """Join the pieces of each group in order: ``(group..., segment, segments, text, carry...)``.
 
-    A group of at most ``segment_rows`` rows is one row, segment 0. A larger one is range-partitioned on its order, so
-    no task holds it whole, and comes back as several segments; joining those in order with the same separator gives
-    the full text.
+    A text comes in ``segments`` pieces numbered from 0; joining those in order with the same separator gives all of it. A segment has
+    at most ``segment_rows`` rows and, but for a single larger piece, about ``segment_bytes`` bytes: a row's share of a segment is one
+    row or its bytes, whichever is more, and segments are cut where the shares before a row make a whole number. So the cuts
+    depend on the rows alone, not on how they are spread. ``carry`` are aggregates worked out per segment.
 
-    Whether there are large groups is found out first, by counting keys. ``counted`` names a cheaper table to count,
-    with no fewer rows per key, and ``counted_by`` the part of the keys to count by. The list of large groups is
-    broadcast: it holds at most one row per ``segment_rows`` rows counted.
+    A group whose rows tie in ``order`` puts them in one range; give an order that tells rows apart.
     """
     group, order = list(group), list(order)
-    keys = list(counted_by or group)
-    rows = df.select(*group, *order, F.col(piece).alias("_piece"))
-
-    def joined(source: DataFrame, by: list[str]) -> DataFrame:
-        pieces = F.array_sort(F.collect_list(F.struct(*order, "_piece")))
-        text = F.array_join(F.transform(pieces, lambda p: p["_piece"]), separator)
-        return source.groupBy(*by).agg(text.alias("text"))
-
-    def whole(source: DataFrame) -> DataFrame:
-        one = {"segment": F.lit(0).cast("bigint"), "segments": F.lit(1).cast("bigint")}
-        return joined(source, group).select(*group, *[v.alias(k) for k, v in one.items()], "text")
-
-    sizes = (df if counted is None else counted).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    large = sizes.filter(F.col("_n") > segment_rows).select(*keys)
-    if large.isEmpty():
-        return whole(rows)
-
-    ranged = (
-        rows.join(F.broadcast(large), keys, "left_semi")
-        .repartitionByRange(*group, *order)
-        .withColumn("_part", F.spark_partition_id())
-    )
-    within = Window.partitionBy(*group, "_part").orderBy(*order)
-    cut = ranged.withColumn("_cut", F.floor((F.row_number().over(within) - 1) / segment_rows))
+    unit = max(1, segment_bytes // segment_rows)
+    share = F.least(F.lit(segment_rows), F.greatest(F.lit(1), F.ceil(F.octet_length("_piece") / F.lit(unit)))).cast("bigint")
+    named = df.withColumn("_piece", F.coalesce(F.col(piece), F.lit("")))
+    placed = running_total(in_ranges(named, group, order, "_range"), group, order, share, "_place", "_range")
+    pieces = F.array_sort(F.collect_list(F.struct(*order, "_piece")))
+    text = F.array_join(F.transform(pieces, lambda p: p["_piece"]), separator)
+    cut = placed.withColumn("_cut", F.floor(F.col("_place") / segment_rows))
+    joined = cut.groupBy(*group, "_cut").agg(text.alias("text"), *carry)
+    # A segment's number counts the cuts before it: one row per segment.
     along = Window.partitionBy(*group)
-    split = joined(cut, [*group, "_part", "_cut"]).select(
-        *group,
-        (F.row_number().over(along.orderBy("_part", "_cut")) - 1).cast("bigint").alias("segment"),
-        F.count(F.lit(1)).over(along).alias("segments"),
-        "text",
-    )
-    return whole(rows.join(F.broadcast(large), keys, "left_anti")).unionByName(split)
+    return joined.withColumn("segment", (F.row_number().over(along.orderBy("_cut")) - 1).cast("bigint")).withColumn(
+        "segments", F.count(F.lit(1)).over(along)
+    ).drop("_cut")

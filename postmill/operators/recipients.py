@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from postmill.functions.address import PATTERNS, address_key, ascii_addresses, domain_of, is_address, is_international
 from postmill.functions.headers import phrase
 from postmill.functions.text import blank, has_break, secured, trimmed
-from postmill.operators.ordered import SEGMENT, block_of, ordered_concat, running_total
+from postmill.operators.ordered import SEGMENT, in_ranges, ordered_concat, running_total
 
 ORDER = ("kind_rank", "seq", "t1", "t2", "address")
 KINDS = ("to", "cc", "bcc", "Reply-To")
@@ -75,9 +75,8 @@ def dedup_reply_to(df: DataFrame, order: Sequence[str] = ORDER) -> DataFrame:
 
 
 def accepted_recipients(df: DataFrame, pattern: Pattern = "html5", order: Sequence[str] = ORDER) -> DataFrame:
-    """Who receives each message: cleaned, valid, each address once."""
-    valid, _ = validate_addresses(clean_recipients(df), pattern)
-    return dedup_reply_to(valid, order)
+    """Who receives each message: cleaned, valid, international domains in ASCII form, each address once."""
+    return dedup_idn(df, pattern, order).drop("pass")
 
 
 def dedup_idn(df: DataFrame, pattern: Pattern = "html5", order: Sequence[str] = ORDER) -> DataFrame:
@@ -96,20 +95,25 @@ def dedup_idn(df: DataFrame, pattern: Pattern = "html5", order: Sequence[str] =
 
 
 def reject_reasons(df: DataFrame, pattern: Pattern = "html5") -> DataFrame:
-    """``reason, domain, n``: refused rows by first failing rule, and dropped duplicates, by lower-case domain."""
-    judged = clean_recipients(df).withColumns(
-        {"reason": refusal(pattern), "domain": F.lower(F.coalesce(domain_of(F.col("address")), F.lit("")))}
+    """``reason, domain, n``: refused rows by first failing rule, and dropped duplicates, by lower-case domain.
+
+    Addresses are judged with their domains in ASCII form. Refused rows and accepted addresses are counted in one grouping, in which
+    rows that are refused have no address, so a domain's many refusals are one row per task.
+    """
+    rows = clean_recipients(df).withColumn("_foreign", is_international(F.col("address")))
+    named = rows.filter("not _foreign").unionByName(ascii_addresses(rows.filter("_foreign")))
+    judged = named.withColumns(
+        {"_refused": refusal(pattern), "domain": F.lower(F.coalesce(domain_of(F.col("address")), F.lit("")))}
     )
-    refused = judged.filter("reason is not null").groupBy("reason", "domain").agg(F.count(F.lit(1)).alias("n"))
-    repeats = (
-        judged.filter("reason is null")
-        .groupBy("message_id", _namespace().alias("_reply"), address_key(F.col("address")).alias("_key"), "domain")
-        .agg((F.count(F.lit(1)) - 1).alias("_more"))
-        .filter("_more > 0")
-        .groupBy(F.lit("duplicate").alias("reason"), "domain")
-        .agg(F.sum("_more").alias("n"))
+    fits = F.col("_refused").isNull()
+    counted = judged.groupBy(
+        "_refused", "domain", F.when(fits, F.col("message_id")).alias("_message"), F.when(fits, _namespace()).alias("_reply"),
+        F.when(fits, address_key(F.col("address"))).alias("_key"),
+    ).agg(F.count(F.lit(1)).alias("_n"))
+    more = counted.select(
+        F.coalesce("_refused", F.lit("duplicate")).alias("reason"), "domain", F.when(fits, F.col("_n") - 1).otherwise(F.col("_n")).alias("_n")
     )
-    return refused.unionByName(repeats)
+    return more.filter("_n > 0").groupBy("reason", "domain").agg(F.sum("_n").alias("n"))
 
 
 def top_rejected_domains(df: DataFrame, k: int, pattern: Pattern = "html5") -> DataFrame:
@@ -163,14 +167,12 @@ def recipient_headers(
     transport: str = "smtp",
     segment_rows: int = SEGMENT,
     messages: DataFrame | None = None,
-    added: DataFrame | None = None,
 ) -> DataFrame:
     """Address header lines: ``message_id, kind, segment, header``.
 
     Bcc is written only for transports that read it from the header, To not for the one that writes its own. A message with neither to nor cc gets the
     undisclosed-recipients line; give ``messages`` to include those without any row here. A header of more than
-    ``segment_rows`` addresses is given as several segments, to be joined by ``', '``. ``added`` names the recipients
-    before any check, if at hand: counting those spares a pass over the deduplicated ones.
+    ``segment_rows`` addresses is given as several segments, to be joined by ``', '``.
     """
     shown = ["cc", REPLY_TO] + (["to"] if transport != "mail" else [])
     shown += ["bcc"] if transport in ("sendmail", "qmail", "mail") else []
@@ -179,7 +181,7 @@ def recipient_headers(
         {"entry": formatted(F.col("address"), F.col("name")), "label": F.when(_namespace(), REPLY_TO).otherwise(label)}
     )
     lines = ordered_concat(
-        entries, ["message_id", "label"], order, "entry", ", ", segment_rows, added or df, ["message_id"]
+        entries, ["message_id", "label"], order, "entry", ", ", segment_rows
     ).select(
         "message_id",
         F.col("label").alias("kind"),
@@ -211,13 +213,12 @@ def single_to(messages: DataFrame, recipients: DataFrame) -> DataFrame:
 def recipient_order(df: DataFrame, order: Sequence[str] = ("seq", "t1", "t2", "address")) -> DataFrame:
     """Envelope order: to, then cc, then bcc, each as added. Adds ``position``, from 1.
 
-    Positions are counted per block of ``seq``, so a message with very many recipients is not one task.
+    Positions are counted per range of rows, so a message with very many recipients is not one task, whatever its ``seq``.
     """
     rank = F.when(F.col("kind") == "to", 0).when(F.col("kind") == "cc", 1).otherwise(2)
-    rows = df.filter(~_namespace()).withColumns({"_rank": rank, "_seq_block": block_of(F.col("seq"))})
-    rows = rows.withColumn("_block", F.struct("_rank", "_seq_block"))
+    rows = in_ranges(df.filter(~_namespace()).withColumn("_rank", rank), ["message_id"], ["_rank", *order], "_block")
     counted = running_total(rows, ["message_id"], ["_rank", *order], F.lit(1), "_earlier", "_block")
-    return counted.withColumn("position", F.col("_earlier") + 1).drop("_rank", "_seq_block", "_block", "_earlier")
+    return counted.withColumn("position", F.col("_earlier") + 1).drop("_rank", "_block", "_earlier")
 
 
 def envelope(to: DataFrame, cc: DataFrame, bcc: DataFrame) -> DataFrame:

@@ -70,12 +70,11 @@ def header_block(
     x_mailer: str = "postmill",
     transport: str = "smtp",
     charset: str = "utf-8",
-    added: DataFrame | None = None,
 ) -> DataFrame:
     """``message_id, pos, seq, name, value``: the header lines of each message in order of (pos, seq).
 
     ``messages`` is typed and encoded; ``recipients`` are the accepted ones; ``headers`` are ``message_id, seq, name,
-    value``, and ``added`` the recipients before any check. To is one line of several rows where a message has very many recipients.
+    value``. To is one line of several rows where a message has very many recipients.
     """
     kind = F.col("message_type")
     multi = ~kind.isin("plain")
@@ -115,7 +114,7 @@ def header_block(
     own = named.select("message_id", F.inline(lines)).filter("value is not null").select(
         "message_id", "pos", zero.alias("seq"), "name", "value"
     )
-    to = recipient_headers(encode_names(recipients, charset=charset), ORDER, transport, messages=messages, added=added)
+    to = recipient_headers(encode_names(recipients, charset=charset), ORDER, transport, messages=messages)
     places = F.create_map(*[F.lit(x) for item in PLACES.items() for x in item])
     addressed = to.select(
         "message_id",
@@ -264,10 +263,8 @@ def render_corpus(
         zero.alias("t2"), F.lit(CRLF + CRLF).alias("piece"),
     )
     pieces = top.unionByName(gap).unionByName(part_texts(typed)).unionByName(attachment_texts(typed, attachments))
-    # Only custom headers and attachments can be many.
-    many = headers.select("message_id").unionByName(attachments.select("message_id"))
     order = ["pos", "step", "seq", "t1", "t2"]
-    texts = ordered_concat(pieces, ["message_id"], order, "piece", "", segment_rows, many)
+    texts = ordered_concat(pieces, ["message_id"], order, "piece", "", segment_rows)
     return texts.select("message_id", "segment", F.col("text").alias("message"))
 
 

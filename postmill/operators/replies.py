@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.functions.text import trimmed
-from postmill.operators.ordered import SEGMENT, block_of, ordered_concat, running_total
+from postmill.operators.ordered import SEGMENT, in_ranges, ordered_concat, running_total
 from postmill.session import small_table
 
 # Reply codes that count as success, by command.
@@ -45,10 +45,10 @@ def expected_table(spark: SparkSession) -> DataFrame:
 def reply_lines(lines: DataFrame) -> DataFrame:
     """Add ``reply_no`` to server lines ``session_id, line_no, line``: a reply ends at a line whose 4th byte is a space.
 
-    ``line_no`` numbers the lines of a session; the count runs per block of it, so one long session is many tasks.
+    ``line_no`` orders the lines of a session; the count runs per range of rows, so one long session is many tasks.
     """
     ends = (F.substring("line", 4, 1) == " ").cast("bigint")
-    blocked = lines.withColumn("_block", block_of(F.col("line_no")))
+    blocked = in_ranges(lines, ["session_id"], ["line_no"], "_block")
     return running_total(blocked, ["session_id"], ["line_no"], ends, "reply_no", "_block").drop("_block")
 
 
@@ -58,10 +58,11 @@ def assemble_replies(lines: DataFrame, segment_rows: int = SEGMENT) -> DataFrame
     A reply of more than ``segment_rows`` lines comes in several segments, each with its own first line number.
     """
     numbered = reply_lines(lines)
+    first = F.min("line_no").alias("first_line_no")
     texts = ordered_concat(
-        numbered, ["session_id", "reply_no", "command"], ["line_no"], "line", "\n", segment_rows, lines, ["session_id"]
+        numbered, ["session_id", "reply_no", "command"], ["line_no"], "line", "\n", segment_rows, carry=[first]
     )
-    return texts.select("session_id", "reply_no", "command", "segment", F.col("text").alias("reply"))
+    return texts.select("session_id", "reply_no", "first_line_no", "command", "segment", F.col("text").alias("reply"))
 
 
 def reply_fields(reply: Column) -> dict[str, Column]:
@@ -154,7 +155,7 @@ def send_outcome(results: DataFrame) -> DataFrame:
 def failure_texts(results: DataFrame, order: list[str], segment_rows: int = SEGMENT) -> DataFrame:
     """``message_id, segment, failures``: ``address: detail`` of the rejected recipients, run together in order."""
     bad = results.filter(~F.col("accepted")).withColumn("_text", F.concat("address", F.lit(": "), "detail"))
-    return ordered_concat(bad, ["message_id"], order, "_text", "", segment_rows, results).select(
+    return ordered_concat(bad, ["message_id"], order, "_text", "", segment_rows).select(
         "message_id", "segment", F.col("text").alias("failures")
     )
 

@@ -13,7 +13,7 @@ DEFUSED = "idiocy"
 STYLE_REMOVED = "<!-- style block removed by html filter due to presence of 8bit characters -->"
 IMPORT_REMOVED = "\n<!-- @import rules forbidden -->\n"
 
-TOKEN = f"(?is){h.STYLE}|(?-i:{h.TAG})|[^<]+|<"
+TOKEN = rf"(?is){h.STYLE}|(?-i:{h.TAG})|(?:[^<]++|<(?=\s))++|<"
 
 
 def _chain(value: Column, rules: list[tuple[str, str]]) -> Column:
@@ -207,14 +207,17 @@ def sanitize_pages(
         has_attributes = i["token"].rlike(r"[\s/]") | (i["name"] == "body")
         text = (
             F.when(i["style"], _safe_style(i["token"], placeholder, block_external))
-            .when(i["kind"] == "text", i["token"])
+            # A < without white space behind it could make a tag with what follows once something between the two is gone.
+            .when(i["kind"] == "text", F.when(i["token"] == "<", "&lt;").otherwise(i["token"]))
             .when(i["kind"] == "close", F.concat(F.lit("</"), shown, F.lit(">")))
             .when(has_attributes | (i["kind"] == "self") | (i["name"] == "a"), opening)
             .otherwise(bare)
         )
         return F.struct(i["pos"].alias("pos"), shown.alias("name"), i["kind"].alias("kind"), text.alias("text"))
 
-    kept = F.filter(F.transform(tokens, item), lambda i: ~i["name"].isin(*h.REMOVED_TAGS))
+    # What goes with its content goes here once more: taking out an element can leave the tags of another.
+    gone = (*h.REMOVED_TAGS, *h.REMOVED_WITH_CONTENT)
+    kept = F.filter(F.transform(tokens, item), lambda i: ~i["name"].isin(*gone))
     return pages.select("page_id", h.bound(F.transform(kept, printed), _balanced).alias("_safe")).select(
         "page_id", "_safe.html", "_safe.n_dropped", "_safe.n_closed"
     )

@@ -87,6 +87,22 @@ handled as (
 select {ROW}, pass from handled where {valid('address')}
 qualify row_number() over (partition by message_id, kind = 'Reply-To', lower(address)
                            order by pass, kind_rank, seq, t1, t2) = 1"""
+IDN_ASCII = "replace(replace(replace({c}, 'françois.ch', 'xn--franois-xxa.ch'), 'FRANÇOIS.CH', 'xn--franois-xxa.ch'), 'straße.example', 'strasse.example')"
+SQL["recipient_counts_idn"] = f"""
+with accepted as ({SQL['dedup_idn']})
+select message_id, count(*) filter (kind = 'to') as n_to, count(*) filter (kind = 'cc') as n_cc,
+  count(*) filter (kind = 'bcc') as n_bcc, count(*) filter (kind = 'Reply-To') as n_reply_to,
+  count(*) filter (kind <> 'Reply-To') as n_total from accepted group by message_id"""
+SQL["reject_reasons_idn"] = f"""
+with rows as (
+  select message_id, kind, {IDN_ASCII.format(c='address')} as address from idn_recipients),
+judged as (
+  select *, lower(split_part(address, '@', 2)) as domain, {valid('address')} as fits from rows)
+select 'invalid_address' as reason, domain, count(*) as n from judged where not fits group by domain
+union all
+select 'duplicate', domain, cast(sum(more) as bigint) from (
+  select domain, count(*) - 1 as more from judged where fits group by message_id, kind = 'Reply-To', lower(address), domain)
+where more > 0 group by domain"""
 SQL["recipient_headers"] = f"""
 with {ACCEPTED},
 entries as (
@@ -260,8 +276,9 @@ with prints as (
 select fingerprint, count(*) as n, min(message_id) as first_id, max(message_id) as last_id
 from prints group by fingerprint having count(*) > 1"""
 SQL["error_totals"] = """
-select message_id, count(*) as n_errors, cast(1 as bigint) as is_error, max_by(message_key, seq) as last_error
-from errors group by message_id"""
+select m.message_id, count(e.message_id) as n_errors, cast(count(e.message_id) > 0 as bigint) as is_error,
+  coalesce(max_by(e.message_key, e.seq), '(none)') as last_error
+from messages m left join errors e on m.message_id = e.message_id group by m.message_id"""
 HEADERS = f"""split_headers as (
   select message_id, seq, trim(case when contains(raw, ':') then left(raw, strpos(raw, ':') - 1) else raw end, {SPACE}) as name,
          case when contains(raw, ':') then trim(substr(raw, strpos(raw, ':') + 1), {SPACE}) end as value from raw_headers)"""
@@ -496,8 +513,8 @@ REPLIES = """ends as (
     rows between unbounded preceding and 1 preceding), 0) as reply_no from transcript_lines),
 replies as (
   select session_id, cast(reply_no as bigint) as reply_no, command, cast(0 as bigint) as segment,
-    string_agg(line, chr(10) order by line_no) as reply from ends group by session_id, reply_no, command)"""
-SQL["assemble_replies"] = f"with {REPLIES} select session_id, reply_no, command, segment, reply from replies"
+    min(line_no) as first_line_no, string_agg(line, chr(10) order by line_no) as reply from ends group by session_id, reply_no, command)"""
+SQL["assemble_replies"] = f"with {REPLIES} select session_id, reply_no, first_line_no, command, segment, reply from replies"
 CODES = r"""parsed as (
   select *, regexp_extract(reply, '^([0-9]{3})[ -](?:([0-9]\.[0-9]\.[0-9]) )?', 1) as code,
     regexp_extract(reply, '^([0-9]{3})[ -](?:([0-9]\.[0-9]\.[0-9]) )?', 2) as code_ex from replies),
@@ -579,7 +596,7 @@ with entries as (
     'URL;VALUE=URI:' || url, 'END:VEVENT') as entry from calendar_events),
 texts as (
   select calendar, concat_ws(chr(10), 'BEGIN:VCALENDAR', 'METHOD:PUBLISH', 'VERSION:2.0', 'X-WR-CALNAME:' || cast(calendar as varchar),
-    'PRODID:-//hacksw/handcal//NONSGML v1.0//EN', string_agg(entry, chr(10) order by seq), 'END:VCALENDAR') as ics
+    'PRODID:-//postmill//calendar//EN', string_agg(entry, chr(10) order by seq), 'END:VCALENDAR') as ics
   from entries group by calendar)
 select calendar, cast(0 as bigint) as segment, strlen(ics) as n_bytes, md5(ics) as ics_md5 from texts"""
 

@@ -24,6 +24,7 @@ from postmill.plans.views import table, view
 from postmill.session import shared_dir
 from postmill.sources.catalogues import parse_catalogue
 from postmill.sources.files import attachment_files
+from postmill.sources.sinks import CSV
 from postmill.sources.sinks import write_corpus as store_corpus
 from postmill.sources.sinks import write_delivery_log as store_log
 from postmill.sources.transcripts import parse_transcript
@@ -115,7 +116,17 @@ def dedup_idn(spark: SparkSession, d: str) -> DataFrame:
 @query
 def recipient_headers(spark: SparkSession, d: str) -> DataFrame:
     added = view(spark, d, "raw_recipients")
-    return rec.recipient_headers(rec.accepted_recipients(added), transport="sendmail", added=added)
+    return rec.recipient_headers(rec.accepted_recipients(added), transport="sendmail")
+
+
+@query
+def recipient_counts_idn(spark: SparkSession, d: str) -> DataFrame:
+    return rec.recipient_counts(rec.accepted_recipients(view(spark, d, "idn_recipients")))
+
+
+@query
+def reject_reasons_idn(spark: SparkSession, d: str) -> DataFrame:
+    return rec.reject_reasons(view(spark, d, "idn_recipients"))
 
 
 @query
@@ -262,7 +273,8 @@ def duplicate_headers(spark: SparkSession, d: str) -> DataFrame:
 @query
 def error_totals(spark: SparkSession, d: str) -> DataFrame:
     errors = view(spark, d, "errors").withColumnRenamed("message_key", "error")
-    return msg.error_totals(errors).withColumn("is_error", F.col("is_error").cast("bigint"))
+    totals = msg.error_totals(view(spark, d, "messages"), errors).withColumn("is_error", F.col("is_error").cast("bigint"))
+    return totals.withColumn("last_error", F.coalesce("last_error", F.lit("(none)")))
 
 
 @query
@@ -590,7 +602,7 @@ def _message_parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, D
 @query
 def header_lines(spark: SparkSession, d: str) -> DataFrame:
     messages, recipients, headers, files = _message_parts(spark, d)
-    return header_block(ready(messages, files), recipients, headers, host="mx.example.com", added=view(spark, d, "raw_recipients"))
+    return header_block(ready(messages, files), recipients, headers, host="mx.example.com")
 
 
 @query
@@ -602,13 +614,13 @@ def attachment_parts(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def render_messages(spark: SparkSession, d: str) -> DataFrame:
-    return render_corpus(*_message_parts(spark, d), host="mx.example.com", added=view(spark, d, "raw_recipients"))
+    return render_corpus(*_message_parts(spark, d), host="mx.example.com")
 
 
 @query
 def render_texts(spark: SparkSession, d: str) -> DataFrame:
     messages, recipients, headers, _ = _message_parts(spark, d)
-    return render_text_messages(messages, recipients, headers, host="mx.example.com", added=view(spark, d, "raw_recipients"))
+    return render_text_messages(messages, recipients, headers, host="mx.example.com")
 
 
 @query
@@ -626,7 +638,7 @@ def render_documents(spark: SparkSession, d: str) -> DataFrame:
         F.concat(F.lit("reader."), F.col("message_id").cast("string"), F.lit("@example.com")).alias("address"), F.lit("").alias("name"),
     )
     none = view(spark, d, "raw_headers").filter("false").withColumns({"name": F.lit(""), "value": F.lit("")})
-    return render_text_messages(docs, to, none, added=to)
+    return render_text_messages(docs, to, none)
 
 
 # Streams, as batches
@@ -682,7 +694,7 @@ def write_delivery_log(spark: SparkSession, d: str) -> DataFrame:
     path = shared_dir(spark) + "/log"
     log = view(spark, d, "delivery_log").select("event_id", "session_id", "command", "reply")
     store_log(log, path, "csv")
-    return spark.read.schema(log.schema).csv(path)
+    return spark.read.schema(log.schema).options(**CSV).csv(path)
 
 
 @query

@@ -7,13 +7,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postmill.session import spread
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
-TEXT_TABLES = ("documents", "pages", "conversations")
 
 VIEWS: dict[str, str] = {}
 
@@ -245,7 +243,7 @@ from lineitem"""
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df) if name in TEXT_TABLES else df
+    return df
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -7,15 +7,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 
+# CSV that keeps line breaks, quotes, empty texts and nulls apart, for writing and reading.
+CSV = {"multiLine": "true", "quoteAll": "true", "escape": '"', "nullValue": "\\N", "emptyValue": "", "header": "true"}
+
+
 def write_delivery_log(
     events: DataFrame, path: str, fmt: str = "parquet", checkpoint: str | None = None
 ) -> StreamingQuery | None:
     """Append one row per send attempt, as parquet or csv. A stream needs ``checkpoint`` and gives its query back."""
     if not events.isStreaming:
-        events.write.mode("append").format(fmt).save(path)
+        events.write.mode("append").format(fmt).options(**CSV if fmt == "csv" else {}).save(path)
         return None
     return (
-        events.writeStream.format(fmt).option("path", path).option("checkpointLocation", checkpoint)
+        events.writeStream.format(fmt).options(**CSV if fmt == "csv" else {}).option("path", path).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
 

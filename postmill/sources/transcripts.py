@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.operators.ordered import block_of, carry_last
+from postmill.operators.ordered import carry_last, in_ranges
 
 # How a stamped line and its direction look.
 STAMPED = r"^([0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2})\t(?s)(.*)$"
@@ -26,7 +26,7 @@ def parse_transcript(lines: DataFrame) -> DataFrame:
 
     A folded line belongs to the stamp before it, however far back that is.
     """
-    return _carried(_parsed(lines).withColumn("_block", block_of(F.col("line_no"))))
+    return _carried(in_ranges(_parsed(lines), ["log"], ["line_no"], "_block"))
 
 
 def read_transcript(spark: SparkSession, path: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from postmill.functions.address import address_key
-from postmill.operators.ordered import block_of, carry_last, running_total
+from postmill.operators.ordered import carry_last, in_ranges, running_total
 
 KINDS = ("to", "cc", "bcc", "Reply-To")
 
@@ -27,7 +27,7 @@ def recipient_ledger(commands: DataFrame) -> DataFrame:
     row per epoch at most, and a fold over those rows replays the lists.
     """
     is_clear = (F.col("op") == "clear").cast("bigint")
-    blocked = commands.withColumn("_block", block_of(F.col("seq")))
+    blocked = in_ranges(commands, ["message_id"], ["seq"], "_block")
     counted = running_total(blocked, ["message_id"], ["seq"], is_clear, "epoch", "_block")
 
     # When is a listing made in an epoch ended? At the next clear of its kind: look forward along each kind.

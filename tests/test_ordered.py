@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from postmill.operators import recipients as rec
 from postmill.operators.calendar import calendar_export
 from postmill.operators.campaigns import send_until_failure
-from postmill.operators.ordered import block_of, carry_last, ordered_concat, running_total
+from postmill.operators.ordered import carry_last, in_ranges, ordered_concat, running_total
 
 
 @pytest.fixture(scope="module")
@@ -36,13 +36,13 @@ def test_concat_in_segments(rows):
 
 
 def test_running_total_over_blocks(rows):
-    got = running_total(rows.withColumn("b", block_of(F.col("seq"), 100)), ["g"], ["seq"], F.lit(1), "before", "b")
+    got = running_total(in_ranges(rows, ["g"], ["seq"], "b", 30), ["g"], ["seq"], F.lit(1), "before", "b")
     for rs in by_group(got).values():
         assert [r.before for r in rs] == list(range(len(rs)))
 
 
 def test_carry_over_blocks(rows):
-    marked = rows.withColumns({"mark": F.when(F.col("flag"), F.col("seq")), "b": block_of(F.col("seq"), 10)})
+    marked = in_ranges(rows.withColumn("mark", F.when(F.col("flag"), F.col("seq"))), ["g"], ["seq"], "b", 50)
     for rs in by_group(carry_last(marked, ["g"], ["seq"], "mark", "last", "b")).values():
         seen = None
         for r in rs:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from postmill.plans.views import view
 from postmill.sources.catalogues import read_catalogue
 from postmill.sources.files import attachment_files
-from postmill.sources.sinks import write_delivery_log
+from postmill.sources.sinks import CSV, write_delivery_log
 from postmill.sources.transcripts import read_transcript
 from postmill.streaming import delivery as live
 from postmill.streaming.ledger import live_ledger, recipient_ledger
@@ -95,7 +95,7 @@ def test_outbox_survives_a_rerun(feed, spark, small, tmp_path):
 def test_delivery_log_sinks(feed, spark, tmp_path):
     batch, stream = feed
     write_delivery_log(batch, str(tmp_path / "b"), "csv")
-    assert spark.read.csv(str(tmp_path / "b")).count() == batch.count()
+    assert spark.read.options(**CSV).csv(str(tmp_path / "b")).count() == batch.count()
     write_delivery_log(stream, str(tmp_path / "s"), checkpoint=str(tmp_path / "scp")).awaitTermination()
     same(spark.read.parquet(str(tmp_path / "s")), batch)
 
