@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.llm import bpe, linededup, mixing, quality, simhash
 
 
+def _columns(docs: DataFrame) -> list[Column]:
+    """All columns; names may hold dots and blanks."""
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the quality rules keep, as they are."""
-    return quality.judge(docs.select(F.struct(*docs.columns).alias("_row"), "text"), keep=("_row",)).filter("kept").select("_row.*")
+    rows = docs.select(F.struct(*_columns(docs)).alias("_row"), "text")
+    return quality.judge(rows, keep=("_row",)).filter("kept").select("_row.*")
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,7 +24,7 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     rest = linededup.dedup_lines(docs)
     if "n_chars" in docs.columns:
         rest = rest.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text").cast(docs.schema["n_chars"].dataType)))
-    return rest.select(docs.columns)
+    return rest.select(_columns(docs))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
