@@ -84,29 +84,39 @@ def line_fails(line: Column) -> Column:
     return boiler | signs | menu | (unended & (n_words < PROSE_WORDS))
 
 
+def verdict(text: Column) -> Column:
+    """All figures of one text as a struct.
+
+    Words, windows and lines are bound within the expression, not as columns before it: a filter on ``kept`` may then be
+    pushed into the scan as it is, where columns would be written out again at each of their uses.
+    """
+
+    def of_words(words: Column) -> Column:
+        return let(window_hashes(words), lambda windows: F.struct(
+            F.size(words).cast("bigint").alias("n_words"), F.char_length(F.array_join(words, "")).cast("bigint").alias("word_chars"),
+            covered_words(windows).cast("bigint").alias("n_repeat_words"),
+        ))
+
+    def judged(f: Column, lines: Column, good: Column) -> Column:
+        failed = (f["n_words"] < MIN_WORDS) | (f["n_repeat_words"] * 100 > f["n_words"] * MOST_REPEATED)
+        left, whole = F.char_length(F.array_join(good, "")), F.char_length(F.array_join(lines, ""))
+        return F.struct(
+            f["n_words"].alias("n_words"), f["word_chars"].alias("word_chars"), n_symbols(text).cast("bigint").alias("n_symbols"),
+            n_dup_lines(lines).cast("bigint").alias("n_dup_lines"), f["n_repeat_words"].alias("n_repeat_words"),
+            failed.alias("base_failed"), (~failed & (left >= whole * LEAST_KEPT)).alias("kept"), F.array_join(good, "\n").alias("clean_text"),
+        )
+
+    lines = F.filter(F.split(text, "\n"), lambda line: F.octet_length(F.btrim(line, F.lit(" \t\n\x0b\f\r"))) > 0)
+    return let(let(words_of(text), of_words), lambda f: let(lines, lambda lines: let(
+        F.filter(lines, lambda line: ~line_fails(line)), lambda good: judged(f, lines, good)
+    )))
+
+
 def judge(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row per document: the columns ``keep``, the base figures, ``base_failed``, ``kept`` and ``clean_text``.
 
     ``clean_text`` is the text without the lines that fail. Null and empty texts have no word, so they fail the base; a
     repeated row is judged like its first. An empty table gives no rows.
     """
-    text = text_of("text")
-    base = docs.select(*[F.col(f"`{c}`") for c in keep], text.alias("_text"))
-    base = base.withColumn("_words", words_of(F.col("_text"))).withColumn(
-        "_lines", F.filter(F.split("_text", "\n"), lambda line: F.octet_length(F.btrim(line, F.lit(" \t\n\x0b\f\r"))) > 0)
-    )
-    base = base.withColumn("_windows", window_hashes(F.col("_words")))
-    figures = base.select(
-        *[F.col(f"`{c}`") for c in keep], "_text", "_lines",
-        F.size("_words").cast("bigint").alias("n_words"), F.char_length(F.array_join("_words", "")).cast("bigint").alias("word_chars"),
-        n_symbols(F.col("_text")).cast("bigint").alias("n_symbols"), n_dup_lines(F.col("_lines")).cast("bigint").alias("n_dup_lines"),
-        covered_words(F.col("_windows")).cast("bigint").alias("n_repeat_words"),
-    )
-    failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MOST_REPEATED)
-    cleaned = figures.withColumn("base_failed", failed).withColumn("_good", F.filter("_lines", lambda line: ~line_fails(line)))
-    left = F.char_length(F.array_join("_good", ""))
-    whole = F.char_length(F.array_join("_lines", ""))
-    return cleaned.select(
-        *[F.col(f"`{c}`") for c in keep], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & (left >= whole * LEAST_KEPT)).alias("kept"), F.array_join("_good", "\n").alias("clean_text"),
-    )
+    kept_columns = [F.col(f"`{c}`") for c in keep]
+    return docs.select(*kept_columns, verdict(text_of("text")).alias("_verdict")).select(*kept_columns, "_verdict.*")
