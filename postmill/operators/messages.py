@@ -215,15 +215,17 @@ def encoded_size(encoding: Column, n_bytes: Column, text: Column | None = None)
 def message_size(parts: DataFrame, server_size: int | None = None) -> DataFrame:
     """``message_id, n_parts, encoded_bytes``, and ``fits`` where the server's SIZE is given (0 sets no limit).
 
-    Parts carry ``message_id, encoding, n_bytes``.
+    Parts carry ``message_id, encoding, n_bytes``. With a quoted-printable part, size and ``fits`` are null: that part's
+    size is known only once it is rendered.
     """
+    unknown = F.coalesce(F.bool_or(F.col("encoding") == "quoted-printable"), F.lit(False))
     sizes = parts.groupBy("message_id").agg(
         F.count(F.lit(1)).alias("n_parts"),
-        F.sum(encoded_size(F.col("encoding"), F.col("n_bytes"))).alias("encoded_bytes"),
+        F.when(~unknown, F.sum(encoded_size(F.col("encoding"), F.col("n_bytes")))).alias("encoded_bytes"),
     )
     if server_size is None:
         return sizes
-    return sizes.withColumn("fits", F.lit(server_size == 0) | (F.col("encoded_bytes") <= server_size))
+    return sizes.withColumn("fits", F.when(F.col("encoded_bytes").isNotNull(), F.lit(server_size == 0) | (F.col("encoded_bytes") <= server_size)))
 
 
 def largest_messages(parts: DataFrame, k: int) -> DataFrame:

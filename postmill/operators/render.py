@@ -11,6 +11,7 @@ from pyspark.sql.types import StringType
 
 from postmill.functions.headers import encoded_words
 from postmill.functions.text import CRLF, blank, crlf_breaks, has_8bit, secured, trimmed
+from postmill.operators.attachments import attachment_dedup
 from postmill.operators.messages import content_type, layout_table, message_ids, message_type, transfer_encoding
 from postmill.operators.ordered import ordered_concat
 from postmill.operators.recipients import ORDER, formatted, recipient_headers
@@ -246,8 +247,13 @@ def render_corpus(
 
     Parts are encoded row by row where they are and meet once, on ``message_id``. A message of more than
     ``segment_rows`` parts and header lines comes in several segments, to be joined as they are.
+    Identical attachments of a message, and later inline ones of the same cid, are left out.
     """
     typed = ready(messages, attachments)
+    # Contents are told apart by hash and length, so the sort keys stay short.
+    marked = attachments.withColumns({"_hash": F.sha2(F.col("content").cast("binary"), 256), "_bytes": F.octet_length("content")})
+    identity = ["name", "mime", "disposition", "encoding", "cid", "_hash", "_bytes"]
+    attachments = attachment_dedup(marked, identity, ["seq", "t1", "t2"]).drop("_hash", "_bytes")
     zero = F.lit(0).cast("bigint")
     block = header_block(typed, recipients, headers, **options)
     # A continued address line goes on in the line of its first segment.

@@ -160,3 +160,13 @@ def test_attachments_once(spark):
     df = spark.createDataFrame(rows, "message_id bigint, seq bigint, name string, disposition string, cid string")
     kept = att.attachment_dedup(df, ["name", "disposition", "cid"], ["seq"])
     assert sorted((r.message_id, r.seq) for r in kept.collect()) == [(1, 1), (1, 4), (2, 1)]
+
+
+def test_size_with_a_quoted_printable_part_is_unknown(spark):
+    parts = spark.createDataFrame(
+        [(1, "quoted-printable", 10), (1, "base64", 3), (2, "base64", 3), (3, None, None)], "message_id bigint, encoding string, n_bytes bigint"
+    )
+    sizes = {r.message_id: (r.n_parts, r.encoded_bytes, r.fits) for r in msg.message_size(parts, 0).collect()}
+    assert sizes[1] == (2, None, None)
+    assert sizes[2][0] == 1 and sizes[2][1] is not None and sizes[2][2] is True
+    assert sizes[3] == (1, None, None)

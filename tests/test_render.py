@@ -105,3 +105,19 @@ def test_corpus_is_stored(corpus, spark, tmp_path):
     _, rendered, _ = corpus
     write_corpus(rendered, str(tmp_path / "corpus"), 4)
     assert spark.read.parquet(str(tmp_path / "corpus")).drop("bucket").exceptAll(rendered).isEmpty()
+
+
+def test_repeated_attachments_are_left_out(corpus):
+    """An identical part counts once, and a later inline part of a cid goes; parts that differ in content stay."""
+    names, _, (messages, to, headers, attachments) = corpus
+    at = names.index("alt_inline_attach")
+    one = F.col("message_id") == at
+    own = attachments.filter(one)
+    again = own.withColumn("seq", F.col("seq") + 10)
+    other = own.filter("disposition = 'inline'").withColumns({"seq": F.lit(30).cast("bigint"), "content": F.lit(b"other")})
+    differs = own.filter("disposition = 'attachment'").withColumns({"seq": F.lit(40).cast("bigint"), "content": F.lit(b"differs")})
+    files = own.unionByName(again).unionByName(other).unionByName(differs)
+    tables = [t.filter(one) for t in (messages, to, headers)]
+    (row,) = render_corpus(*tables, files).collect()
+    parts = [p.get_payload(decode=True) for p in parse(row.message).walk() if p.get_content_type() == "application/x-test"]
+    assert sorted(parts) == sorted([b"z" * 100, b"x", b"differs"])
