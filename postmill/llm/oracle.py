@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from postmill.llm import linededup, mixing, quality
+from postmill.llm import audit, linededup, mixing, quality, resample
 from postmill.llm.common import LOWER, UPPER, WORD
 
 WHITE = r"[\x20\x09-\x0D]"
@@ -139,6 +139,84 @@ select doc_id, size, text_crc32, 'key' as law, shard::int as shard, grown_shard:
 from best
 """
 
+FILTERS = "ABCDE"
+AUDIT = rf"""
+with d as (
+  select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '{WORD}') as words from documents
+), firsts as (
+  select text, min(doc_id) as least from d group by text
+), l as (
+  select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels group by doc_id
+), fails as (
+  select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic, [
+    len(words) < {audit.MIN_WORDS}, 100 * len(list_distinct(words)) < {audit.LEAST_DISTINCT} * len(words),
+    100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > {audit.MOST_CAPITALS} * length(text), regexp_matches(text, '[{audit.SIGNS}]'),
+    coalesce(d.doc_id > least, false)] as f
+  from d join firsts using (text) left join l on d.doc_id = l.doc_id
+), counted as (
+  select part, f, count(*) as n, sum(good) as good, sum(toxic) as toxic from fails group by part, f
+), letter as (
+  select range + 1 as i from range({len(FILTERS)})
+), orders as (
+  select [a.i, b.i, c.i, d.i, e.i] as o from letter a, letter b, letter c, letter d, letter e
+  where len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = {len(FILTERS)}
+), steps as (
+  select o, i as step, o[i] as filter from orders, letter
+), gone as (
+  select part, o, f, n, good, toxic, list_position(list_transform(o, lambda x: f[x]), true) as hit from counted, orders
+), figures as (
+  select g.part, s.o, s.step, s.filter,
+    coalesce(sum(n) filter (coalesce(hit > step, true)), 0) as kept, coalesce(sum(n) filter (hit = step), 0) as removed,
+    coalesce(sum(n) filter (f[filter] and hit < step), 0) as redundant,
+    coalesce(sum(n) filter (f[filter] and len(list_filter(f, lambda x: x)) = 1), 0) as unique_fails,
+    coalesce(sum(good) filter (hit = step), 0) as good_lost, coalesce(sum(toxic) filter (hit = step), 0) as toxic_lost
+  from gone g join steps s on g.o = s.o group by all
+)
+select part, array_to_string(list_transform(o, lambda x: '{FILTERS}'[x]), '') as filter_order, step::int as step, kept::bigint as kept,
+  removed::bigint as removed, redundant::bigint as redundant, unique_fails::bigint as unique_fails, good_lost::bigint as good_lost,
+  toxic_lost::bigint as toxic_lost, (sum(removed) over (partition by part, filter))::bigint as shapley
+from figures
+"""
+
+RUN_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+RESAMPLE = rf"""
+with recursive crc(i, k, c) as (
+  select range, 0, range::bigint from range(256)
+  union all select i, k + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from crc where k < 8
+), table_of as (
+  select list(c order by i) as t from crc where k = 8
+), texts as (
+  select true as corpus, doc_id as id, text from documents union all select false, item_id, text from benchmark
+), cut as (
+  select row_number() over () as row, corpus, id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{RUN_WORD}') as w from texts
+), runs as (
+  select row, corpus, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as run from cut
+), hashed as (
+  select run, xor(4294967295, list_reduce(
+    list_prepend(4294967295::bigint, list_transform(regexp_extract_all(hex(encode(run)), '..'), lambda x: ('0x' || x)::bigint)),
+    lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) % {resample.BUCKETS} as bucket
+  from (select distinct run from runs), table_of
+), counts as (
+  select bucket, count(*) filter (corpus) as s, count(*) filter (not corpus) as t from runs join hashed using (run) group by bucket
+), gain as (
+  select bucket, floor(1000 * ln(((t + 1) * (sum(s) over () + {resample.BUCKETS}))::double / ((s + 1) * (sum(t) over () + {resample.BUCKETS}))::double))::bigint as g
+  from counts
+), sums as (
+  select row, count(*) as n, sum(g)::bigint as total from runs join hashed using (run) join gain using (bucket) where corpus group by row
+), scored as (
+  select id as doc_id, len(w) as n_words, coalesce(n, 0) as n_features, coalesce((total - ((total % n) + n) % n) // n, 0)::bigint as weight,
+    (('0x' || substr(sha256('{resample.SEED}:' || coalesce(id::varchar, 'null')), 1, 8))::bigint + 0.5) / 4294967296.0 as u
+  from cut left join sums using (row) where corpus
+), noisy as (
+  select *, weight + floor(-1000 * ln(-ln(u::double)))::bigint as score, n_words >= {resample.MIN_WORDS} as fit from scored
+), ranked as (
+  select *, row_number() over (partition by fit order by score desc, doc_id nulls first, n_features, weight) as r, count(*) filter (fit) over () as all_fit from noisy
+)
+select doc_id, n_features::bigint as n_features, weight, score, case when fit and r <= {resample.PERCENT} * all_fit // 100 then r end as rank
+from ranked
+"""
+
 ORACLE = {
     "op3_chat_format": CHAT, "op5_line_dedup": LINES, "op8_mixing": MIX, "op9_quality_rules": QUALITY, "op10_sharding": SHARDING,
+    "op11_filter_audit": AUDIT, "op13_resampling": RESAMPLE,
 }
