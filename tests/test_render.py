@@ -92,6 +92,7 @@ def test_segments_join_to_the_same_message(corpus, spark):
     names, rendered, (messages, to, headers, attachments) = corpus
     whole = {r.message_id: r.message for r in rendered.collect()}
     many = attachments.filter(F.col("message_id") == names.index("attach")).withColumn("seq", F.explode(F.sequence(F.lit(1), F.lit(30))))
+    many = many.withColumn("name", F.concat(F.col("seq").cast("string"), F.lit("-"), F.col("name")))
     one = messages.filter(F.col("message_id") == names.index("attach"))
     full = render_corpus(one, to.join(one, "message_id", "left_semi"), headers.join(one, "message_id", "left_semi"), many, host="h.example").first().message
     cut = render_corpus(one, to.join(one, "message_id", "left_semi"), headers.join(one, "message_id", "left_semi"), many, segment_rows=5, host="h.example")
