@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from postmill.functions.arrays import bound, running
+
 # Which tags are taken out, alone or with their content, which close themselves, which attributes go.
 REMOVED_TAGS = ("object", "meta", "html", "head", "base", "link", "frame", "iframe", "plaintext", "marquee")
 REMOVED_WITH_CONTENT = ("script", "applet", "embed", "title", "frameset", "xmp", "xml")
@@ -36,11 +38,6 @@ QUOTED = r"""(?:"[^"]*+(?:"|\z)|'[^']*+(?:'|\z))"""
 MARKUP = rf"""{COMMENT}|<(?:>|(?:[^\s>"']|{QUOTED})[^>"']*+(?:{QUOTED}[^>"']*+)*+(?:>|\z))"""
 
 
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with ``value`` worked out once per row, however often ``use`` names it, inside lambdas too."""
-    return F.transform(F.array(value), use)[0]
-
-
 def element(names: Iterable[str], closed: str = r"</{name}>") -> str:
     """Pattern of whole elements, content included, one alternative per name."""
     return "(?is)" + "|".join(rf"<{n}[^>]*>.*?{closed.format(name=n)}" for n in names)
@@ -52,6 +49,35 @@ def audited(html: Column) -> Column:
     return F.regexp_replace(html, f"(?is){COMMENT}|{WITH_CONTENT}|{STYLE}", "$1")
 
 
+# Elements whose content a browser reads by other rules: a style block inside them holds markup.
+FOREIGN = r"(?i)^</?(?:svg|math)(?=[\s/>])"
+CONTEXT_TOKEN = f"(?is){COMMENT}|{WITH_CONTENT}|{STYLE}|(?-i:{TAG})"
+
+
+def audited_tags(html: Column) -> Column:
+    """The tags the policy looks at, read as a browser would: style blocks are text, but markup inside svg and math.
+
+    One fold over the page's tokens carries how many svg and math elements are open.
+    """
+
+    def step(state: Column, token: Column) -> Column:
+        foreign = token.rlike(FOREIGN) & ~token.endswith("/>")
+        depth = state["depth"] + F.when(~foreign, 0).when(token.startswith("</"), F.when(state["depth"] > 0, -1).otherwise(0)).otherwise(1)
+        style = token.rlike(r"(?i)^<style[\s>]")
+        opener = F.regexp_extract(token, f"(?is)^{WITH_CONTENT}", 1)
+        shown = (
+            F.when(token.startswith("<!--") | (style & (state["depth"] == 0)), F.array().cast("array<string>"))
+            .when(style, F.regexp_extract_all(token, F.lit(f"(?s){TAG}"), F.lit(0)))
+            .otherwise(F.array(F.when(opener != "", opener).otherwise(token)))
+        )
+        return F.struct(depth.alias("depth"), shown.alias("shown"))
+
+    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("shown"))
+    tokens = F.regexp_extract_all(html, F.lit(CONTEXT_TOKEN), F.lit(0))
+    in_context = F.flatten(F.transform(running(tokens, start, step), lambda s: s["shown"]))
+    return F.when(html.rlike(r"(?i)<(?:svg|math)[\s/>]"), in_context).otherwise(tag_texts(audited(html)))
+
+
 def tag_texts(html: Column) -> Column:
     """Array of the page's tags, comments left out."""
     found = F.regexp_extract_all(html, F.lit(f"(?s){COMMENT}|{TAG}"), F.lit(0))
@@ -71,6 +97,39 @@ def tag_kind(tag: Column, name: Column) -> Column:
     )
 
 
+def balance(tags: Column) -> Column:
+    """Openers and closers ``(name, kind)`` of a page, sorted by name and place, each with the state of its name.
+
+    ``open``: openers not yet closed; ``dropped``: closers so far that had none; ``surplus``: whether this is one; ``pos``: its
+    index in ``tags``; ``first``: that of the name's first opener.
+    """
+    placed = F.transform(tags, lambda t, k: F.struct(t["name"].alias("name"), k.alias("pos"), (t["kind"] == "open").alias("opens")))
+    none, no = F.lit(None).cast("int"), F.lit(0)
+    start = F.struct(
+        F.lit("").alias("name"), no.alias("pos"), no.alias("open"), no.alias("dropped"), F.lit(False).alias("surplus"), none.alias("first")
+    )
+
+    def step(state: Column, tag: Column) -> Column:
+        same = state["name"] == tag["name"]
+        before = F.when(same, state["open"]).otherwise(0)
+        surplus = ~tag["opens"] & (before == 0)
+        return F.struct(
+            tag["name"].alias("name"), tag["pos"].alias("pos"),
+            (before + F.when(tag["opens"], 1).when(surplus, 0).otherwise(-1)).alias("open"),
+            (F.when(same, state["dropped"]).otherwise(0) + surplus.cast("int")).alias("dropped"), surplus.alias("surplus"),
+            F.coalesce(F.when(same, state["first"]), F.when(tag["opens"], tag["pos"])).alias("first"),
+        )
+
+    return running(F.array_sort(placed), start, step)
+
+
+def name_totals(states: Column) -> Column:
+    """The last state of each name."""
+    return bound(states, lambda all_: F.filter(
+        all_, lambda s, k: F.coalesce(F.get(all_, k + 1)["name"] != s["name"], F.lit(True))
+    ))
+
+
 def _named(value: Column) -> Column:
     """The named entities that can hide a scheme as characters."""
     for name, char in (("colon", ":"), ("tab", "\t"), ("newline", "\n"), ("lpar", "("), ("rpar", ")"), ("sol", "/"), ("bsol", r"\\")):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postmill.functions.arrays import bound, part, running
 from postmill.functions.headers import bytes_to_encode, encoding_scheme
 from postmill.functions.text import (
     MAX_LINE,
@@ -65,28 +66,41 @@ def charset_profile(docs: DataFrame, by: tuple[str, ...] = ("lang", "source"), c
 
 
 def _splits(line: Column) -> Column:
-    """How a byte line is split for the wire: ``at`` (bytes used), ``soft`` and ``hard`` breaks.
+    """How a byte line is split for the wire: ``soft`` and ``hard`` breaks.
 
-    A line over the limit breaks at the last space within it, which is dropped, else one byte short of it. Two breaks
-    in a row use up at least one limit, which bounds the steps.
+    A line over the limit breaks at the last space within it, which is dropped, else one byte short of it. One fold over the
+    lengths of the words: ``at`` is where the open line starts, ``space`` the last space in it (or -1), ``word`` where the next
+    word starts. A word's end is a space or the end of the line; whatever lies too far off breaks first.
     """
-    steps = F.sequence(F.lit(1), (F.floor(F.length(line) / (MAX_LINE - 1)) * 2 + 2).cast("int"))
-    zero = F.lit(0).cast("bigint")
-    start = F.struct(zero.alias("at"), zero.alias("soft"), zero.alias("hard"))
-
-    def step(state: Column, _: Column) -> Column:
-        at = state["at"]
-        head = F.substr(line, at + 1, F.lit(MAX_LINE))
-        last = (F.length(head) - F.instr(F.reverse(head), " ")).cast("bigint")
-        soft = (F.instr(head, " ") > 0) & (last > 0)
-        cut = F.when(
-            soft, F.struct((at + last + 1).alias("at"), (state["soft"] + 1).alias("soft"), state["hard"].alias("hard"))
-        ).otherwise(
-            F.struct((at + MAX_LINE - 1).alias("at"), state["soft"].alias("soft"), (state["hard"] + 1).alias("hard"))
-        )
-        return F.when(F.length(line) - at > MAX_LINE, cut).otherwise(state)
+    lengths = F.transform(F.split(line, " "), lambda w: F.length(w).cast("bigint"))
+    return bound(F.struct(lengths.alias("lengths"), F.length(line).cast("bigint").alias("total")), _breaks)
+
+
+def _breaks(line: Column) -> Column:
+    zero, step_back = F.lit(0).cast("bigint"), MAX_LINE - 1
+    fields = ("at", "space", "word", "soft", "hard")
+    start = F.struct(zero.alias("at"), (zero - 1).alias("space"), *[zero.alias(c) for c in fields[2:]])
+
+    def step(state: Column, length: Column) -> Column:
+        end = state["word"] + length
+        # The bytes the open line may have up to here: at the end of the line a full one, at a space one less before it.
+        room = F.when(end == line["total"], MAX_LINE).otherwise(step_back)
 
-    return F.aggregate(steps, start, step)
+        def broken(near: Column) -> Column:
+            over = F.greatest(end - near["at"] - room, zero)
+            hard = F.ceil(over / step_back).cast("bigint")
+            at = near["at"] + hard * step_back
+            return F.struct(
+                at.alias("at"), F.when(end > at, end).otherwise(-1).cast("bigint").alias("space"), (end + 1).alias("word"),
+                near["soft"].alias("soft"), (state["hard"] + hard).alias("hard"),
+            )
+
+        soft = (end - state["at"] > room) & (state["space"] > state["at"])
+        return bound(F.struct(
+            F.when(soft, state["space"] + 1).otherwise(state["at"]).alias("at"), (state["soft"] + soft.cast("bigint")).alias("soft")
+        ), broken)
+
+    return F.aggregate(line["lengths"], start, step)
 
 
 def wire_line_audit(docs: DataFrame, id_column: str = "message_id", column: str = "body") -> DataFrame:
@@ -144,6 +158,31 @@ def duplicate_bodies(docs: DataFrame, id_column: str = "message_id", column: str
     return clusters(canonical_fingerprint(docs, column), F.col("fingerprint"), id_column)
 
 
+def _wrapped(width: int):
+    """Words joined to lines of at most ``width`` bytes where words allow it, as one text with LF breaks.
+
+    A table of breaks comes first, from the words' lengths alone: ``size`` is that of the open line, and ``fresh`` whether
+    the word opens a new one. Then each line is one slice of the words.
+    """
+
+    def lines(words: Column) -> Column:
+        lengths = F.transform(words, lambda w: F.octet_length(w))
+        start = F.struct(F.lit(-1).alias("size"), F.lit(True).alias("fresh"))
+
+        def step(state: Column, length: Column) -> Column:
+            # Size -1: no word yet. An empty open line takes any word.
+            fresh = (state["size"] < 0) | ((state["size"] > 0) & (state["size"] + 1 + length > width))
+            return F.struct(F.when(fresh, length).otherwise(state["size"] + 1 + length).alias("size"), fresh.alias("fresh"))
+
+        breaks = F.transform(running(lengths, start, step), lambda s, k: F.struct(s["fresh"].alias("fresh"), k.alias("k")))
+        firsts = F.transform(F.filter(breaks, lambda b: b["fresh"]), lambda b: b["k"])
+        return bound(firsts, lambda at: F.array_join(F.transform(at, lambda first, n: F.array_join(
+            part(words, first, F.coalesce(F.get(at, n + 1), F.size(words))), " "
+        )), "\n"))
+
+    return lines
+
+
 def reflow(docs: DataFrame, width: int, id_column: str = "message_id", column: str = "body") -> DataFrame:
     """Wrap at spaces to ``width`` bytes, one row per line: ``id, line_no, line``. A longer word stays whole.
 
@@ -153,17 +192,7 @@ def reflow(docs: DataFrame, width: int, id_column: str = "message_id", column: s
     lines = F.split(F.regexp_replace(lf, r"\n\z", ""), "\n")
 
     def wrap(line: Column) -> Column:
-        words = F.split(line, " ")
-        start = F.struct(F.lit("").alias("done"), words[0].alias("open"))
-
-        def step(state: Column, word: Column) -> Column:
-            both = F.concat(state["open"], F.lit(" "), word)
-            full = (F.octet_length(both) > width) & (state["open"] != "")
-            closed = F.struct(F.concat(state["done"], state["open"], F.lit("\n")).alias("done"), word.alias("open"))
-            return F.when(full, closed).otherwise(F.struct(state["done"].alias("done"), both.alias("open")))
-
-        folded = F.aggregate(F.slice(words, F.lit(2), F.size(words)), start, step)
-        return F.concat(folded["done"], folded["open"])
+        return bound(F.split(line, " "), _wrapped(width))
 
     if width >= 1:
         # Only lines over the width need folding.

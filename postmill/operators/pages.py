@@ -208,7 +208,7 @@ def policy_violations(pages: DataFrame, column: str = "html") -> DataFrame:
     )
     return (
         pages.filter(F.instr(column, "<") > 0)
-        .select("page_id", F.explode(h.tag_texts(h.audited(F.col(column)))).alias("tag"))
+        .select("page_id", F.explode(h.audited_tags(F.col(column))).alias("tag"))
         .filter(~tag.startswith("</"))
         .withColumn("name", name)
         .select("page_id", F.explode(rules).alias("_rule"))
@@ -233,26 +233,12 @@ def _kept_tags(html: Column) -> Column:
 def tag_balance(pages: DataFrame, column: str = "html") -> DataFrame:
     """``page_id, name, dropped, left_open``: closers without an opener, and openers never closed, where there are any.
 
-    Counted inside each page's own row, so no tag is shuffled.
+    Counted inside each page's own row, so no tag is shuffled: one sort of its tags by name, one fold over them.
     """
     paired = F.filter(_kept_tags(F.col(column)), lambda t: t["kind"] != "self")
-    zero = F.lit(0).cast("bigint")
-
-    def count(state: Column, tag: Column) -> Column:
-        opens = tag["kind"] == "open"
-        surplus = ~opens & (state["open"] == 0)
-        return F.struct(
-            (state["open"] + F.when(opens, 1).when(surplus, 0).otherwise(-1)).alias("open"),
-            (state["dropped"] + surplus.cast("bigint")).alias("dropped"),
-        )
-
-    start = F.struct(zero.alias("open"), zero.alias("dropped"))
-    one = F.filter("_tags", lambda t: t["name"] == F.col("name"))
     return (
         pages.filter(F.instr(column, "<") > 0)
-        .select("page_id", paired.alias("_tags"))
-        .select("page_id", "_tags", F.explode(F.array_distinct(F.transform("_tags", lambda t: t["name"]))).alias("name"))
-        .select("page_id", "name", F.aggregate(one, start, count).alias("_count"))
-        .select("page_id", "name", F.col("_count.dropped").alias("dropped"), F.col("_count.open").alias("left_open"))
+        .select("page_id", F.explode(h.name_totals(h.balance(paired))).alias("_t"))
+        .select("page_id", "_t.name", F.col("_t.dropped").cast("bigint").alias("dropped"), F.col("_t.open").cast("bigint").alias("left_open"))
         .filter("dropped > 0 or left_open > 0")
     )

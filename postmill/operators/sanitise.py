@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ DEFUSED = "idiocy"
 STYLE_REMOVED = "<!-- style block removed by html filter due to presence of 8bit characters -->"
 IMPORT_REMOVED = "\n<!-- @import rules forbidden -->\n"
 
+OWN_COMMENTS = "|".join(re.escape(c.strip()[1:]) for c in (STYLE_REMOVED, IMPORT_REMOVED))
+
 TOKEN = rf"(?is){h.STYLE}|(?-i:{h.TAG})|(?:[^<]++|<(?=\s))++|<"
 
 
@@ -28,6 +32,11 @@ def _foreign_url(block_external: bool) -> str:
     return rf"(?is)url\s*\(\s*[\"']?(?!(?:{schemes}):)[^)]*\)"
 
 
+def _without_markup(value: Column) -> Column:
+    """A value in which no browser finds a tag, whatever element it takes to be open around it."""
+    return F.replace(F.replace(value, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
 def _safe_attribute(attr: Column, placeholder: str, block_external: bool) -> Column:
     """``name=value`` as printed, quotes included."""
     name, given = attr["name"], attr["value"]
@@ -56,14 +65,14 @@ def _safe_attribute(attr: Column, placeholder: str, block_external: bool) -> Col
         checked = h.unspaced(decoded)
         fixed = (
             F.when(name.rlike("^src|background"), source(checked))
-            .when(name.rlike("^href|action"), F.regexp_replace(checked, script, "$1#$1"))
+            .when(name.rlike("^href|action|^(?:values|to|from|by)$"), F.regexp_replace(checked, script, "$1#$1"))
             .when(name.startswith("style"), style(decoded))
             .otherwise(checked)
         )
         # The tests run on decoded text; a value that passed them is printed as it was given.
         return h.bound(fixed, lambda v: F.when(v == checked, given).otherwise(v))
 
-    return F.concat(name, F.lit("="), h.bound(h.defanged(given), printed))
+    return F.concat(name, F.lit("="), _without_markup(h.bound(h.defanged(given), printed)))
 
 
 def _attributes(tag: Column, name: Column, placeholder: str, block_external: bool) -> Column:
@@ -136,45 +145,40 @@ def _safe_style(block: Column, placeholder: str, block_external: bool) -> Column
         content,
         lambda c: F.when(c.rlike(forbidden) | has_8bit(c), STYLE_REMOVED).otherwise(h.bound(safe(c), rules)),
     )
-    return F.concat(F.lit("<style>"), body, F.lit("</style>"))
+    # Inside svg and math a browser reads rules as markup, so none of them may hold a <; in a rule, its escape means the same.
+    return F.concat(F.lit("<style>"), F.regexp_replace(body, rf"<(?!{OWN_COMMENTS})", r"\\3C "), F.lit("</style>"))
 
 
 def _balanced(items: Column) -> Column:
-    """(html, n_dropped, n_closed) of a page's printed tokens: surplus closers left out, missing ones added."""
-    nothing = F.struct(F.lit(0).alias("open"), F.array().cast("array<int>").alias("dropped"))
-
-    def names(kind: str) -> Column:
-        return F.transform(F.filter(items, lambda i: i["kind"] == kind), lambda i: i["name"])
-
-    def count(state: Column, i: Column) -> Column:
-        opens = i["kind"] == "open"
-        surplus = ~opens & (state["open"] == 0)
-        return F.struct(
-            (state["open"] + F.when(opens, 1).when(surplus, 0).otherwise(-1)).alias("open"),
-            F.when(surplus, F.array_append(state["dropped"], i["pos"])).otherwise(state["dropped"]).alias("dropped"),
-        )
-
-    def balance(name: Column) -> Column:
-        own = F.filter(items, lambda i: (i["name"] == name) & i["kind"].isin("open", "close"))
-        return h.bound(
-            F.aggregate(own, nothing, count),
-            lambda c: F.struct(name.alias("name"), c["open"].alias("open"), c["dropped"].alias("dropped")),
-        )
-
-    def result(counts: Column) -> Column:
-        closers = F.transform(counts, lambda c: F.repeat(F.concat(F.lit("</"), c["name"], F.lit(">")), c["open"]))
-        n_closed = F.aggregate(counts, F.lit(0).cast("bigint"), lambda n, c: n + c["open"])
-
-        def joined(dropped: Column) -> Column:
-            kept = F.filter(items, lambda i: ~F.array_contains(dropped, i["pos"]))
-            text = F.concat(F.array_join(F.transform(kept, lambda i: i["text"]), ""), F.array_join(closers, ""), F.lit("\n"))
+    """(html, n_dropped, n_closed) of a page's printed tokens: surplus closers left out, missing ones added in the order of
+    their openers."""
+
+    def paired(i: Column) -> Column:
+        return i["kind"].isin("open", "close")
+
+    def result(both: Column) -> Column:
+        all_, states = both["items"], both["states"]
+        pairs = F.filter(F.transform(all_, lambda i, k: F.struct(i["kind"].alias("kind"), k.alias("k"))), paired)
+        surplus = h.bound(pairs, lambda p: F.transform(F.filter(states, lambda s: s["surplus"]), lambda s: F.get(p, s["pos"])["k"]))
+        open_ = F.array_sort(F.transform(
+            F.filter(h.name_totals(states), lambda s: s["open"] > 0), lambda s: F.struct(s["first"].alias("first"), s["name"].alias("name"), s["open"].alias("open"))
+        ))
+
+        def joined(found: Column) -> Column:
+            every = F.transform(all_, lambda _, k: k)
+            texts = F.transform(F.array_except(every, found["surplus"]), lambda k: F.get(all_, k)["text"])
+            closers = F.transform(found["open"], lambda c: F.repeat(F.concat(F.lit("</"), c["name"], F.lit(">")), c["open"]))
+            n_closed = F.aggregate(found["open"], F.lit(0).cast("bigint"), lambda n, c: n + c["open"])
             return F.struct(
-                text.alias("html"), F.size(dropped).cast("bigint").alias("n_dropped"), n_closed.alias("n_closed")
+                F.concat(F.array_join(texts, ""), F.array_join(closers, ""), F.lit("\n")).alias("html"),
+                F.size(found["surplus"]).cast("bigint").alias("n_dropped"), n_closed.alias("n_closed"),
             )
 
-        return h.bound(F.flatten(F.transform(counts, lambda c: c["dropped"])), joined)
+        return h.bound(F.struct(surplus.alias("surplus"), open_.alias("open")), joined)
 
-    return h.bound(F.transform(F.array_distinct(F.concat(names("open"), names("close"))), balance), result)
+    return h.bound(
+        items, lambda all_: h.bound(F.struct(all_.alias("items"), h.balance(F.filter(all_, paired)).alias("states")), result)
+    )
 
 
 def sanitize_pages(
