@@ -34,10 +34,10 @@ LIST = 12
 BLOCK = 32
 MEET = 64
 # Sorted orders per phase, bits of their codes.
-ORDERS = 4
+ORDERS = 6
 BITS = 63
 # A phase ends when less than this share of all entries is new, or after so many rounds.
-CALM = 0.01
+CALM = 0.03
 ROUNDS = 12
 PHASES = 8
 # Points audited, and the share of their links that has to be found.
@@ -142,16 +142,19 @@ class Descent:
         self.lists = spark.createDataFrame([], "u bigint, v bigint, score double, fresh boolean")
         self.links = spark.createDataFrame([], "u bigint, v bigint")
         self.named = spark.createDataFrame([], "node bigint, component bigint")
+        self.n_links = 0
+        self._join_components()
+
+    def _join_components(self) -> None:
+        named = self.named.select(F.col("node").alias("p"), "component")
+        self.base = durable(self.points.select("p", "label", "inverse", "bytes").join(named, "p", "left").withColumn("component", F.coalesce("component", "p")))
 
     def _state(self) -> DataFrame:
         """What a point brings to a meeting: its component, and the score others have to beat."""
         floors = self.lists.groupBy(F.col("u").alias("p")).agg(
             F.when(F.count(F.lit(1)) >= self.length, F.min("score")).otherwise(F.lit(-2.0)).alias("floor")
         )
-        named = self.named.select(F.col("node").alias("p"), "component")
-        return self.points.join(named, "p", "left").join(floors, "p", "left").select(
-            "p", F.coalesce("component", "p").alias("component"), F.coalesce("floor", F.lit(-2.0)).alias("floor"), "inverse", "bytes"
-        )
+        return self.base.join(floors, "p", "left").select("p", "component", F.coalesce("floor", F.lit(-2.0)).alias("floor"), "inverse", "bytes")
 
     def _improve(self, groups: DataFrame) -> int:
         """Let the points of each group (a column of members) meet, and keep the best of old and new entries."""
@@ -164,12 +167,12 @@ class Descent:
 
     def seed(self, phase: int) -> None:
         """Neighbours in sorted orders meet; after the first phase, so do points thrown together at random."""
-        codes = self.points.select("p", "label", "bytes").mapInArrow(
+        codes = self.base.select("p", "label", "bytes").mapInArrow(
             _codes(self.size, 100 + phase, ORDERS), "p bigint, label string, turn int, code bigint"
         )
         if phase:
             codes = codes.unionByName(
-                self.points.select("p", "label", F.lit(ORDERS).alias("turn"), F.xxhash64(F.lit(phase), "p").alias("code"))
+                self.base.select("p", "label", F.lit(ORDERS).alias("turn"), F.xxhash64(F.lit(phase), "p").alias("code"))
             )
         placed = numbered(codes, [F.col("turn"), F.col("label"), F.col("code"), F.col("p")])
         member = placed.select("p", "turn", "label", F.floor(F.col("_n") / BLOCK).alias("_block"))
@@ -201,22 +204,27 @@ class Descent:
         self.add(both.mapInArrow(_exact(self.threshold), "u bigint, v bigint"))
 
     def add(self, links: DataFrame) -> None:
-        self.links = durable(self.links.unionByName(links.select("u", "v")).distinct())
-        self.named = durable(components(self.links))
+        more = durable(self.links.unionByName(links.select("u", "v")).distinct())
+        n = more.count()
+        if n > self.n_links:
+            self.links, self.n_links = more, n
+            self.named = durable(components(self.links))
+            self._join_components()
 
     def enlarge(self) -> int:
         """Make room in the lists: what lies in the list's own component leaves it. How many lists were full of links?"""
         full = self.lists.filter(F.col("score") >= self.threshold - 2 * self.error - SLACK).groupBy("u").count()
         saturated = full.filter(F.col("count") >= self.length).count()
-        mine = self.named.select(F.col("node").alias("u"), F.col("component").alias("_a"))
-        other = self.named.select(F.col("node").alias("v"), F.col("component").alias("_b"))
-        outside = self.lists.join(mine, "u", "left").join(other, "v", "left").filter("not coalesce(_a = _b, false)")
-        self.lists = durable(outside.select("u", "v", "score", "fresh"))
+        if saturated:
+            mine = self.named.select(F.col("node").alias("u"), F.col("component").alias("_a"))
+            other = self.named.select(F.col("node").alias("v"), F.col("component").alias("_b"))
+            outside = self.lists.join(mine, "u", "left").join(other, "v", "left").filter("not coalesce(_a = _b, false)")
+            self.lists = durable(outside.select("u", "v", "score", "fresh"))
         return saturated
 
     def audit(self, phase: int) -> float:
         """Hold some points against all; add the links that were missed. What share of their links was there?"""
-        some = self.points.select("p", "label", "unit").join(self.named.withColumnRenamed("node", "p"), "p", "left")
+        some = self.points.select("p", "label", "unit").join(self.base.select("p", "component"), "p")
         order = F.xxhash64(F.lit("audit"), F.lit(phase), "p")
         held = [(r.p, r.label, r.component, r.unit) for r in some.orderBy(order, "p").limit(AUDITED).collect()]
         seen = durable(some.mapInArrow(_audit(self.threshold, held), "u bigint, v bigint, hit bigint"))
@@ -227,7 +235,7 @@ class Descent:
 
     def run(self) -> None:
         for phase in range(PHASES):
-            before = self.links.count()
+            before = self.n_links
             self.seed(phase)
             for _ in range(ROUNDS):
                 if self.round() <= CALM * self.n * self.length:
@@ -235,7 +243,7 @@ class Descent:
             self.settle()
             recall = self.audit(phase)
             saturated = self.enlarge()
-            if recall >= RECALL and (not saturated or (phase and self.links.count() == before)):
+            if recall >= RECALL and (not saturated or (phase and self.n_links == before)):
                 break
 
 
@@ -251,13 +259,13 @@ def _exact(threshold: float):
 
 def _audit(threshold: float, held: list[tuple]):
     ids, labels = np.array([h[0] for h in held]), np.array([h[1] for h in held], object)
-    names = np.array([h[0] if h[2] is None else h[2] for h in held])
+    names = np.array([h[2] for h in held])
     units = np.frombuffer(b"".join(h[3] for h in held), float).reshape(len(held), -1) if held else np.zeros((0, 1))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p, label = batch.column("p").to_numpy(), batch.column("label").to_numpy(zero_copy_only=False)
-            component = np.array([own if c is None else c for own, c in zip(p.tolist(), batch.column("component").to_pylist())])
+            p, component = batch.column("p").to_numpy(), batch.column("component").to_numpy()
+            label = batch.column("label").to_numpy(zero_copy_only=False)
             x = np.frombuffer(b"".join(batch.column("unit").to_pylist()), float).reshape(batch.num_rows, -1)
             i, j = np.nonzero(units @ x.T >= threshold)
             i, j = (k[(labels[i] == label[j]) & (ids[i] != p[j])] for k in (i, j))
