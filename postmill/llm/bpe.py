@@ -26,17 +26,19 @@ from pyspark.sql import types as T
 from postmill.llm.common import text_of
 
 RANKS = "byte_bpe_50k.tiktoken"
-# Bounds of what a worker keeps: arcs, judged pairs of tokens, and the ids of recent short pieces. Beyond them it starts afresh.
-MOST_ARCS = 1 << 19
-MOST_PAIRS = 1 << 18
-MOST_PIECES = 1 << 19
+# Bytes a worker keeps, by estimate: of arcs and states, and of the ids of recent short pieces; and how many pairs of tokens it knows to
+# fit or not. An entry of a dictionary is taken to need so many bytes besides what it holds.
+COMPILED = 128 << 20
+REMEMBERED = 24 << 20
+MOST_PAIRS = 1 << 17
+ENTRY = 250
 LONGEST_PIECE = 64
 # An unfinished token is resolved into the tokens it may become, which makes states equal that differ in the past only, once there
 # are no more of them than this.
 FEW = 16
 # Tokens decoded at a time, and bytes of text after which a task hands on what it has.
 CHUNK = 1 << 16
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -54,6 +56,7 @@ class Fit:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks, self.never = ranks, len(ranks) + max(ranks.values())
+        # Parts and edges are bounded by the vocabulary.
         self.halves: dict[bytes, list[bytes]] = {}
         self.edges: dict[tuple[bytes, int], list[tuple[bytes, int]]] = {}
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
@@ -114,101 +117,164 @@ class Fit:
 Hypothesis = tuple[bytes, bytes, tuple[bytes, ...]]
 
 
+# Low bits of a number that holds a second one: of an arc's or a state's entry the lists of lengths, of a move the token that ends.
+LOW = 24
+MASK = (1 << LOW) - 1
+
+
 class Transducer:
-    """Bytes of one piece in, token ids out."""
+    """Bytes of one piece in, token ids out.
+
+    Everything compiled is kept as plain numbers where it can be: an arc is ``state << LOW | lengths``, an entry of a state
+    ``hypothesis << LOW | lengths``, a move ``hypothesis + 1 << LOW | rank + 1``, where lengths are numbered tuples.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks, self.fit = ranks, Fit(ranks)
         self.tokens = sorted(ranks)
+        self.token_of = {rank: token for token, rank in ranks.items()}
         self.clear()
 
     def clear(self) -> None:
-        # States and hypotheses by number; state 0 is the start, hypothesis 0 the empty piece.
+        # States and hypotheses by number; state 0 is the start, hypothesis 0 the empty piece, lengths 0 none.
+        self.lengths: list[tuple[int, ...]] = [()]
+        self.lengths_of = {(): 0}
         self.hypotheses: list[Hypothesis] = [(b"", b"", ())]
         self.hypothesis_of = {self.hypotheses[0]: 0}
-        self.states: list[tuple] = [((0, ()),)]
+        self.states: list[tuple[int, ...]] = [(0,)]
         self.state_of = {self.states[0]: 0}
-        self.next: dict[int, tuple[int, bytes]] = {}
-        self.arcs: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.next: dict[int, int] = {}
+        self.arcs: dict[int, int] = {}
+        self.held = 0
+        # Sizes of all these once they hold ``COMPILED`` bytes. From then on a piece's own additions go when it ends.
+        self.full: tuple[int, ...] | None = None
+
+    def sizes(self) -> tuple[int, ...]:
+        return len(self.lengths), len(self.hypotheses), len(self.states), len(self.next), len(self.arcs)
+
+    def back(self) -> None:
+        """Drop what was compiled since the table was full. Lists and dictionaries keep their order, so it is what came last."""
+        n_lengths, n_hypotheses, n_states, n_next, n_arcs = self.full
+        del self.lengths[n_lengths:], self.hypotheses[n_hypotheses:], self.states[n_states:]
+        for table, n in (
+            (self.lengths_of, n_lengths), (self.hypothesis_of, n_hypotheses), (self.state_of, n_states), (self.next, n_next), (self.arcs, n_arcs),
+        ):
+            while len(table) > n:
+                table.popitem()
+        self.held = COMPILED
+
+    def continued(self, state: int) -> int:
+        """Drop in the middle of a long piece all that it has compiled but for ``state``; its number afterwards."""
+        kept = [(self.hypotheses[e >> LOW], self.lengths[e & MASK]) for e in self.states[state]]
+        self.back()
+        return self.state([(self.number(hypothesis), held) for hypothesis, held in kept])
+
+    def numbered(self, lengths: tuple[int, ...]) -> int:
+        at = self.lengths_of.setdefault(lengths, len(self.lengths))
+        if at == len(self.lengths):
+            self.lengths.append(lengths)
+            self.held += ENTRY
+        return at
+
+    def state(self, entries: Sequence[tuple[int, tuple[int, ...]]]) -> int:
+        target = tuple(sorted(at << LOW | self.numbered(held) for at, held in entries))
+        number = self.state_of.setdefault(target, len(self.states))
+        if number == len(self.states):
+            self.states.append(target)
+            self.held += ENTRY + 40 * len(target)
+        return number
 
     def number(self, hypothesis: Hypothesis) -> int:
         at = self.hypothesis_of.setdefault(hypothesis, len(self.hypotheses))
         if at == len(self.hypotheses):
             self.hypotheses.append(hypothesis)
+            self.held += 2 * ENTRY + 8 * len(hypothesis[2])
         return at
 
-    def advance(self, at: int, byte: int) -> tuple[int, bytes]:
-        """A hypothesis one byte on: its number, or -1 if nothing is left of it, and the token that ends here, or none."""
+    def advance(self, at: int, byte: int) -> int:
+        """The move of a hypothesis on a byte: the hypothesis after it, if anything is left, and the token that ends here, if any."""
         last, pending, options = self.hypotheses[at]
         pending += bytes((byte,))
         if not options:
             low = bisect_left(self.tokens, pending)
             high = bisect_left(self.tokens, True, low, key=lambda t: not t.startswith(pending))
             if high - low > FEW:
-                ended = pending if pending in self.ranks and self.fit(last, pending) else b""
-                return self.number((last, pending, ())), ended
+                ends = pending in self.ranks and self.fit(last, pending)
+                return self.number((last, pending, ())) + 1 << LOW | (self.ranks[pending] + 1 if ends else 0)
             options = [t for t in self.tokens[low:high] if self.fit(last, t)]
         else:
             options = [t for t in options if t.startswith(pending)]
         longer = tuple(t for t in options if len(t) > len(pending))
-        ended = pending if len(longer) < len(options) else b""
-        return (self.number((b"", pending, longer)) if longer else -1), ended
+        ended = self.ranks[pending] + 1 if len(longer) < len(options) else 0
+        return (self.number((b"", pending, longer)) + 1 if longer else 0) << LOW | ended
 
-    def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+    def step(self, state: int, byte: int) -> int:
         """Make the arc from ``state`` on ``byte``: the next state, and the lengths of the tokens all its hypotheses agree on."""
         found = []
-        for at, held in self.states[state]:
-            key = at << 8 | byte
-            if key not in self.next:
-                self.next[key] = self.advance(at, byte)
-            onward, ended = self.next[key]
-            if onward >= 0:
-                found.append((onward, held))
-            if ended:
+        for entry in self.states[state]:
+            at, held = entry >> LOW, self.lengths[entry & MASK]
+            move = self.next.get(at << 8 | byte)
+            if move is None:
+                move = self.next[at << 8 | byte] = self.advance(at, byte)
+                self.held += ENTRY // 2
+            if move >> LOW:
+                found.append(((move >> LOW) - 1, held))
+            if move & MASK:
+                ended = self.token_of[(move & MASK) - 1]
                 found.append((self.number((ended, b"", ())), (*held, len(ended))))
         heads, agreed = [held for _, held in found], 0
         while all(len(h) > agreed and h[agreed] == heads[0][agreed] for h in heads):
             agreed += 1
-        target = tuple(sorted((at, held[agreed:]) for at, held in found))
-        number = self.state_of.setdefault(target, len(self.states))
-        if number == len(self.states):
-            self.states.append(target)
-        arc = self.arcs[state << 8 | byte] = (number, heads[0][:agreed])
+        after = self.state([(at, held[agreed:]) for at, held in found])
+        arc = self.arcs[state << 8 | byte] = after << LOW | self.numbered(heads[0][:agreed])
+        self.held += ENTRY // 2
         return arc
 
     def encode(self, piece: bytes) -> array:
         known = self.ranks.get(piece)
         if known is not None:
             return array("i", (known,))
-        if len(self.arcs) > MOST_ARCS:
-            self.clear()
         lengths, state, arcs = [], 0, self.arcs
         for byte in piece:
-            state, agreed = arcs.get(state << 8 | byte) or self.step(state, byte)
-            if agreed:
-                lengths += agreed
+            arc = arcs.get(state << 8 | byte)
+            if arc is None:
+                if self.held > COMPILED:
+                    self.full = self.full or self.sizes()
+                    if self.held > COMPILED + COMPILED // 4:
+                        state = self.continued(state)
+                arc = self.step(state, byte)
+            state = arc >> LOW
+            if arc & MASK:
+                lengths += self.lengths[arc & MASK]
         # The one hypothesis without an unfinished token is the encoding.
-        lengths += next(held for at, held in self.states[state] if not self.hypotheses[at][1])
+        lengths += next(self.lengths[e & MASK] for e in self.states[state] if not self.hypotheses[e >> LOW][1])
         ids, start, ranks = array("i"), 0, self.ranks
         for length in lengths:
             ids.append(ranks[piece[start:start + length]])
             start += length
+        if self.full and len(self.arcs) > self.full[-1]:
+            self.back()
         return ids
 
 
 class Pieces(dict):
-    """The ids of recent pieces, as bytes of 32-bit numbers."""
+    """The ids of recent pieces, as bytes of 32-bit numbers, in two generations: a full one becomes the older, which is then dropped
+    but for the pieces that were met again."""
 
     def __init__(self, transducer: Transducer):
         super().__init__()
-        self.transducer = transducer
+        self.transducer, self.held, self.older = transducer, 0, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.transducer.encode(piece.encode()).tobytes()
+        ids = self.older.pop(piece, None)
+        if ids is None:
+            ids = self.transducer.encode(piece.encode()).tobytes()
         if len(piece) <= LONGEST_PIECE:
-            if len(self) >= MOST_PIECES:
+            if self.held > REMEMBERED // 2:
+                self.older, self.held = dict(self), 0
                 self.clear()
             self[piece] = ids
+            self.held += ENTRY + len(piece) + len(ids)
         return ids
 
 

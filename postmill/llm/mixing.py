@@ -110,38 +110,47 @@ def mix(rows: DataFrame, key: str, others: Sequence[str] = (), **settings) -> Da
     return joined.withColumn("_times", F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("_copies") - 1), times)).drop("_from", "start", "end")
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    return docs.select(
+def sized(docs: DataFrame, *more: Column) -> DataFrame:
+    """``(doc_id, source, size, more...)``, written: the texts are read and cut into words once, whatever follows."""
+    return durable(docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"),
-        F.size(words_of(text_of("text"))).cast("bigint").alias("size"),
-    )
+        F.size(words_of(text_of("text"))).cast("bigint").alias("size"), *more,
+    ))
 
 
 def mix_documents(docs: DataFrame, **settings) -> DataFrame:
-    """What the mix takes of each document: doc_id, size, source_size, target, taken, first_time.
+    """What the mix takes of each document: doc_id, size, source_size, target, taken, first_time, first_position.
+
+    ``first_time`` is when its first copy comes in training, by the inverted demand of its source; ``first_position`` the number of
+    documents taken before that, repeats counted, over all sources. Both are null where nothing is taken. Of copies at the same
+    time, the smaller doc_id comes first.
 
     Null texts have size 0 and are never taken, nor are texts without a word. A null source is a source of its own, after all
     others. Repeated rows each count and are each taken or left. An empty table gives no rows; other columns are ignored.
     """
-    each = mix(sized(docs), "doc_id").select("doc_id", "size", "source_size", "target", F.explode("_times").alias("_own"))
-    return each.select(
+    each = durable(mix(sized(docs), "doc_id").select("doc_id", "size", "source_size", "target", F.explode("_times").alias("_own")))
+    # Equal rows with equal times: any of them comes first, so they are told apart by a number within the task that made them.
+    told = each.withColumn("_row", F.monotonically_increasing_id())
+    copies = told.select("_row", "doc_id", "size", F.explode("_own").alias("_time"))
+    ranked = numbered(copies, [F.col("_time"), F.col("doc_id"), F.col("size"), F.col("_row")])
+    places = ranked.groupBy("_row").agg(F.min("_n").alias("first_position"))
+    return told.join(places, "_row", "left").select(
         "doc_id", "size", "source_size", "target", (F.size("_own") * F.col("size")).cast("bigint").alias("taken"),
-        F.array_min("_own").alias("first_time"),
+        F.array_min("_own").alias("first_time"), "first_position",
     )
 
 
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """The documents of the mix as rows, repeats included, range-sorted by training position.
 
-    A row that equals another in every column counts once here: the texts travel by a hash of the whole row.
+    Rows equal in every column are one document with as many copies: the texts travel once, under 128 bits of hash of the whole
+    row. The order is that of the rows, and of the files they are written to; reading such files again packs them by size.
     """
-    mark = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("_mark")
-    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), mark)
-    first = Window.partitionBy("_mark").orderBy(F.lit(1))
-    single = marked.withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").drop("_nth")
-    rows = docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"),
-        F.size(words_of(text_of("text"))).cast("bigint").alias("size"), mark,
-    ).distinct()
-    taken = mix(rows, "doc_id", ["_mark"], **settings).select("_mark", F.explode(F.flatten("_times")).alias("_time"))
-    return single.join(taken, "_mark").repartitionByRange("_time", "_mark").sortWithinPartitions("_time", "_mark").select("_row.*")
+    every = [F.col(f"`{c}`") for c in docs.columns]
+    marks = [F.xxhash64(*every).alias("_m1"), F.xxhash64(F.lit("row"), *every).alias("_m2")]
+    names = ["_m1", "_m2"]
+    first = Window.partitionBy(*names).orderBy(F.lit(1))
+    single = docs.select(F.struct(*every).alias("_row"), *marks).withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").drop("_nth")
+    rows = sized(docs, *marks)
+    taken = mix(rows, "doc_id", names, **settings).select(*names, F.explode(F.flatten("_times")).alias("_time"))
+    return single.join(taken, names).repartitionByRange("_time", *names).sortWithinPartitions("_time", *names).select("_row.*")

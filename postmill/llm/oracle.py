@@ -47,6 +47,8 @@ select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
 from marked group by doc_id
 """
 
+NTH = f"(row_number() over (order by source is null, source) - 1) % {len(mixing.WEIGHTS)} + 1"
+STARTS, ENDS = ([s[k] for s in mixing.SCHEDULES] for k in (0, 1))
 WEIGHT = f"[{', '.join(map(str, mixing.WEIGHTS))}][(row_number() over (order by source is null, source) - 1) % {len(mixing.WEIGHTS)} + 1]"
 MIX = f"""
 with d as (
@@ -55,7 +57,7 @@ with d as (
 ), s as (
   select source, sum(size)::bigint as source_size from d group by source
 ), w as (
-  select *, {WEIGHT} as weight, {mixing.MOST_REPEATS} * source_size as most from s
+  select *, {WEIGHT} as weight, {mixing.MOST_REPEATS} * source_size as most, ({STARTS}::double[])[{NTH}] as s0, ({ENDS}::double[])[{NTH}] as s1 from s
 ), ranked as (
   select *, sum(source_size) over () as total, coalesce(sum(most) over before, 0) as fixed, sum(weight) over () - coalesce(sum(weight) over before, 0) as free
   from w window before as (order by most / weight, source is null, source rows between unbounded preceding and 1 preceding)
@@ -65,13 +67,20 @@ with d as (
     order by most / weight, source is null, source limit 1
   )
 ), targets as (
-  select source, source_size, least(weight * l, most::double) as target from ranked, level
+  select source, source_size, s0, s1, least(weight * l, most::double) as target from ranked, level
 ), placed as (
-  select d.*, coalesce(sum(size) over (partition by source order by h, doc_id, size rows between unbounded preceding and 1 preceding), 0) as c from d
+  select d.*, row_number() over () as row, coalesce(sum(size) over (partition by source order by h, doc_id, size rows between unbounded preceding and 1 preceding), 0) as c from d
+), drawn as (
+  select p.row, p.doc_id, p.size::bigint as size, t.source_size, t.target, s0, s1,
+    list_filter([p.c + r * t.source_size + p.size / 2 for r in [0, 1, 2]], lambda m: p.size > 0 and m <= t.target) as middles
+  from placed p join targets t on p.source is not distinct from t.source
+), shares as (
+  select row, doc_id, size, s0, s1, greatest(0.0::double, least(1.0::double, unnest(middles)::double / target)) * (s0 + s1) as need from drawn
+), times as (
+  select row, row_number() over (order by need / (s0 + sqrt(s0 * s0 + (s1 - s0) * need)), doc_id nulls first, size, row) - 1 as place from shares
 )
-select p.doc_id, p.size::bigint as size, t.source_size, t.target,
-  (p.size * len(list_filter([0, 1, 2], lambda r: p.size > 0 and p.c + r * t.source_size + p.size / 2 <= t.target)))::bigint as taken
-from placed p join targets t on p.source is not distinct from t.source
+select doc_id, size, source_size, target, (size * len(middles))::bigint as taken, min(place) as first_position
+from drawn left join times using (row) group by row, doc_id, size, source_size, target, middles
 """
 
 QUALITY = rf"""

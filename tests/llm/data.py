@@ -15,7 +15,7 @@ ODD = [
 ]
 SOURCES = [None, "", "a", "B", "é"]
 # Names the operators use themselves, and names with dots and blanks.
-CLASHES = ["size", "_text", "_block", "rank", "kind", "u.v", "a b", "_row", "_key", "start"]
+CLASHES = ["size", "_text", "_block", "rank", "kind", "u.v", "a b", "_row", "_key", "start", "_n_lines", "_n_dropped", "_others", "_m1", "_time"]
 
 
 def documents(spark, rows=None):

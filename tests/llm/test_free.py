@@ -133,9 +133,9 @@ def test_transducer_follows_the_merges():
 
 
 def test_transducer_forgets_and_goes_on(monkeypatch):
-    monkeypatch.setattr(bpe, "MOST_ARCS", 50)
+    monkeypatch.setattr(bpe, "COMPILED", 20_000)
     monkeypatch.setattr(bpe, "MOST_PAIRS", 20)
-    monkeypatch.setattr(bpe, "MOST_PIECES", 3)
+    monkeypatch.setattr(bpe, "REMEMBERED", 1000)
     plain, pieces = brute.encoding(), bpe.Pieces(bpe.Transducer(bpe.read_ranks(path(bpe.RANKS))))
     for word in ["thonanering", "ciónboes", "enschheit", "éaieau", "unbelievable", "thonanering"] * 3:
         assert np.frombuffer(pieces[word], np.int32).tolist() == plain.encode_ordinary(word)
