@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.functions.address import ascii_addresses, is_address
-from postmill.functions.text import base64_size, blank, has_8bit, has_long_line, lf_breaks, trimmed
+from postmill.functions.arrays import bound
+from postmill.functions.text import base64_size, blank, byte_string, has_8bit, has_long_line, lf_breaks, trimmed
 from postmill.session import small_table
 
 ENVELOPE_FIELDS = ("from_address", "sender", "confirm_to")
@@ -194,34 +195,86 @@ def part_layout(messages: DataFrame, attachments: DataFrame | None = None) -> Da
     )
 
 
+# Quoted-printable lines end at 75 characters and a =; the bytes sent as they are.
+QP_LINE = 75
+QP_PLAIN = r"[\t\x20-\x3C\x3E-\x7E]"
+
+
+def _quoted_line(line: Column, last: Column) -> Column:
+    """Bytes of one byte line as quoted-printable, soft breaks included, without its own break.
+
+    Runs of bytes that stay and of bytes that take three characters are counted as wholes: ``at`` is how far the open line has
+    come, ``soft`` counts breaks. The last byte may stand one further out. White space at the end is escaped, and a dot alone.
+    """
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(0).cast("bigint").alias("soft"), F.lit(0).cast("bigint").alias("size"))
+
+    def step(state: Column, run: Column) -> Column:
+        n = F.length(run).cast("bigint")
+        plain = run.rlike(f"^{QP_PLAIN}")
+        here = F.greatest(F.floor((QP_LINE - state["at"]) / 3), F.lit(0)).cast("bigint")
+        rest = F.greatest(n - here, F.lit(0).cast("bigint"))
+        lines = F.when(plain, F.floor((state["at"] + n - 1) / QP_LINE)).otherwise(F.ceil(rest / (QP_LINE // 3))).cast("bigint")
+        at = F.when(plain, state["at"] + n - lines * QP_LINE).when(rest == 0, state["at"] + n * 3).otherwise(
+            (rest - (lines - 1) * (QP_LINE // 3)) * 3
+        )
+        return F.struct(at.alias("at"), (state["soft"] + lines).alias("soft"), (state["size"] + F.when(plain, n).otherwise(n * 3)).alias("size"))
+
+    # A last byte that stays never breaks the line: it is counted apart. White space that ends the text is a byte like any other.
+    ends_plain = line.rlike(rf"{QP_PLAIN}\z") & ~(last & line.rlike(r"[\t\x20]\z"))
+    escaped = F.when(last, F.regexp_replace(line, r"[\t\x20]\z", "\x01")).otherwise(line)
+    body = F.regexp_replace(F.when(ends_plain, F.substr(line, F.lit(1), F.length(line) - 1)).otherwise(escaped), r"^\.(?=\x00)", "\x01")
+    runs = F.regexp_extract_all(body, F.lit(rf"{QP_PLAIN}+|(?s:(?!{QP_PLAIN}).)+"), F.lit(0))
+    final = F.when(~ends_plain, 0).when(line.rlike(r"[\t\x20]\z"), 3).otherwise(1)
+    return F.when(line == ".", F.lit(3).cast("bigint")).otherwise(
+        bound(F.aggregate(runs, start, step), lambda s: s["size"] + s["soft"] * 3) + final
+    )
+
+
+def quoted_printable_size(text: Column) -> Column:
+    """Bytes of a text sent as quoted-printable with CRLF breaks, worked out line by line without encoding it."""
+
+    def total(lines: Column) -> Column:
+        sizes = F.transform(lines, lambda line, k: _quoted_line(line, k == F.size(lines) - 1))
+        return F.aggregate(sizes, F.lit(0).cast("bigint"), lambda n, size: n + size) + (F.size(lines) - 1) * 2
+
+    return bound(F.split(byte_string(lf_breaks(text)), "\n"), total)
+
+
 def encoded_size(encoding: Column, n_bytes: Column, text: Column | None = None) -> Column:
     """Bytes of a part as sent. Text parts are measured with CRLF breaks and a final break; others by ``n_bytes``.
 
-    Null for quoted-printable, whose size is known only once it is rendered.
+    Quoted-printable is null without the text.
     """
     if text is None:
-        raw = n_bytes + 2
+        raw, quoted = n_bytes + 2, F.lit(None).cast("bigint")
     else:
         lf = lf_breaks(text)
         breaks = F.length(lf) - F.length(F.replace(lf, F.lit("\n"), F.lit("")))
         raw = F.octet_length(lf) + breaks + F.when(lf.endswith("\n"), 0).otherwise(2)
+        quoted = quoted_printable_size(text)
     return (
         F.when(encoding == "base64", base64_size(n_bytes))
         .when(encoding.isin("7bit", "8bit"), raw.cast("bigint"))
+        .when(encoding == "quoted-printable", quoted)
         .when(encoding == "binary", n_bytes)
     )
 
 
-def message_size(parts: DataFrame, server_size: int | None = None) -> DataFrame:
+def message_size(parts: DataFrame, server_size: int | None = None, text: str | None = None) -> DataFrame:
     """``message_id, n_parts, encoded_bytes``, and ``fits`` where the server's SIZE is given (0 sets no limit).
 
-    Parts carry ``message_id, encoding, n_bytes``. With a quoted-printable part, size and ``fits`` are null: that part's
-    size is known only once it is rendered.
+    Parts carry ``message_id, encoding, n_bytes``, and the text of quoted-printable ones in the column ``text``. Only where that is
+    missing or null are size and ``fits`` null.
     """
-    unknown = F.coalesce(F.bool_or(F.col("encoding") == "quoted-printable"), F.lit(False))
-    sizes = parts.groupBy("message_id").agg(
-        F.count(F.lit(1)).alias("n_parts"),
-        F.when(~unknown, F.sum(encoded_size(F.col("encoding"), F.col("n_bytes")))).alias("encoded_bytes"),
+    encoding, n_bytes = F.col("encoding"), F.col("n_bytes")
+    quoted = encoding == "quoted-printable"
+    size = encoded_size(encoding, n_bytes)
+    if text:
+        size = F.when(quoted, quoted_printable_size(F.when(quoted, F.col(text)))).otherwise(size)
+    sized = parts.select("message_id", quoted.alias("_quoted"), size.alias("_size"))
+    unknown = F.coalesce(F.bool_or(F.col("_quoted") & F.col("_size").isNull()), F.lit(False))
+    sizes = sized.groupBy("message_id").agg(
+        F.count(F.lit(1)).alias("n_parts"), F.when(~unknown, F.sum("_size")).alias("encoded_bytes")
     )
     if server_size is None:
         return sizes

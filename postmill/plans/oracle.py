@@ -264,6 +264,35 @@ SIZES = """sizes as (
   from attachments group by message_id)"""
 SQL["message_size"] = f"with {SIZES} select *, cast(encoded_bytes <= 20000 as bigint) as fits from sizes"
 SQL["largest_messages"] = f"with {SIZES} select * from sizes order by encoded_bytes desc, message_id limit 10"
+# Quoted-printable byte by byte: a fold over classes (1 stays, 3 is escaped, 0 stays at the end of a line), the state 128 * bytes + column.
+SQL["message_size_quoted"] = f"""
+with split as (
+  select *, row_number() over () as part, string_split(replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) as ls from text_parts
+), lines as (
+  select part, unnest(ls) as line, generate_subscripts(ls, 1) as k, len(ls) as n from split where encoding = 'quoted-printable'
+), bytes as (
+  select part, k, n, line, regexp_extract_all(hex(encode(line)), '..') as b from lines
+), classes as (
+  select part, k, n, len(b) as nb, b, list_transform(b, lambda x, i: case
+    when x in ('20', '09') and i = len(b) then 3
+    when x = '2E' and i = 1 and (len(b) = 1 or b[2] = '00') then 3
+    when x <> '3D' and (x = '09' or x between '20' and '7E') then case when i = len(b) then 0 else 1 end
+    else 3 end) as c from bytes
+), folded as (
+  select part, k, n, nb, b, c, list_reduce(list_prepend(0::bigint, list_transform(
+      case when k < n and nb > 0 and b[nb] in ('20', '09') then c[:nb - 1] else c end, lambda x: x::bigint)),
+    lambda s, x: case when x = 0 then s + 128 + 1
+      when x = 1 then case when s % 128 >= 75 then s - s % 128 + 128 * 4 + 1 else s + 128 + 1 end
+      else case when s % 128 >= 73 then s - s % 128 + 128 * 6 + 3 else s + 128 * 3 + 3 end end) as s from classes
+), quoted as (
+  select part, (sum(s // 128 + case when k < n and nb > 0 and b[nb] in ('20', '09') then 3 else 0 end) + 2 * (count(*) - 1))::bigint as size
+  from folded group by part
+), sizes as (
+  select message_id, count(*) as n_parts, sum(case encoding when 'binary' then n_bytes when 'quoted-printable' then size
+    else (n_bytes + 2) // 3 * 4 + ((n_bytes + 2) // 3 * 4 + 75) // 76 * 2 end)::bigint as encoded_bytes
+  from split left join quoted using (part) group by message_id
+)
+select *, cast(encoded_bytes <= 4000 as bigint) as fits from sizes"""
 SQL["text_size"] = f"""
 select message_id, cast(strlen({crlf('body')}) + case when right(body, 1) in (chr(10), chr(13)) then 0 else 2 end as bigint)
   as encoded_bytes from messages_text"""

@@ -245,6 +245,12 @@ def message_size(spark: SparkSession, d: str) -> DataFrame:
     return sizes.withColumn("fits", F.col("fits").cast("bigint"))
 
 
+@query
+def message_size_quoted(spark: SparkSession, d: str) -> DataFrame:
+    sizes = msg.message_size(view(spark, d, "text_parts"), 4000, "content")
+    return sizes.withColumn("fits", F.col("fits").cast("bigint"))
+
+
 @query
 def largest_messages(spark: SparkSession, d: str) -> DataFrame:
     return msg.largest_messages(view(spark, d, "attachments"), 10)

@@ -84,6 +84,15 @@ VIEWS["messages_text"] = """
 select doc_id as message_id, text as body, '' as alt_body, '8bit' as encoding, 'utf-8' as charset, source, lang
 from documents"""
 
+# Two text parts per document, in encodings that take turns.
+VIEWS["text_parts"] = """
+select doc_id as message_id, case doc_id % 3 when 0 then 'base64' else 'quoted-printable' end as encoding,
+       {size}(text) as n_bytes, text as content
+from documents
+union all
+select doc_id, case doc_id % 2 when 0 then 'quoted-printable' else 'binary' end, {size}(lang), lang
+from documents"""
+
 VIEWS["messages_html"] = """
 select page_id as message_id, url, html as body, '8bit' as encoding, 'utf-8' as charset
 from pages"""
@@ -247,7 +256,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    sql = VIEWS[name].format(text="string")
+    sql = VIEWS[name].format(text="string", size="octet_length")
     used = [t for t in TABLES if f"from {t}" in sql]
     for t in used:
         sql = sql.replace(f"from {t}", "from {" + t + "}")
@@ -257,7 +266,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def with_views(sql: str) -> str:
     """A DuckDB query whose mail tables are defined up front."""
     names: list[str] = [n for n in VIEWS if n in sql]
-    defined = ", ".join(f"{n} as ({VIEWS[n].format(text='varchar')})" for n in names)
+    defined = ", ".join(f"{n} as ({VIEWS[n].format(text='varchar', size='strlen')})" for n in names)
     if not defined:
         return sql
     body = sql.strip()

@@ -170,3 +170,21 @@ def test_size_with_a_quoted_printable_part_is_unknown(spark):
     assert sizes[1] == (2, None, None)
     assert sizes[2][0] == 1 and sizes[2][1] is not None and sizes[2][2] is True
     assert sizes[3] == (1, None, None)
+
+
+def test_quoted_printable_sizes(spark):
+    """Sizes worked out without encoding are those of the bytes that rendering makes."""
+    import quopri
+    import random
+
+    draw = random.Random(4)
+    made = ["", ".", ".\n.", ". \n..\t", " ", "\t\n ", "=" * 200, "a" * 75, "a" * 76, "a" * 77 + "\n" + "b" * 76 + " ", "é" * 60, ".\x00a", "\x85\n\u2028", "x\r\ny\rz\n"]
+    made += ["".join(draw.choice(["a", "b", " ", "\t", "=", "é", "\n", "\r\n", ".", "word", "\x01", "🙂"]) for _ in range(draw.randint(0, 400))) for _ in range(400)]
+    made += ["".join(draw.choice("ab é=") for _ in range(k)) + end for k in range(60, 90) for end in ("", " ", "\n", " \n.", "=", "é\n")]
+    rows = spark.createDataFrame([(k, "quoted-printable", None, t) for k, t in enumerate(made)], "message_id bigint, encoding string, n_bytes bigint, content string")
+    got = {r.message_id: r.encoded_bytes for r in msg.message_size(rows, text="content").collect()}
+    for k, text in enumerate(made):
+        data = text.encode().replace(b"\r\n", b"\n").replace(b"\r", b"\n")
+        assert got[k] == len(quopri.encodestring(data).replace(b"\n", b"\r\n")), repr(text)
+    unknown = msg.message_size(rows.withColumn("content", F.lit(None).cast("string")), 10, "content").select("encoded_bytes", "fits").distinct().collect()
+    assert [tuple(r) for r in unknown] == [(None, None)]
