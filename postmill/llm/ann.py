@@ -23,15 +23,15 @@ from postmill.session import durable
 
 NEAREST = 20
 QUERY_EVERY = 20
-TREES = 96
+TREES = 128
 # Random directions of a string's symbols, first to last. Two signs each, so a symbol has twice as many values.
-DIRECTIONS = (64, 16, 16)
+DIRECTIONS = (32, 16, 16, 8, 8, 8, 8, 8)
 # Vectors of a block, queries of a chunk, what a block's trees have to offer in all before a query stops going up, and how many of
 # the offered are scored.
 BLOCK = 8192
 CHUNK = 2048
-OFFERS = 4096
-SCORED = 768
+OFFERS = 8192
+SCORED = 1280
 # Vectors hashed at a time.
 AT_ONCE = 512
 
@@ -46,13 +46,13 @@ def _strings(vectors: np.ndarray, trees: int = TREES) -> np.ndarray:
     """One string per vector and tree, as an integer whose leading digits are its prefix."""
     if len(vectors) > AT_ONCE:
         return np.vstack([_strings(vectors[at:at + AT_ONCE], trees) for at in range(0, len(vectors), AT_ONCE)])
-    strings = np.zeros((len(vectors), trees), np.int32)
+    strings = np.zeros((len(vectors), trees), np.int64)
     for n, matrix in zip(DIRECTIONS, _directions(vectors.shape[1], trees)):
         along = (vectors.astype(np.float32) @ matrix).reshape(len(vectors), trees, n)
         at = np.abs(along).argmax(axis=2)
         sign = np.take_along_axis(along, at[:, :, None], axis=2)[:, :, 0] < 0
         strings = strings * (2 * n) + 2 * at + sign
-    return strings.astype(np.int32)
+    return strings
 
 
 def _unpacked(column: pa.Array, size: int) -> np.ndarray:
@@ -116,20 +116,21 @@ def _search(size: int, nearest: int):
         for row in table.to_pylist():
             reps = np.frombuffer(row["reps"], np.int64)
             vectors = np.frombuffer(row["vecs"], float).reshape(len(reps), size)
-            strings = np.frombuffer(row["strings"], np.int32).reshape(-1, len(reps))
+            strings = np.frombuffer(row["strings"], np.int64).reshape(-1, len(reps))
             order = np.frombuffer(row["order"], np.int32).reshape(-1, len(reps))
             queries = np.frombuffer(row["queries"], np.int64)
             sought = np.frombuffer(row["sought"], float).reshape(len(queries), size)
-            low, high = _stretches(strings, np.frombuffer(row["keys"], np.int32).reshape(len(queries), -1))
+            low, high = _stretches(strings, np.frombuffer(row["keys"], np.int64).reshape(len(queries), -1))
             offers = (high - low).sum(axis=1, dtype=np.int64)  # by prefix length and query; the root offers everything
             for q in range(len(queries)):
                 level = int(np.nonzero(offers[:, q] >= min(OFFERS, offers[0, q]))[0][-1])
-                if level and len(reps) > SCORED:
+                if level:
                     at = np.concatenate([order[t, i:j] for t, (i, j) in enumerate(zip(low[level, :, q], high[level, :, q]))])
                     votes = np.bincount(at, minlength=len(reps))
-                    picked = np.argpartition(-votes, SCORED)[:SCORED]
-                    picked = picked[votes[picked] > 0]
-                else:
+                    picked = np.nonzero(votes)[0]
+                    if len(picked) > SCORED:
+                        picked = np.argpartition(-votes, SCORED)[:SCORED]
+                else:  # up at the root, every tree offers everything
                     picked = np.arange(len(reps))
                 # Products are summed one component after the other, so equal vectors score the same wherever they lie.
                 scores = np.add.accumulate(vectors[picked] * sought[q], axis=1)[:, -1]
@@ -150,7 +151,7 @@ def nearest_neighbours(
 
     Equal vectors are indexed and sought once; of copies only the ``nearest + 1`` smallest ids can be an answer. Null, empty and zero
     vectors, those with null or non-finite components, and null ids take no part. Vectors of unequal length count as if filled up
-    with zeros. Repeated rows are one. A table too small to fill the demand is searched whole, so all candidates are found.
+    with zeros. Repeated rows are one; an empty table gives no rows; products beyond the range of doubles are infinite. A table too small to fill the demand is searched whole, so all candidates are found.
     """
     more = nearest + 1
 
@@ -167,7 +168,9 @@ def nearest_neighbours(
     held = durable(ranked.groupBy("vec").agg(F.array_sort(F.collect_set("vec_id")).alias("ids")).withColumn("rep", F.get("ids", 0)))
     asked = sound(queries).distinct()
     known = durable(asked.groupBy("vec").agg(F.min("vec_id").alias("rep")))
-    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
+    # Lengths by way of the largest component, so that squares stay finite.
+    peak = F.array_max(F.transform("vec", F.abs))
+    norm = F.sqrt(F.aggregate(F.transform("vec", lambda x: x / peak), F.lit(0.0), lambda s, x: s + x * x)) * peak
     size, longest, n = held.agg(F.max(F.size("vec")), F.max(norm), F.count(F.lit(1))).first()
     asked_size, n_asked = known.agg(F.max(F.size("vec")), F.count(F.lit(1))).first()
     size, longest = max(size or 1, asked_size or 1), longest or 1.0

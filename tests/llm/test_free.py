@@ -54,22 +54,27 @@ def test_fewer_candidates_than_asked_for(spark):
     assert sorted((r.query_id, r["rank"]) for r in out) == [(0, k) for k in (1, 2, 3, 4)]
 
 
-def test_forest_recall(spark):
-    """The hardest case: directions without any clusters, lengths that differ, several blocks."""
-    made, _ = vectors(spark, 9000, dims=64)
-    made *= np.random.default_rng(5).uniform(0.8, 1.2, (9000, 1)).astype(np.float32)
-    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(made)], "vec_id bigint, vec array<float>")
-    asked = rows.filter("vec_id % 90 = 0")
+@pytest.mark.parametrize("kind,n", [("normal", 9000), ("normal", 20_000), ("uniform", 9000), ("unit", 9000), ("clustered", 9000)])
+def test_forest_recall(spark, kind, n):
+    """Recall with the production settings, over several blocks; directions without any clusters are the hardest case."""
+    draw = np.random.default_rng(5)
+    made = draw.uniform(-1, 1, (n, 64)) if kind == "uniform" else draw.standard_normal((n, 64))
+    if kind == "unit":
+        made /= np.linalg.norm(made, axis=1, keepdims=True)
+    if kind == "clustered":
+        made += 2 * draw.standard_normal((50, 64))[draw.integers(0, 50, n)]
+    exact = made.astype(np.float32).astype(float)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(exact)], "vec_id bigint, vec array<float>")
+    asked = rows.filter(F.col("vec_id") % (n // 100) == 0)
     found = defaultdict(set)
-    for r in ann.nearest_neighbours(rows, asked, block=3000, chunk=64).collect():
+    for r in ann.nearest_neighbours(rows, asked).collect():
         found[r.query_id].add(r.vec_id)
-    exact = made.astype(float)
     hits = 0
     for q, got in found.items():
         scores = exact @ exact[q]
         scores[q] = -np.inf
         hits += len(got & set(np.argsort(-scores)[:20].tolist()))
-    assert len(found) == 100 and hits / 2000 >= 0.9
+    assert len(found) >= 100 and hits / (20 * len(found)) >= 0.9
 
 
 def test_language(spark):
