@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,15 +61,17 @@ def address_key(c: Column) -> Column:
     return F.lower(c)
 
 
+@lru_cache(maxsize=1 << 16)
+def _converted(domain: str) -> str:
+    try:
+        return domain.encode("idna").decode("ascii").lower()
+    except UnicodeError:
+        return domain
+
+
 @F.pandas_udf(StringType())
 def _ascii_domain(domains: pd.Series) -> pd.Series:
-    def convert(domain: str) -> str:
-        try:
-            return domain.encode("idna").decode("ascii").lower()
-        except UnicodeError:
-            return domain
-
-    return domains.map(convert)
+    return domains.map(lambda d: d if d is None else _converted(d))
 
 
 def is_international(c: Column) -> Column:
@@ -75,22 +79,11 @@ def is_international(c: Column) -> Column:
     return F.coalesce(has_8bit(c) & has_8bit(domain_of(c)), F.lit(False))
 
 
-def ascii_addresses(df: DataFrame, column: str = "address", found_in: DataFrame | None = None) -> DataFrame:
-    """Give addresses with an international domain their ASCII form; a domain that cannot be converted stays as it is.
+def ascii_address(c: Column) -> Column:
+    """An address with an international domain in its ASCII form; a domain that cannot be converted stays as it is.
 
-    The conversion runs once per distinct international domain of ``found_in``, any table that holds at least the
-    addresses of ``df`` and is cheaper to read. Spark broadcasts the map where its size allows.
+    Only such domains are sent to Python, all other rows send null: no second look at the input, no join, no shuffle.
     """
-    foreign = F.when(is_international(F.col(column)), domain_of(F.col(column)))
-    domains = (
-        (df if found_in is None else found_in).select(foreign.alias("_domain")).filter("_domain is not null").distinct()
-        .withColumn("_ascii", _ascii_domain("_domain"))
-    )
-    local = F.substring_index(F.col(column), "@", -1)
-    head = F.left(F.col(column), F.length(column) - F.length(local))
-    return (
-        df.withColumn("_domain", foreign)
-        .join(domains, "_domain", "left")
-        .withColumn(column, F.when(F.col("_ascii").isNotNull(), F.concat(head, "_ascii")).otherwise(F.col(column)))
-        .drop("_domain", "_ascii")
-    )
+    foreign = F.when(is_international(c), domain_of(c))
+    head = F.left(c, F.length(c) - F.length(domain_of(c)))
+    return F.coalesce(F.concat(head, _ascii_domain(foreign)), c)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.functions.address import ascii_addresses, is_address
+from postmill.functions.address import ascii_address, is_address
 from postmill.functions.arrays import bound
 from postmill.functions.text import base64_size, blank, byte_string, has_8bit, has_long_line, lf_breaks, trimmed
 from postmill.session import small_table
@@ -57,16 +57,18 @@ def validate_envelope_fields(
 
     Blank fields are skipped; fields are trimmed, and international domains judged in their ASCII form.
     """
-    trimmed_fields = messages.withColumns({f: trimmed(F.col(f)) for f in fields})
-    long = trimmed_fields.select("message_id", *fields).unpivot(["message_id"], list(fields), "field", "address")
-    filled = long.filter(~blank(F.col("address")))
-    bad = ascii_addresses(filled).filter(~is_address(F.col("address"), pattern))
-    rank = F.array_position(F.lit(list(fields)), F.col("field"))
-    first = bad.groupBy("message_id").agg(F.min(F.struct(rank, "field", "address")).alias("_bad"))
-    return trimmed_fields.join(first, "message_id", "left").select(
-        *messages.columns, F.col("_bad.field").alias("bad_field"), F.col("_bad.address").alias("bad_value")
+    trimmed_fields = messages.withColumns({f: trimmed(F.col(f)) for f in fields}).withColumns(
+        {f"_ascii_{f}": ascii_address(trimmed(F.col(f))) for f in fields}
     )
 
+    def failing(field: str) -> Column:
+        value = F.col(f"_ascii_{field}")
+        bad = ~blank(F.col(field)) & ~is_address(value, pattern)
+        return F.when(bad, F.struct(F.lit(field).alias("field"), value.alias("address")))
+
+    judged = trimmed_fields.withColumn("_bad", F.coalesce(*[failing(f) for f in fields]))
+    return judged.select(*messages.columns, F.col("_bad.field").alias("bad_field"), F.col("_bad.address").alias("bad_value"))
+
 
 def default_sender(messages: DataFrame, auto: bool = True) -> DataFrame:
     """Fill a blank ``sender`` from ``from_address`` where ``auto``; add ``envelope_sender``, which always falls back."""

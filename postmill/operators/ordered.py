@@ -30,7 +30,7 @@ def in_ranges(df: DataFrame, group: Sequence[str], order: Sequence[str], block:
     return durable(ranged.withColumn(block, F.spark_partition_id()))
 
 
-def _on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+def on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Join on ``keys``, null keys included."""
     named = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
@@ -52,7 +52,7 @@ def running_total(
     )
     return (
         rows.withColumn("_inside", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
-        .transform(lambda left: _on_keys(left, offsets, keys))
+        .transform(lambda left: on_keys(left, offsets, keys))
         .withColumn(out, F.col("_before") + F.col("_inside"))
         .drop("_value", "_inside", "_before")
     )
@@ -73,7 +73,7 @@ def carry_last(
     )
     return (
         df.withColumn("_seen", F.last(value, ignorenulls=True).over(inside))
-        .transform(lambda left: _on_keys(left, carried, keys))
+        .transform(lambda left: on_keys(left, carried, keys))
         .withColumn(out, F.coalesce("_seen", "_carried"))
         .drop("_seen", "_carried")
     )

@@ -11,10 +11,11 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postmill.functions.address import PATTERNS, address_key, ascii_addresses, domain_of, is_address, is_international
+from postmill.functions.address import PATTERNS, address_key, ascii_address, domain_of, is_address, is_international
 from postmill.functions.headers import phrase
 from postmill.functions.text import blank, has_break, secured, trimmed
 from postmill.operators.ordered import SEGMENT, in_ranges, ordered_concat, running_total
+from postmill.session import durable
 
 ORDER = ("kind_rank", "seq", "t1", "t2", "address")
 KINDS = ("to", "cc", "bcc", "Reply-To")
@@ -82,14 +83,11 @@ def accepted_recipients(df: DataFrame, pattern: Pattern = "html5", order: Sequen
 def dedup_idn(df: DataFrame, pattern: Pattern = "html5", order: Sequence[str] = ORDER) -> DataFrame:
     """Duplicates with international domains.
 
-    Such addresses wait in a queue: the queue drops exact repeats, is handled after all plain addresses, and takes the
-    ASCII form of each domain. A plain twin added later therefore still wins.
+    Such addresses wait until all plain ones are handled (``pass`` 1), and take the ASCII form of their domain. So a plain twin
+    added later still wins. One look at the rows, one shuffle.
     """
-    rows = clean_recipients(df).withColumns(
-        {"pass": is_international(F.col("address")).cast("int"), "_reply": _namespace()}
-    )
-    queue = _first_per_key(rows.filter("pass = 1"), ["message_id", "_reply", "address"], order)
-    handled = rows.filter("pass = 0").unionByName(ascii_addresses(queue, found_in=rows)).drop("_reply")
+    rows = clean_recipients(df).withColumn("pass", is_international(F.col("address")).cast("int"))
+    handled = rows.withColumn("address", ascii_address(F.col("address")))
     valid, _ = validate_addresses(handled, pattern)
     return dedup_reply_to(valid, ["pass", *order])
 
@@ -100,8 +98,7 @@ def reject_reasons(df: DataFrame, pattern: Pattern = "html5") -> DataFrame:
     Addresses are judged with their domains in ASCII form. Refused rows and accepted addresses are counted in one grouping, in which
     rows that are refused have no address, so a domain's many refusals are one row per task.
     """
-    rows = clean_recipients(df).withColumn("_foreign", is_international(F.col("address")))
-    named = rows.filter("not _foreign").unionByName(ascii_addresses(rows.filter("_foreign")))
+    named = clean_recipients(df).withColumn("address", ascii_address(F.col("address")))
     judged = named.withColumns(
         {"_refused": refusal(pattern), "domain": F.lower(F.coalesce(domain_of(F.col("address")), F.lit("")))}
     )
@@ -177,7 +174,9 @@ def recipient_headers(
     shown = ["cc", REPLY_TO] + (["to"] if transport != "mail" else [])
     shown += ["bcc"] if transport in ("sendmail", "qmail", "mail") else []
     label = F.initcap("kind")
-    entries = df.filter(F.col("kind").isin(*shown)).withColumns(
+    # Written once: what makes the rows (cleaning, checks, duplicates) is not worked out again for each use.
+    held = durable(df.select("message_id", *{c: None for c in ["kind", "address", "name", *order] if c != "message_id"}))
+    entries = held.filter(F.col("kind").isin(*shown)).withColumns(
         {"entry": formatted(F.col("address"), F.col("name")), "label": F.when(_namespace(), REPLY_TO).otherwise(label)}
     )
     lines = ordered_concat(
@@ -188,9 +187,10 @@ def recipient_headers(
         "segment",
         F.when(F.col("segment") == 0, F.concat("label", F.lit(": "), "text")).otherwise(F.col("text")).alias("header"),
     )
-    known = df.select("message_id") if messages is None else messages.select("message_id")
-    open_to = df.filter(F.col("kind").isin("to", "cc")).select("message_id").distinct()
-    hidden = known.distinct().join(open_to, "message_id", "left_anti").select(
+    open_to = held.groupBy("message_id").agg(F.coalesce(F.bool_or(F.col("kind").isin("to", "cc")), F.lit(False)).alias("_open"))
+    if messages is not None:
+        open_to = messages.select("message_id").distinct().join(open_to, "message_id", "left")
+    hidden = open_to.filter(~F.coalesce("_open", F.lit(False))).select(
         "message_id",
         F.lit("To").alias("kind"),
         F.lit(0).cast("bigint").alias("segment"),
@@ -227,6 +227,11 @@ def envelope(to: DataFrame, cc: DataFrame, bcc: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def envelope_rows(df: DataFrame) -> DataFrame:
+    """The same from one table that has the kinds already."""
+    return df.filter(F.col("kind").isin("to", "cc", "bcc"))
+
+
 def suppress(df: DataFrame, *kinds: str) -> DataFrame:
     """Drop all recipients of the given kinds, waiting ones included; no kind means all but Reply-To."""
     return df.filter(~F.col("kind").isin(*(kinds or ("to", "cc", "bcc"))))

@@ -154,9 +154,8 @@ def recipient_order(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def envelope(spark: SparkSession, d: str) -> DataFrame:
-    rows = rec.accepted_recipients(view(spark, d, "raw_recipients")).select("message_id", "kind", "address")
-    to, cc, bcc = (rows.filter(F.col("kind") == k).drop("kind") for k in ("to", "cc", "bcc"))
-    return rec.envelope(to, cc, bcc)
+    rows = rec.accepted_recipients(view(spark, d, "raw_recipients"))
+    return rec.envelope_rows(rows).select("message_id", "kind", "address")
 
 
 @query

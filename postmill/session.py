@@ -46,19 +46,27 @@ def shared_root(spark: SparkSession) -> str:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under ``shared_root``. It is deleted when the session's JVM ends."""
     path = f"{shared_root(spark)}/postmill-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    files.mkdirs(target)
-    files.deleteOnExit(target)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(target)
+    _deleted_at_end(spark, path)
     return path
 
 
+def _deleted_at_end(spark: SparkSession, path: str) -> None:
+    """Have the session's JVM delete a folder of its own when it ends. Asking again does no harm."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read from there: no lineage, so a lost executor costs no recomputation."""
+    """``df`` written to the shared checkpoint folder and read from there: no lineage, so a lost executor costs no recomputation.
+
+    Spark gives each application a checkpoint folder of its own, which goes when its JVM ends.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_root(df.sparkSession))
+    _deleted_at_end(df.sparkSession, context.getCheckpointDir())
     return df.checkpoint()
 
 

@@ -60,8 +60,10 @@ def outbox(stream: DataFrame, log_path: str, sent_path: str, checkpoint: str) ->
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{log_path}/batch={batch_id}")
-        delivered = batch.filter("is_sent").select("email").distinct()
+        # The log is the batch's only evaluation: what was delivered is read from it.
+        log = f"{log_path}/batch={batch_id}"
+        batch.write.mode("overwrite").parquet(log)
+        delivered = batch.sparkSession.read.schema(batch.schema).parquet(log).filter("is_sent").select("email").distinct()
         delivered.write.mode("overwrite").parquet(f"{sent_path}/batch={batch_id}")
 
     return (

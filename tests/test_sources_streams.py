@@ -137,3 +137,38 @@ def test_a_refused_copy_does_not_return(spark):
     rows = [(1, 1, "add", "to", "a@x"), (1, 2, "add", "cc", "A@x"), (1, 3, "clear", "to", ""), (1, 4, "add", "Reply-To", "a@x"), (1, 5, "clear", "all", "")]
     got = recipient_ledger(spark.createDataFrame(rows, "message_id bigint, seq bigint, op string, kind string, address string")).collect()
     assert sorted((r.seq, r.listed) for r in got) == [(1, False), (4, True)]
+
+
+def test_long_chains_of_listings(spark):
+    """One address listed and cleared again and again, by lists that are cleared at different paces, and a null one beside it."""
+    commands = []
+    for k in range(300):
+        commands.append((1, 4 * k, "add", ["to", "cc", "bcc"][k % 3], "a@x.example"))
+        commands.append((1, 4 * k + 1, "clear", ["to", "cc", "to", "bcc", "all"][k % 5], ""))
+        commands.append((1, 4 * k + 2, "add", "cc", "b@x.example"))
+    df = spark.createDataFrame(commands, "message_id bigint, seq bigint, op string, kind string, address string")
+    got = recipient_ledger(df).select("message_id", "seq", "kind", "address", "listed").collect()
+    assert sorted(map(tuple, got)) == replay(commands)
+    nulls = [(None, s, op, kind, address) for _, s, op, kind, address in commands]
+    got = recipient_ledger(spark.createDataFrame(nulls, df.schema)).select("seq", "kind", "address", "listed").collect()
+    assert sorted(map(tuple, got)) == [w[1:] for w in replay(commands)]
+
+
+def test_listings_end(spark, tmp_path):
+    """With a time limit a listing is forgotten and its state goes; without one it stays."""
+    schema = "message_id bigint, seq bigint, op string, kind string, address string"
+    folder = str(tmp_path / "commands")
+    for part in range(3):
+        rows = [(m, part * 10 + 1, "add", "to", "a@x.example") for m in range(20)] if part != 1 else [(99, 11, "add", "to", "b@x.example")]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+    counts = {}
+    for name, ttl in (("kept", None), ("ended", 1)):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        query = live_ledger(stream, ttl).writeStream.format("memory").queryName(f"ledger_{name}").option(
+            "checkpointLocation", str(tmp_path / name)
+        ).trigger(availableNow=True).start()
+        query.awaitTermination()
+        sizes = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["numInputRows"]]
+        counts[name] = (spark.table(f"ledger_{name}").count(), sizes)
+    assert counts["kept"][0] == 21 and counts["kept"][1] == [20, 21, 21]
+    assert counts["ended"][0] == 41 and counts["ended"][1][1] < counts["ended"][1][0]
