@@ -88,22 +88,14 @@ def _patterns() -> Column:
     ), lambda p: p.isNotNull())
 
 
-def discovered(spans: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """``_id, kind, start, end`` of the tokens that patterns of high confidence find.
+def _trusted(pairs: DataFrame, documents: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """``(pattern, sought, trust)`` and ``(token, sought)`` of high confidence, given ``(pattern, token, kind)`` as far as known.
 
-    Patterns and tokens only ever meet as counted pairs; what a frequent pattern holds is summed before it is shuffled.
+    ``documents`` tells in how many documents each pattern stands with a known identifier of a kind.
     """
-    seen = spans.select(
-        "_id", "kind", "start", "end", ascii_lower(F.col("value")).alias("token"),
-        words_of(ascii_lower(F.col("before"))).alias("_left"), words_of(ascii_lower(F.col("after"))).alias("_right"),
-    ).select("_id", "kind", "start", "end", "token", F.explode(_patterns()).alias("pattern"))
-    pairs = seen.groupBy("pattern", "token", "kind").agg(F.approx_count_distinct("_id").alias("docs"))
-    # What a pattern holds at first: different tokens in all, and those of each kind.
     total = pairs.groupBy("pattern").agg(F.count(F.lit(1)).alias("tokens"))
-    seeds = pairs.filter("kind <> 'token'").groupBy("pattern", "kind").agg(
-        F.count(F.lit(1)).alias("seeds"), F.sum("docs").alias("docs")
-    )
-    promising = seeds.join(total, "pattern").filter(
+    seeds = pairs.filter("kind <> 'token'").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("seeds"))
+    promising = seeds.join(total, "pattern").join(documents, ["pattern", "kind"]).filter(
         (F.col("seeds") >= MIN_SEEDS) & (F.col("docs") >= MIN_DOCS) & (F.col("seeds") >= LEAST_START * F.col("tokens"))
     ).select("pattern", F.col("kind").alias("sought"), "tokens")
     # An edge joins a pattern and a token for the kind sought; seeds of the kind are certain, of another kind impossible.
@@ -123,10 +115,45 @@ def discovered(spans: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             "score", F.coalesce("known", "likely", F.lit(0.0))
         ).drop("likely"))
     trusted = scored.groupBy("pattern", "sought").agg((F.sum("score") / F.max("tokens")).alias("trust")).filter(F.col("trust") >= PATTERN_SCORE)
-    tokens = scored.filter(F.col("known").isNull() & (F.col("score") >= TOKEN_SCORE)).select("token", "sought").distinct()
-    found = seen.filter("kind = 'token'").join(trusted, "pattern").join(tokens, ["token", "sought"], "left_semi")
-    # A token two kinds claim goes to the more trusted pattern's.
-    return found.groupBy("_id", "start", "end").agg(F.max_by("sought", F.struct("trust", "sought")).alias("kind"))
+    tokens = scored.filter(F.col("known").isNull() & (F.col("score") >= TOKEN_SCORE)).select("token", "sought")
+    return trusted, tokens.join(trusted.select("sought").distinct(), "sought", "left_semi").distinct()
+
+
+def discovered(spans: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """``_id, kind, start, end`` of the tokens that patterns of high confidence find.
+
+    What is found becomes a seed: its own contexts are patterns of the next hop, until a hop finds nothing new. Patterns and tokens
+    only ever meet as counted pairs; what a frequent pattern holds is summed before it is shuffled.
+    """
+    seen = durable(spans.select(
+        "_id", "kind", "start", "end", ascii_lower(F.col("value")).alias("token"),
+        words_of(ascii_lower(F.col("before"))).alias("_left"), words_of(ascii_lower(F.col("after"))).alias("_right"),
+    ).select("_id", "kind", "start", "end", "token", F.explode(_patterns()).alias("pattern")))
+    pairs = durable(seen.groupBy("pattern", "token", "kind").agg(F.count(F.lit(1)).alias("n")).drop("n"))
+    standing = seen.select("pattern", "token", "kind", "_id").distinct()
+    found = None
+    while True:
+        if found is None:
+            known, stands = pairs, standing.filter("kind <> 'token'")
+        else:
+            # A token is one kind: that of the most trusted pattern that found it first.
+            known = pairs.join(found, "token", "left").withColumn("kind", F.when(F.col("kind") == "token", F.coalesce("sought", "kind")).otherwise(F.col("kind")))
+            known = known.select("pattern", "token", "kind").distinct()
+            stands = standing.join(found, "token", "left").withColumn("kind", F.when(F.col("kind") == "token", F.coalesce("sought", "kind")).otherwise(F.col("kind"))).filter("kind <> 'token'")
+        documents = stands.groupBy("pattern", "kind").agg(F.count_distinct("_id").alias("docs"))
+        trusted, tokens = _trusted(known, documents, rounds)
+        hit = seen.filter("kind = 'token'").join(trusted, "pattern").join(tokens, ["token", "sought"], "left_semi")
+        best = durable(hit.groupBy("token").agg(F.max_by("sought", F.struct("trust", "sought")).alias("sought")))
+        if best.isEmpty():
+            break
+        found = best if found is None else durable(found.unionByName(best.join(found, "token", "left_anti")))
+    if found is None:
+        return spans.select("_id", "kind", "start", "end").limit(0)
+    # The places of what was found: those where a trusted pattern of its kind stands, with all that is known by now.
+    sites = seen.filter("kind = 'token'").join(found, "token").join(
+        trusted.select("pattern", F.col("sought")), ["pattern", "sought"], "left_semi"
+    )
+    return sites.select("_id", "start", "end", F.col("sought").alias("kind")).distinct()
 
 
 def _listed(spans: Column) -> Column:

@@ -82,6 +82,20 @@ def test_personal_data_learns_a_context(spark):
     assert out[1001].n_added == 0
 
 
+def test_personal_data_learns_from_what_it_found(spark):
+    """Found numbers are seeds themselves: their other contexts find the next, hop after hop, and no further than those reach."""
+    rows = [(i, f"Please bill my card: 4{i:02d}{brute_luhn(i)} at once.") for i in range(60)]
+    first, second, third = ([f"{c}{k}-AB-12{k}" for k in range(8)] for c in "567")
+    rows += [(100 + k, f"Please bill my card: {t} at once.") for k, t in enumerate(first)]
+    rows += [(200 + k, f"Redeem voucher code {t} today please.") for k, t in enumerate(first + second[:4])]
+    rows += [(300 + k, f"Our desk keeps ledger entry {t} for audits.") for k, t in enumerate(first[:2] + second[:4] + third[:1])]
+    rows += [(400 + k, f"The bus number {t} leaves soon.") for k, t in enumerate(third)]
+    out = {r.doc_id: r for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    found = {i for i, r in out.items() if r.n_added}
+    assert found == {*range(100, 108), *range(200, 212), *range(300, 307)}
+    assert all(out[i].spans.startswith("card:") for i in found)
+
+
 def brute_luhn(i: int) -> str:
     """13 more digits that make ``4`` and two digits of ``i`` a valid card number."""
     body = f"{i * 7919:012d}"
