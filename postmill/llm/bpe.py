@@ -28,8 +28,8 @@ from postmill.llm.common import text_of
 RANKS = "byte_bpe_50k.tiktoken"
 # Bytes a worker keeps, by estimate: of arcs and states, and of the ids of recent short pieces; and how many pairs of tokens it knows to
 # fit or not. An entry of a dictionary is taken to need so many bytes besides what it holds.
-COMPILED = 128 << 20
-REMEMBERED = 24 << 20
+COMPILED = 160 << 20
+REMEMBERED = 96 << 20
 MOST_PAIRS = 1 << 17
 ENTRY = 250
 LONGEST_PIECE = 64
