@@ -18,6 +18,7 @@ HEADLINE = (
     "dedup_recipients", "html_to_text", "long_line_profile", "duplicate_bodies", "policy_violations", "unexpected_replies",
     "recipient_counts", "recipient_headers", "reject_reasons", "part_layout", "attachment_dedup", "mime_types", "send_outcome",
     "assemble_replies", "wire_line_audit", "reflow", "tag_balance", "sanitize_pages_html", "connection_sessions", "delivery_rate",
+    "render_messages", "header_lines", "embed_assets", "recipient_ledger", "message_size_quoted",
 )
 # Rows of the table each survey headline reads, for rows per second.
 INPUT = {
