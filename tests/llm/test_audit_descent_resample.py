@@ -99,7 +99,8 @@ def nearest_of_all(rows, threshold=0.93):
 
     def find(k):
         while root[k] != k:
-            k = root[k] = root[root[k]]
+            root[k] = root[root[k]]
+            k = root[k]
         return k
 
     for members in by_label.values():
@@ -189,7 +190,8 @@ def test_resampling(spark, docs):
     target = ["the quick brown fox jumps over the lazy dog", None, "", "Own é🙂 words"]
     wanted = spark.createDataFrame([(k, t, "x") for k, t in enumerate(target)], "item_id bigint, text string, weight string")
     got = Counter(tuple(r) for r in resample.resample(docs, wanted).collect())
-    assert got == resampled(ODD, target) and sum(r[4] is not None for r in got) > 5
+    want = resampled(ODD, target)
+    assert got - want == Counter() == want - got and sum(n for r, n in got.items() if r[4] is not None) > 3
     assert resample.resample(docs.limit(0), wanted).count() == 0
     assert Counter(tuple(r) for r in resample.resample(docs, wanted.limit(0)).collect()) == resampled(ODD, [])
 
