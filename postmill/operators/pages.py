@@ -97,8 +97,8 @@ def asset_references(
 def embed_assets(pages: DataFrame, assets: DataFrame, host: str = "inline.0") -> DataFrame:
     """``page_id, html``: data URIs and existing relative references become ``cid:`` references; others stay.
 
-    ``assets`` lists the ``url`` that exist. The replacements of a page are as many as its own references; pages
-    without any never meet the join.
+    ``assets`` lists the ``url`` that exist. The replacements of a page are as many as its own references. All
+    pages are joined with them on ``page_id``.
     """
     refs = asset_references(pages, host=host).select("page_id", "attr", "url", "ref", "class", "cid", "pos")
     data = refs.filter(F.col("class") == "data_uri")
