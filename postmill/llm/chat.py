@@ -75,7 +75,8 @@ def format_turns(turns: DataFrame, path: str | None = None) -> DataFrame:
     """Conversations as tokens: conv_id, ids, spans (start and end of each learned stretch of ids, in order), n_turns.
 
     ``turns`` holds conv_id, turn, role and text. Turns are put in order by turn, then role and text; null roles and texts are
-    empty, null turns come first. A turn is encoded where it lies; only its ids travel to the conversation.
+    empty, null turns come first. A turn is encoded where it lies; its ids travel to the conversation, with the role and text that put
+    turns of one number in order.
     """
     path = path or public_tokenizers.path(RANKS)
     encode = _encoder(path)

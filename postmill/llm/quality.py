@@ -1,7 +1,7 @@
 """Quality rules, line by line first.
 
 Each line with a word is judged on its own: does it end like a sentence, is it navigation, is it boilerplate? Lines that fail are
-removed, and a document that loses too much of its words is rejected. All work stays in the document's row.
+removed, and a document that loses too much of its text, counted in characters of its lines, is rejected. All work stays in the document's row.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ BOILERPLATE = (
 PROSE_WORDS = 8
 # Signs that are no prose where they make up more than this share of a line.
 MOST_SIGNS = 0.1
-# The least share of a document's words that must be left.
+# The least share of the characters of a document's lines that must be left.
 LEAST_KEPT = 0.5
 
 
@@ -116,7 +116,8 @@ def judge(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row per document: the columns ``keep``, the base figures, ``base_failed``, ``kept`` and ``clean_text``.
 
     ``clean_text`` is the text without the lines that fail. Null and empty texts have no word, so they fail the base; a
-    repeated row is judged like its first. An empty table gives no rows.
+    repeated row is judged like its first, and no row is compared with another, so ties do not arise. ``keep`` may not name a column
+    that a figure has. An empty table gives no rows.
     """
     kept_columns = [F.col(f"`{c}`") for c in keep]
     return docs.select(*kept_columns, verdict(text_of("text")).alias("_verdict")).select(*kept_columns, "_verdict.*")
