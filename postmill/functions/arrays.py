@@ -1,10 +1,10 @@
-"""Folds over an array, in its row."""
+"""Folds over an array, in its row, and columns worked out once."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -13,6 +13,16 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def settled(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` with these columns worked out once per row.
+
+    Spark moves a filter below the columns it names and writes their expressions into it, once for each mention, Python calls
+    included. It does not do so for the rows of an array, so these columns come out of one.
+    """
+    others = [c for c in df.columns if c not in columns]
+    return df.select(*others, F.inline(F.array(F.struct(*columns)))).select(*df.columns)
+
+
 def none_of(element: Column) -> Column:
     """An empty array of elements of this type."""
     return F.filter(F.array(element), lambda _: F.lit(False))

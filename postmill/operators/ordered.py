@@ -13,11 +13,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postmill.session import durable
+from postmill.session import durable, stored
 
 # Rows and bytes of one group joined into one text.
 SEGMENT = 200_000
 SEGMENT_BYTES = 64 << 20
+# Sums by hash that tell whether any group can be large.
+HASHES = 1 << 18
 
 
 def in_ranges(df: DataFrame, group: Sequence[str], order: Sequence[str], block: str, partitions: int | None = None) -> DataFrame:
@@ -79,6 +81,30 @@ def carry_last(
     )
 
 
+def large_groups(df: DataFrame, group: Sequence[str], share: Column, limit: int) -> DataFrame | None:
+    """The groups whose ``share`` adds up to more than ``limit``, or None where there is none.
+
+    Groups are first added up by hash, which few rows per task tell; only where that is more than ``limit`` are groups told apart.
+    ``df`` is read twice at most: store it where it is dear.
+    """
+    rows = df.select(*group, share.alias("_share"), F.pmod(F.xxhash64(*group), F.lit(HASHES)).alias("_hash"))
+    hot = stored(rows.groupBy("_hash").agg(F.sum("_share").alias("_total")).filter(F.col("_total") > limit).select("_hash"))
+    if hot.isEmpty():
+        return None
+    found = rows.join(hot, "_hash", "left_semi").groupBy(*group).agg(F.sum("_share").alias("_total"))
+    found = stored(found.filter(F.col("_total") > limit).select(*group))
+    return None if found.isEmpty() else found
+
+
+def parted(df: DataFrame, group: Sequence[str], large: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of all other groups, and those of the ``large`` ones; null keys are a group."""
+    if large is None:
+        return df, None
+    named = large.withColumnsRenamed({k: f"_large_{k}" for k in group})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_large_{k}")) for k in group])
+    return df.join(named, same, "left_anti"), df.join(named, same, "left_semi")
+
+
 def ordered_concat(
     df: DataFrame,
     group: Sequence[str],
@@ -88,6 +114,7 @@ def ordered_concat(
     segment_rows: int = SEGMENT,
     segment_bytes: int = SEGMENT_BYTES,
     carry: Sequence[Column] = (),
+    bundle: str | None = None,
 ) -> DataFrame:
     """Join the pieces of each group in order: ``(group..., segment, segments, text, carry...)``.
 
@@ -96,19 +123,45 @@ def ordered_concat(
     row or its bytes, whichever is more, and segments are cut where the shares before a row make a whole number. So the cuts
     depend on the rows alone, not on how they are spread. ``carry`` are aggregates worked out per segment.
 
+    A group that makes one segment goes to one task, which is all that its text takes anyway; larger ones go by ranges. ``df`` is read
+    up to three times: store it where it is dear.
+
+    Rows may hold several pieces each: ``bundle`` names an array of structs of ``order`` and ``piece``, none null, and there is no
+    ``carry``. Such rows are stored here, with their shares.
+
     A group whose rows tie in ``order`` puts them in one range; give an order that tells rows apart.
     """
     group, order = list(group), list(order)
     unit = max(1, segment_bytes // segment_rows)
-    share = F.least(F.lit(segment_rows), F.greatest(F.lit(1), F.ceil(F.octet_length("_piece") / F.lit(unit)))).cast("bigint")
-    named = df.withColumn("_piece", F.coalesce(F.col(piece), F.lit("")))
-    placed = running_total(in_ranges(named, group, order, "_range"), group, order, share, "_place", "_range")
-    pieces = F.array_sort(F.collect_list(F.struct(*order, "_piece")))
-    text = F.array_join(F.transform(pieces, lambda p: p["_piece"]), separator)
+
+    def share(text: Column) -> Column:
+        return F.least(F.lit(segment_rows), F.greatest(F.lit(1), F.ceil(F.octet_length(text) / F.lit(unit)))).cast("bigint")
+
+    def joined(rows: DataFrame, keys: list[str], pieces: Column) -> DataFrame:
+        text = F.array_join(F.transform(F.array_sort(pieces), lambda p: p[piece]), separator).alias("text")
+        return rows.repartition(*keys).groupBy(*keys).agg(text, *carry)
+
+    single = F.collect_list(F.struct(*order, piece))
+    if bundle:
+        shares = F.aggregate(bundle, F.lit(0).cast("bigint"), lambda n, p: n + share(p[piece]))
+        named = stored(df.select(*group, bundle, shares.alias("_shares")))
+        all_shares, gathered = F.col("_shares"), F.flatten(F.collect_list(bundle))
+    else:
+        named = df.withColumn(piece, F.coalesce(F.col(piece), F.lit("")))
+        all_shares, gathered = share(F.col(piece)), single
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    small, large = parted(named, group, large_groups(named, group, all_shares, segment_rows))
+    whole = joined(small, group, gathered).withColumn("segment", zero).withColumn("segments", one)
+    if large is None:
+        return whole
+    if bundle:
+        large = large.select(*group, F.inline(bundle))
+    placed = running_total(in_ranges(large, group, order, "_range"), group, order, share(F.col(piece)), "_place", "_range")
     cut = placed.withColumn("_cut", F.floor(F.col("_place") / segment_rows))
-    joined = cut.groupBy(*group, "_cut").agg(text.alias("text"), *carry)
+    parts = joined(cut, [*group, "_cut"], single)
     # A segment's number counts the cuts before it: one row per segment.
     along = Window.partitionBy(*group)
-    return joined.withColumn("segment", (F.row_number().over(along.orderBy("_cut")) - 1).cast("bigint")).withColumn(
+    numbered = parts.withColumn("segment", (F.row_number().over(along.orderBy("_cut")) - 1).cast("bigint")).withColumn(
         "segments", F.count(F.lit(1)).over(along)
     ).drop("_cut")
+    return whole.unionByName(numbered)

@@ -5,15 +5,17 @@ from __future__ import annotations
 import quopri
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from postmill.functions.arrays import settled
 from postmill.functions.headers import encoded_words
 from postmill.functions.text import CRLF, blank, crlf_breaks, has_8bit, secured, trimmed
 from postmill.operators.attachments import attachment_dedup
-from postmill.operators.messages import content_type, layout_table, message_ids, message_type, transfer_encoding
-from postmill.operators.ordered import ordered_concat
+from postmill.operators.messages import LAYOUT, content_type, layout_table, message_ids, message_type, transfer_encoding
+from postmill.operators.ordered import SEGMENT_BYTES, large_groups, ordered_concat, parted
 from postmill.operators.recipients import ORDER, formatted, recipient_headers
 from postmill.session import small_table
 
@@ -48,9 +50,13 @@ def rfc_date(ts: Column) -> Column:
     return F.date_format(ts, "EEE, d MMM yyyy HH:mm:ss xx")
 
 
-def boundary(level: Column | int) -> Column:
+def _mark() -> Column:
+    return F.md5(F.col("message_id").cast("string"))
+
+
+def boundary(level: Column | int, mark: Column | None = None) -> Column:
     level = F.lit(level) if isinstance(level, int) else level
-    return F.concat(F.lit("b"), level.cast("string"), F.lit("_"), F.md5(F.col("message_id").cast("string")))
+    return F.concat(F.lit("b"), level.cast("string"), F.lit("_"), _mark() if mark is None else mark)
 
 
 def _words(c: Column, position: str, charset: str) -> Column:
@@ -63,20 +69,10 @@ def encode_names(df: DataFrame, column: str = "name", charset: str = "utf-8") ->
     return df.withColumn(column, _words(secured(F.col(column)), "phrase", charset))
 
 
-def header_block(
-    messages: DataFrame,
-    recipients: DataFrame,
-    headers: DataFrame,
-    host: str = "localhost.localdomain",
-    x_mailer: str = "postmill",
-    transport: str = "smtp",
-    charset: str = "utf-8",
-) -> DataFrame:
-    """``message_id, pos, seq, name, value``: the header lines of each message in order of (pos, seq).
-
-    ``messages`` is typed and encoded; ``recipients`` are the accepted ones; ``headers`` are ``message_id, seq, name,
-    value``. To is one line of several rows where a message has very many recipients.
-    """
+def _own_values(
+    messages: DataFrame, host: str = "localhost.localdomain", x_mailer: str = "postmill", transport: str = "smtp", charset: str = "utf-8"
+) -> tuple[DataFrame, dict[str, Column]]:
+    """Typed and encoded messages with what their own header lines need, and the values of those lines by name."""
     kind = F.col("message_type")
     multi = ~kind.isin("plain")
     full = F.when(multi, F.concat(F.col("full_type"), F.lit(f';{CRLF}\tboundary="'), boundary(1), F.lit('"'))).otherwise(
@@ -97,41 +93,67 @@ def header_block(
         "Content-Type": full,
         "Content-Transfer-Encoding": shown_encoding,
     }
-    slim = [c for c in messages.columns if c not in ("body", "alt_body", "ical")]
-    named = message_ids(content_type(messages).select(*slim, "full_type"), host)
-    named = named.withColumns(
+    named = message_ids(content_type(messages), host).withColumns(
         {
             "from_name": _words(secured(F.col("from_name")), "phrase", charset),
             "subject": _words(secured(F.col("subject")), "text", charset),
         }
     )
-    lines = F.array(
-        *[
-            F.struct(F.lit(PLACES[n]).cast("bigint").alias("pos"), F.lit(n).alias("name"), v.alias("value"))
-            for n, v in values.items()
-        ]
-    )
-    zero = F.lit(0).cast("bigint")
-    own = named.select("message_id", F.inline(lines)).filter("value is not null").select(
-        "message_id", "pos", zero.alias("seq"), "name", "value"
-    )
+    return named, values
+
+
+def _addressed(
+    messages: DataFrame, recipients: DataFrame, transport: str = "smtp", charset: str = "utf-8", **_
+) -> DataFrame:
+    """The address lines of ``header_block``."""
     to = recipient_headers(encode_names(recipients, charset=charset), ORDER, transport, messages=messages)
     places = F.create_map(*[F.lit(x) for item in PLACES.items() for x in item])
-    addressed = to.select(
+    return to.select(
         "message_id",
         places[F.col("kind")].cast("bigint").alias("pos"),
         F.col("segment").alias("seq"),
         F.col("kind").alias("name"),
         F.when(F.col("segment") == 0, F.regexp_replace("header", "^[^:]*: ", "")).otherwise(F.col("header")).alias("value"),
     )
-    custom = headers.select(
+
+
+def _custom(headers: DataFrame, charset: str = "utf-8", **_) -> DataFrame:
+    """The custom lines of ``header_block``."""
+    return headers.select(
         "message_id",
         F.lit(PLACES["custom"]).cast("bigint").alias("pos"),
         F.col("seq").cast("bigint").alias("seq"),
         trimmed(F.col("name")).alias("name"),
         _words(F.coalesce(trimmed(F.col("value")), F.lit("")), "text", charset).alias("value"),
     )
-    return own.unionByName(addressed).unionByName(custom)
+
+
+def header_block(
+    messages: DataFrame,
+    recipients: DataFrame,
+    headers: DataFrame,
+    host: str = "localhost.localdomain",
+    x_mailer: str = "postmill",
+    transport: str = "smtp",
+    charset: str = "utf-8",
+) -> DataFrame:
+    """``message_id, pos, seq, name, value``: the header lines of each message in order of (pos, seq).
+
+    ``messages`` is typed and encoded; ``recipients`` are the accepted ones; ``headers`` are ``message_id, seq, name,
+    value``. To is one line of several rows where a message has very many recipients.
+    """
+    named, values = _own_values(messages.drop("body", "alt_body", "ical"), host, x_mailer, transport, charset)
+    lines = F.array(
+        *[
+            F.struct(F.lit(PLACES[n]).cast("bigint").alias("pos"), F.lit(n).alias("name"), v.alias("value"))
+            for n, v in values.items()
+        ]
+    )
+    own = named.select("message_id", F.inline(lines)).filter("value is not null").select(
+        "message_id", "pos", F.lit(0).cast("bigint").alias("seq"), "name", "value"
+    )
+    addressed = _addressed(messages, recipients, transport, charset)
+    return own.unionByName(addressed).unionByName(_custom(headers, charset))
 
 
 @F.pandas_udf(StringType())
@@ -160,45 +182,73 @@ def _lines(*lines: Column) -> Column:
     return F.concat_ws("", *[F.concat(line, F.lit(CRLF)) for line in lines])
 
 
-def _closing_table(spark: SparkSession) -> DataFrame:
-    return small_table(spark, ("message_type", "pos", "level"), CLOSINGS)
+def _slot_table(spark: SparkSession) -> DataFrame:
+    """``message_type, slots``: the body parts and closing boundaries of a type, as ``pos, step, part, level``."""
+    slots: dict[str, list[dict]] = {}
+    for kind, pos, part, level in LAYOUT:
+        own = [] if part in ("inline", "attachment") else [{"pos": pos, "step": 0, "part": part, "level": level}]
+        slots.setdefault(kind, []).extend(own)
+    for kind, pos, level in CLOSINGS:
+        slots[kind].append({"pos": pos, "step": 10 - level, "part": "", "level": level})
+    return small_table(spark, ("message_type", "slots"), list(slots.items()))
 
 
-def part_texts(messages: DataFrame) -> DataFrame:
-    """Body parts and boundaries: ``message_id, pos, step, seq, t1, t2, piece``. Made in place, nothing is shuffled."""
-    spark = messages.sparkSession
-    part, level = F.col("part"), F.col("level")
-    is_alt, is_ical = part == "text/plain", part == "text/calendar"
-    content = F.when(is_alt, F.col("alt_body")).when(is_ical, F.col("ical")).otherwise(F.col("body"))
-    own_encoding = F.when(is_alt, F.col("alt_encoding")).when(is_ical, F.col("message_encoding")).otherwise(F.col("body_encoding"))
-    own_charset = F.when(is_alt, F.col("alt_charset")).when(is_ical, F.col("charset")).otherwise(F.col("body_charset"))
-    mime = F.when(part == "body", F.col("content_type")).when(is_ical, "text/calendar; method=REQUEST").otherwise(part)
-    container = part.startswith("multipart/")
-    start = F.concat(F.lit("--"), boundary(level))
-    opened = _lines(
-        start, F.concat(F.lit("Content-Type: "), part, F.lit(";")),
-        F.concat(F.lit('\tboundary="'), boundary(level + 1), F.lit('"')), F.lit(""),
-    )
-    head = _lines(
-        start, F.concat(F.lit("Content-Type: "), mime, F.lit("; charset="), own_charset),
-        F.when(own_encoding != "7bit", F.concat(F.lit("Content-Transfer-Encoding: "), own_encoding)), F.lit(""),
-    )
-    body = encoded(F.col("_content").cast("binary"), F.col("_encoding"))
-    slots = messages.join(F.broadcast(layout_table(spark)), "message_type").filter(~part.isin("inline", "attachment"))
-    rows = slots.filter(~is_ical | ~blank(F.col("ical"))).withColumns({"_content": content, "_encoding": own_encoding})
-    piece = F.when(level == 0, body).when(container, opened).otherwise(F.concat(head, body, F.lit(CRLF + CRLF)))
+def _placed(pos: Column, step: Column, piece: Column) -> Column:
     zero = F.lit(0).cast("bigint")
-    # The preamble comes before the first part of every multipart message.
-    first = F.when((F.col("pos") == 1) & (level > 0), PREAMBLE).otherwise("")
-    parts = rows.select(
-        "message_id", "pos", zero.alias("step"), zero.alias("seq"), zero.alias("t1"), zero.alias("t2"),
-        F.concat(first, piece).alias("piece"),
-    )
-    closers = messages.select("message_id", "message_type").join(F.broadcast(_closing_table(spark)), "message_type").select(
-        "message_id", "pos", (10 - level).alias("step"), zero.alias("seq"), zero.alias("t1"), zero.alias("t2"),
-        F.concat(F.lit(CRLF + "--"), boundary(level), F.lit("--" + CRLF)).alias("piece"),
+    return F.struct(
+        pos.alias("pos"), step.alias("step"), zero.alias("seq"), zero.alias("t1"), zero.alias("t2"),
+        F.coalesce(piece, F.lit("")).alias("piece"),
     )
-    return parts.unionByName(closers)
+
+
+def own_texts(messages: DataFrame, **options) -> DataFrame:
+    """``message_id, pieces``: a message's own header lines, body parts and boundaries in one row, each as ``pos, step, seq, t1, t2,
+    piece``. Made in place, in one look at the messages; nothing is shuffled."""
+    named, values = _own_values(messages, **options)
+    body = encoded(F.col("body").cast("binary"), F.col("body_encoding"))
+    alt = encoded(F.col("alt_body").cast("binary"), F.col("alt_encoding"))
+    ical = encoded(F.when(~blank(F.col("ical")), F.col("ical")).cast("binary"), F.col("message_encoding"))
+    rows = named.withColumns({"_body": body, "_alt": alt, "_ical": ical, "_mark": _mark()})
+    rows = settled(rows, "_mark").join(F.broadcast(_slot_table(messages.sparkSession)), "message_type")
+    mark = F.col("_mark")
+
+    def piece(slot: Column) -> Column:
+        part, level = slot["part"], slot["level"]
+        is_alt, is_ical = part == "text/plain", part == "text/calendar"
+        content = F.when(is_alt, F.col("_alt")).when(is_ical, F.col("_ical")).otherwise(F.col("_body"))
+        own_encoding = F.when(is_alt, F.col("alt_encoding")).when(is_ical, F.col("message_encoding")).otherwise(F.col("body_encoding"))
+        own_charset = F.when(is_alt, F.col("alt_charset")).when(is_ical, F.col("charset")).otherwise(F.col("body_charset"))
+        mime = F.when(part == "body", F.col("content_type")).when(is_ical, "text/calendar; method=REQUEST").otherwise(part)
+        start = F.concat(F.lit("--"), boundary(level, mark))
+        opened = _lines(
+            start, F.concat(F.lit("Content-Type: "), part, F.lit(";")),
+            F.concat(F.lit('\tboundary="'), boundary(level + 1, mark), F.lit('"')), F.lit(""),
+        )
+        head = _lines(
+            start, F.concat(F.lit("Content-Type: "), mime, F.lit("; charset="), own_charset),
+            F.when(own_encoding != "7bit", F.concat(F.lit("Content-Transfer-Encoding: "), own_encoding)), F.lit(""),
+        )
+        text = F.when(level == 0, content).when(part.startswith("multipart/"), opened).otherwise(
+            F.concat(head, content, F.lit(CRLF + CRLF))
+        )
+        # The preamble comes before the first part of every multipart message.
+        first = F.when((slot["pos"] == 1) & (level > 0), PREAMBLE).otherwise("")
+        closed = F.concat(F.lit(CRLF + "--"), boundary(level, mark), F.lit("--" + CRLF))
+        return F.when(slot["step"] > 0, closed).otherwise(F.concat(first, text))
+
+    zero = F.lit(0).cast("bigint")
+    lines = [
+        F.when(v.isNotNull(), _placed(F.lit(PLACES[n] - 100).cast("bigint"), zero, F.concat(F.lit(_line_start(PLACES[n]) + n + ": "), v)))
+        for n, v in values.items()
+    ]
+    gap = _placed(F.lit(-1).cast("bigint"), zero, F.lit(CRLF + CRLF))
+    shown = F.filter("slots", lambda s: (s["part"] != "text/calendar") | ~blank(F.col("ical")))
+    parts = F.transform(shown, lambda s: _placed(s["pos"], s["step"], piece(s)))
+    return rows.select("message_id", F.concat(F.array_compact(F.array(*lines)), F.array(gap), parts).alias("pieces"))
+
+
+def _line_start(place: int) -> str:
+    return CRLF if place > 1 else ""
 
 
 def attachment_texts(messages: DataFrame, attachments: DataFrame, charset: str = "utf-8") -> DataFrame:
@@ -235,6 +285,24 @@ def ready(messages: DataFrame, attachments: DataFrame) -> DataFrame:
     return transfer_encoding(message_type(messages, attachments))
 
 
+def _distinct_files(attachments: DataFrame) -> DataFrame:
+    """Identical attachments of a message, and later inline ones of the same cid, are left out.
+
+    The files of a message meet in one task, where both rules hold without another shuffle; only messages with very many files or
+    bytes go by the rules' own keys.
+    """
+    # Contents are told apart by hash and length, so the sort keys stay short.
+    content = F.octet_length("content")
+    marked = attachments.withColumns({"_hash": F.unhex(F.sha2(F.col("content").cast("binary"), 256)), "_bytes": content})
+    rules = ["name", "mime", "disposition", "encoding", "cid", "_hash", "_bytes"], ["seq", "t1", "t2"]
+    share = F.greatest(F.lit(1), F.coalesce(F.ceil(content / F.lit(SEGMENT_BYTES // SEGMENT_PIECES)), F.lit(1))).cast("bigint")
+    small, large = parted(marked, ["message_id"], large_groups(attachments, ["message_id"], share, SEGMENT_PIECES))
+    kept = attachment_dedup(small.repartition("message_id"), *rules)
+    if large is not None:
+        kept = kept.unionByName(attachment_dedup(large, *rules))
+    return kept.drop("_hash", "_bytes")
+
+
 def render_corpus(
     messages: DataFrame,
     recipients: DataFrame,
@@ -250,35 +318,29 @@ def render_corpus(
     Identical attachments of a message, and later inline ones of the same cid, are left out.
     """
     typed = ready(messages, attachments)
-    # Contents are told apart by hash and length, so the sort keys stay short.
-    marked = attachments.withColumns({"_hash": F.sha2(F.col("content").cast("binary"), 256), "_bytes": F.octet_length("content")})
-    identity = ["name", "mime", "disposition", "encoding", "cid", "_hash", "_bytes"]
-    attachments = attachment_dedup(marked, identity, ["seq", "t1", "t2"]).drop("_hash", "_bytes")
-    zero = F.lit(0).cast("bigint")
-    block = header_block(typed, recipients, headers, **options)
+    kept = _distinct_files(attachments)
+    block = _addressed(typed, recipients, **options).unionByName(_custom(headers, **options))
     # A continued address line goes on in the line of its first segment.
     later = F.col("pos").isin(*[PLACES[n] for n in ("To", "Cc", "Bcc", "Reply-To")]) & (F.col("seq") > 0)
     line = F.when(later, F.concat(F.lit("," + CRLF + " "), F.col("value"))).otherwise(
         F.concat(F.when(F.col("pos") > 1, CRLF).otherwise(""), F.col("name"), F.lit(": "), F.col("value"))
     )
-    top = block.select(
-        "message_id", F.col("pos") - 100, zero.alias("step"), "seq", zero.alias("t1"), zero.alias("t2"), line.alias("piece")
-    ).toDF("message_id", "pos", "step", "seq", "t1", "t2", "piece")
-    gap = typed.select(
-        "message_id", F.lit(-1).cast("bigint").alias("pos"), zero.alias("step"), zero.alias("seq"), zero.alias("t1"),
-        zero.alias("t2"), F.lit(CRLF + CRLF).alias("piece"),
-    )
-    pieces = top.unionByName(gap).unionByName(part_texts(typed)).unionByName(attachment_texts(typed, attachments))
+    zero = F.lit(0).cast("bigint")
     order = ["pos", "step", "seq", "t1", "t2"]
-    texts = ordered_concat(pieces, ["message_id"], order, "piece", "", segment_rows)
+    top = block.select("message_id", (F.col("pos") - 100).alias("pos"), zero.alias("step"), "seq", zero.alias("t1"), zero.alias("t2"), line.alias("piece"))
+    piece = F.coalesce("piece", F.lit("")).alias("piece")
+    single = top.unionByName(attachment_texts(typed, kept)).select("message_id", F.array(F.struct(*order, piece)).alias("pieces"))
+    pieces = own_texts(typed, **options).unionByName(single)
+    texts = ordered_concat(pieces, ["message_id"], order, "piece", "", segment_rows, bundle="pieces")
     return texts.select("message_id", "segment", F.col("text").alias("message"))
 
 
 def render_text_messages(messages: DataFrame, recipients: DataFrame, headers: DataFrame, **options) -> DataFrame:
     """Messages without attachments: plain or with an alternative text."""
-    none = messages.sparkSession.createDataFrame(
-        [],
-        "message_id bigint, seq bigint, t1 bigint, t2 bigint, name string, mime string, disposition string,"
-        " encoding string, cid string, content binary",
+    files = pa.schema(
+        [(c, pa.int64()) for c in ("message_id", "seq", "t1", "t2")]
+        + [(c, pa.string()) for c in ("name", "mime", "disposition", "encoding", "cid")]
+        + [("content", pa.binary())]
     )
-    return render_corpus(messages, recipients, headers, none, **options)
+    # As a local table Spark knows that it is empty, and leaves out all that it would be joined with.
+    return render_corpus(messages, recipients, headers, messages.sparkSession.createDataFrame(files.empty_table()), **options)

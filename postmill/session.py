@@ -70,6 +70,17 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to a folder of its own under ``shared_root`` and read from there.
+
+    Like ``durable``, but compressed, and later steps read only the columns they use. Partitions are not kept.
+    """
+    spark = df.sparkSession
+    path = shared_dir(spark)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def small_table(spark: SparkSession, columns: Sequence[str], rows: Sequence[tuple]) -> DataFrame:
     """A fixed table of our own. Spark plans it as a local relation, so its size is known to every join."""
     return spark.createDataFrame(pa.table({c: [r[i] for r in rows] for i, c in enumerate(columns)}))

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from postmill.operators import ordered
 from postmill.operators import recipients as rec
 from postmill.operators.calendar import calendar_export
 from postmill.operators.campaigns import send_until_failure
@@ -77,3 +78,29 @@ def test_long_address_header_and_calendar_come_in_segments(spark):
     assert len(cut) > 5 and "\n".join(c.ics for c in cut) == whole
     assert whole.startswith("BEGIN:VCALENDAR\n") and whole.endswith("END:VEVENT\nEND:VCALENDAR") and "SUMMARY:a\\nb\n" in whole
     assert "DTSTART:19700101T000002Z" in whole
+
+
+def test_no_ranges_where_every_text_is_one_segment(spark, rows, monkeypatch):
+    """Ranges write and shuffle all rows several times: only groups that need several segments go by them."""
+    seen = []
+
+    def watched(df, *args):
+        seen.extend(r.g for r in df.select("g").distinct().collect())
+        return in_ranges(df, *args)
+
+    monkeypatch.setattr(ordered, "in_ranges", watched)
+    want = {g: "".join(r.piece for r in rs) for g, rs in by_group(rows).items()}
+    got = ordered_concat(rows, ["g"], ["seq"], "piece")
+    assert {r.g: r.text for r in got.collect()} == want and not seen
+    got = ordered_concat(rows, ["g"], ["seq"], "piece", segment_rows=100).collect()
+    assert seen == [0] and sum(r.g == 0 for r in got) == 10 and all(r.segments == (10 if r.g == 0 else 1) for r in got)
+    nulls = rows.withColumn("g", F.when(F.col("g") > 0, F.col("g")))
+    got = ordered_concat(nulls, ["g"], ["seq"], "piece", segment_rows=100).orderBy("segment").collect()
+    assert "".join(r.text for r in got if r.g is None) == want[0]
+
+
+def test_bundled_pieces_are_cut_like_single_ones(rows):
+    bundled = rows.groupBy("g", (F.col("seq") % 100).alias("k")).agg(F.collect_list(F.struct("seq", "piece")).alias("pieces"))
+    for limit in (60, 10_000):
+        single = ordered_concat(rows, ["g"], ["seq"], "piece", ",", limit)
+        assert sorted(single.collect()) == sorted(ordered_concat(bundled, ["g"], ["seq"], "piece", ",", limit, bundle="pieces").collect())
