@@ -12,10 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postmill.functions.address import PATTERNS, address_key, ascii_address, domain_of, is_address, is_international
+from postmill.functions.arrays import bound, settled
 from postmill.functions.headers import phrase
 from postmill.functions.text import blank, has_break, secured, trimmed
 from postmill.operators.ordered import SEGMENT, in_ranges, ordered_concat, running_total
-from postmill.session import durable
+from postmill.session import stored
 
 ORDER = ("kind_rank", "seq", "t1", "t2", "address")
 KINDS = ("to", "cc", "bcc", "Reply-To")
@@ -86,8 +87,8 @@ def dedup_idn(df: DataFrame, pattern: Pattern = "html5", order: Sequence[str] =
     Such addresses wait until all plain ones are handled (``pass`` 1), and take the ASCII form of their domain. So a plain twin
     added later still wins. One look at the rows, one shuffle.
     """
-    rows = clean_recipients(df).withColumn("pass", is_international(F.col("address")).cast("int"))
-    handled = rows.withColumn("address", ascii_address(F.col("address")))
+    rows = settled(clean_recipients(df), "address", "name").withColumn("pass", is_international(F.col("address")).cast("int"))
+    handled = settled(rows.withColumn("address", ascii_address(F.col("address"))), "address", "pass")
     valid, _ = validate_addresses(handled, pattern)
     return dedup_reply_to(valid, ["pass", *order])
 
@@ -153,9 +154,8 @@ def recipient_counts(df: DataFrame) -> DataFrame:
 
 def formatted(address: Column, name: Column) -> Column:
     """``phrase <address>``, or the bare address where there is no name."""
-    return F.when(blank(name), secured(address)).otherwise(
-        F.concat(phrase(secured(name)), F.lit(" <"), secured(address), F.lit(">"))
-    )
+    shown = bound(secured(name), phrase)
+    return F.when(blank(name), secured(address)).otherwise(F.concat(shown, F.lit(" <"), secured(address), F.lit(">")))
 
 
 def recipient_headers(
@@ -174,11 +174,10 @@ def recipient_headers(
     shown = ["cc", REPLY_TO] + (["to"] if transport != "mail" else [])
     shown += ["bcc"] if transport in ("sendmail", "qmail", "mail") else []
     label = F.initcap("kind")
-    # Written once: what makes the rows (cleaning, checks, duplicates) is not worked out again for each use.
-    held = durable(df.select("message_id", *{c: None for c in ["kind", "address", "name", *order] if c != "message_id"}))
-    entries = held.filter(F.col("kind").isin(*shown)).withColumns(
-        {"entry": formatted(F.col("address"), F.col("name")), "label": F.when(_namespace(), REPLY_TO).otherwise(label)}
-    )
+    # Stored once: what makes the rows (cleaning, checks, duplicates, formatting) is not worked out again for each use.
+    entry = F.when(F.col("kind").isin(*shown), formatted(F.col("address"), F.col("name")))
+    held = stored(df.select(*{c: None for c in ["message_id", "kind", *order]}, entry.alias("entry")))
+    entries = held.filter(F.col("kind").isin(*shown)).withColumn("label", F.when(_namespace(), REPLY_TO).otherwise(label))
     lines = ordered_concat(
         entries, ["message_id", "label"], order, "entry", ", ", segment_rows
     ).select(

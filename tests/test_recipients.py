@@ -123,3 +123,13 @@ def test_suppression_keeps_reply_to(spark):
     df = table(spark, ("to", "a@example.com", ""), ("cc", "b@example.com", ""), ("Reply-To", "c@example.com", ""))
     assert [r.kind for r in rec.suppress(df).collect()] == ["Reply-To"]
     assert sorted(r.kind for r in rec.suppress(df, "cc").collect()) == ["Reply-To", "to"]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_domains_go_to_python_once(spark):
+    """A filter below the Python call would call it again, and trim the address for each time it is named."""
+    plan = plan_of(rec.accepted_recipients(table(spark, ("to", " a@b\u00fccher.example ", "n"))))
+    assert plan.count("ArrowEvalPython") == 1
