@@ -50,8 +50,9 @@ def refusal(pattern: Pattern = "html5") -> Column:
 
 def validate_addresses(df: DataFrame, pattern: Pattern = "html5") -> tuple[DataFrame, DataFrame]:
     """Split into (valid, refused); the refused rows carry ``reason``."""
+    rows = settled(df, "address")
     fit = F.coalesce(F.col("kind").isin(*KINDS), F.lit(False)) & _valid(F.col("address"), pattern)
-    return df.filter(fit), df.filter(~fit).withColumn("reason", refusal(pattern))
+    return rows.filter(fit), rows.filter(~fit).withColumn("reason", refusal(pattern))
 
 
 def _namespace() -> Column:
@@ -88,7 +89,7 @@ def dedup_idn(df: DataFrame, pattern: Pattern = "html5", order: Sequence[str] =
     added later still wins. One look at the rows, one shuffle.
     """
     rows = settled(clean_recipients(df), "address", "name").withColumn("pass", is_international(F.col("address")).cast("int"))
-    handled = settled(rows.withColumn("address", ascii_address(F.col("address"))), "address", "pass")
+    handled = rows.withColumn("address", ascii_address(F.col("address")))
     valid, _ = validate_addresses(handled, pattern)
     return dedup_reply_to(valid, ["pass", *order])
 

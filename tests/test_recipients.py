@@ -133,3 +133,10 @@ def test_domains_go_to_python_once(spark):
     """A filter below the Python call would call it again, and trim the address for each time it is named."""
     plan = plan_of(rec.accepted_recipients(table(spark, ("to", " a@b\u00fccher.example ", "n"))))
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_addresses_are_trimmed_once_per_verdict(spark):
+    source = table(spark, ("to", " a@x.example ", "n"))
+    valid, refused = rec.validate_addresses(rec.clean_recipients(source.withColumn("address", F.lower("address"))), "noregex")
+    assert plan_of(valid).count("lower(") == 1 and plan_of(refused).count("lower(") == 1
+    assert valid.first().address == "a@x.example" and refused.isEmpty()
