@@ -9,43 +9,79 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from postmill.functions.address import address_key
-from postmill.operators.ordered import carry_last, in_ranges, on_keys, running_total
-from postmill.session import durable
+from postmill.functions.arrays import none_of
+from postmill.operators.ordered import carry_last, in_ranges, large_groups, on_keys, parted, running_total
+from postmill.session import durable, stored
 
 KINDS = ("to", "cc", "bcc", "Reply-To")
+# Commands of a message that one task holds; an address has that many listings at most, and its fold copies them at each step.
+MOST_COMMANDS = 1_000
 
 
-def recipient_ledger(commands: DataFrame) -> DataFrame:
+def recipient_ledger(commands: DataFrame, most: int = MOST_COMMANDS) -> DataFrame:
     """Accepted adds of a batch of commands: ``message_id, seq, kind, address, listed``.
 
-    ``listed`` tells whether the address is still there at the end. Clears cut a message into epochs; within one, only
-    the first add of an address can be accepted, so all others go before the shuffle. What is left per address is one
-    row per epoch at most, a chain of which is accepted.
+    ``listed`` tells whether the address is still there at the end. Clears cut a message into epochs. Messages of up to ``most``
+    commands meet in one task each, and all steps hold there without another shuffle; longer ones go by ranges.
     """
-    is_clear = (F.col("op") == "clear").cast("bigint")
-    blocked = in_ranges(commands, ["message_id"], ["seq"], "_block")
-    counted = running_total(blocked, ["message_id"], ["seq"], is_clear, "epoch", "_block")
+    held = stored(commands.select("message_id", "seq", "op", "kind", "address"))
+    small, large = parted(held, ["message_id"], large_groups(held, ["message_id"], F.lit(1), most))
+    short = _short_ledger(small)
+    return short if large is None else short.unionByName(_long_ledger(large))
 
-    # When is a listing made in an epoch ended? At the next clear of its kind: look forward along each kind.
+
+def _spans(commands: DataFrame) -> DataFrame:
+    """Commands along each kind they touch, as ``_kind``, and in ``_ended`` the epoch a clear begins."""
     kinds = F.when((F.col("op") == "clear") & (F.col("kind") == "all"), F.array(*[F.lit(k) for k in KINDS[:3]])).otherwise(
         F.array("kind")
     )
-    along = counted.withColumn("_kind", F.explode(kinds)).withColumns(
-        {
-            "_back": -F.col("seq"),
-            "_back_block": -F.col("_block"),
-            "_ended": F.when(F.col("op") == "clear", F.col("epoch") + 1),
-        }
+    return commands.withColumn("_kind", F.explode(kinds)).withColumns(
+        {"_back": -F.col("seq"), "_ended": F.when(F.col("op") == "clear", F.col("epoch") + 1)}
     )
-    ended = carry_last(along, ["message_id", "_kind"], ["_back"], "_ended", "ended", "_back_block")
-    adds = ended.filter("op = 'add'").withColumns(
-        {"_key": address_key(F.col("address")), "_reply": F.col("kind") == "Reply-To"}
+
+
+def _adds(commands: DataFrame) -> DataFrame:
+    return commands.filter("op = 'add'").withColumns({"_key": address_key(F.col("address")), "_reply": F.col("kind") == "Reply-To"})
+
+
+def _short_ledger(commands: DataFrame) -> DataFrame:
+    """The ledger of messages whose commands one task can hold: windows and one fold per address, all on one shuffle."""
+    is_clear = (F.col("op") == "clear").cast("bigint")
+    earlier = Window.partitionBy("message_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    counted = commands.repartition("message_id").withColumn("epoch", F.coalesce(F.sum(is_clear).over(earlier), F.lit(0)))
+    # When is a listing made in an epoch ended? At the next clear of its kind: look forward along each kind.
+    later = Window.partitionBy("message_id", "_kind").orderBy("_back").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    adds = _adds(_spans(counted).withColumn("ended", F.last("_ended", ignorenulls=True).over(later)))
+    row = F.struct("epoch", "seq", "ended", "kind", "address")
+    listings = adds.groupBy("message_id", "_reply", "_key").agg(F.array_sort(F.collect_list(row)).alias("_adds"))
+    # ``free`` is the first epoch in which the address can be listed again; null: in none.
+    start = F.struct(F.lit(0).cast("bigint").alias("free"), none_of(F.get("_adds", F.lit(0))).alias("taken"))
+
+    def step(state: Column, add: Column) -> Column:
+        listed = F.struct(add["ended"].alias("free"), F.concat(state["taken"], F.array(add)).alias("taken"))
+        return F.when(add["epoch"] >= state["free"], listed).otherwise(state)
+
+    taken = F.aggregate("_adds", start, step, lambda state: state["taken"])
+    return listings.select("message_id", F.inline(taken)).select(
+        "message_id", "seq", "kind", "address", F.col("ended").isNull().alias("listed")
     )
+
+
+def _long_ledger(commands: DataFrame) -> DataFrame:
+    """The ledger by ranges of commands. Within an epoch, only the first add of an address can be accepted, so all others go before
+    the shuffle. What is left per address is one row per epoch at most, a chain of which is accepted."""
+    is_clear = (F.col("op") == "clear").cast("bigint")
+    blocked = in_ranges(commands, ["message_id"], ["seq"], "_block")
+    counted = running_total(blocked, ["message_id"], ["seq"], is_clear, "epoch", "_block")
+
+    along = _spans(counted).withColumn("_back_block", -F.col("_block"))
+    ended = carry_last(along, ["message_id", "_kind"], ["_back"], "_ended", "ended", "_back_block")
+    adds = _adds(ended)
     first = Window.partitionBy("message_id", "_reply", "_key", "epoch").orderBy("seq")
     candidates = adds.withColumn("_nth", F.row_number().over(first)).filter("_nth = 1")
 

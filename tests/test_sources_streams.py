@@ -10,6 +10,7 @@ from postmill.sources.files import attachment_files
 from postmill.sources.sinks import CSV, write_delivery_log
 from postmill.sources.transcripts import read_transcript
 from postmill.streaming import delivery as live
+from postmill.streaming import ledger
 from postmill.streaming.ledger import live_ledger, recipient_ledger
 
 
@@ -177,3 +178,19 @@ def test_listings_end(spark, tmp_path):
         counts[name] = (spark.table(f"ledger_{name}").count(), sizes)
     assert counts["kept"][0] == 21 and counts["kept"][1] == [20, 21, 21]
     assert counts["ended"][0] == 41 and counts["ended"][1][1] < counts["ended"][1][0]
+
+
+def test_ledger_is_the_same_by_ranges_and_by_message(spark, monkeypatch):
+    """Only messages of many commands go by ranges, which shuffle all rows several times."""
+    rnd = random.Random(11)
+    kinds = ["to", "cc", "bcc", "Reply-To"]
+    commands = []
+    for seq in range(900):
+        clear = rnd.random() < 0.2
+        m = 1 if rnd.random() < 0.3 else rnd.randrange(2, 9)
+        commands.append((m, seq, "clear" if clear else "add", rnd.choice([*kinds, "all"] if clear else kinds), "" if clear else rnd.choice("aAbBc") + "@x.example"))
+    df = spark.createDataFrame(commands, "message_id bigint, seq bigint, op string, kind string, address string")
+    for most in (0, 150):
+        assert sorted(map(tuple, recipient_ledger(df, most).select("message_id", "seq", "kind", "address", "listed").collect())) == replay(commands)
+    monkeypatch.setattr(ledger, "in_ranges", None)
+    assert recipient_ledger(df).count() == len(replay(commands))
