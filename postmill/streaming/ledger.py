@@ -46,7 +46,11 @@ def _spans(commands: DataFrame) -> DataFrame:
 
 
 def _adds(commands: DataFrame) -> DataFrame:
-    return commands.filter("op = 'add'").withColumns({"_key": address_key(F.col("address")), "_reply": F.col("kind") == "Reply-To"})
+    # A clear without ``seq`` sorts first either way; a listing ends after its own epoch all the same, so chains go forward.
+    ended = F.when(F.col("ended").isNotNull(), F.greatest(F.col("ended"), F.col("epoch") + 1))
+    return commands.filter("op = 'add'").withColumns(
+        {"ended": ended, "_key": address_key(F.col("address")), "_reply": F.col("kind") == "Reply-To"}
+    )
 
 
 def _short_ledger(commands: DataFrame) -> DataFrame:

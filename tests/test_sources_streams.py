@@ -194,3 +194,10 @@ def test_ledger_is_the_same_by_ranges_and_by_message(spark, monkeypatch):
         assert sorted(map(tuple, recipient_ledger(df, most).select("message_id", "seq", "kind", "address", "listed").collect())) == replay(commands)
     monkeypatch.setattr(ledger, "in_ranges", None)
     assert recipient_ledger(df).count() == len(replay(commands))
+
+
+def test_ledger_ends_where_a_clear_has_no_place(spark):
+    rows = [(1, None, "clear", "to", ""), (1, 1, "add", "to", "a@x"), (1, 2, "clear", "cc", ""), (1, 3, "add", "to", "a@x")]
+    df = spark.createDataFrame(rows, "message_id bigint, seq bigint, op string, kind string, address string")
+    short, long_ = ([tuple(r) for r in recipient_ledger(df, most).orderBy("seq").collect()] for most in (10, 0))
+    assert short == long_ == [(1, 1, "to", "a@x", False), (1, 3, "to", "a@x", False)]
