@@ -176,8 +176,12 @@ def recipient_headers(
     shown += ["bcc"] if transport in ("sendmail", "qmail", "mail") else []
     label = F.initcap("kind")
     # Stored once: what makes the rows (cleaning, checks, duplicates, formatting) is not worked out again for each use.
-    entry = F.when(F.col("kind").isin(*shown), formatted(F.col("address"), F.col("name")))
-    held = stored(df.select(*{c: None for c in ["message_id", "kind", *order]}, entry.alias("entry")))
+    # A name is secured in a column of its own, not in a function over an array as in ``formatted``: Spark compiles none of those.
+    named = settled(df.withColumn("_name", secured(F.col("name"))), "_name")
+    address = secured(F.col("address"))
+    written = F.when(blank(F.col("name")), address).otherwise(F.concat(phrase(F.col("_name")), F.lit(" <"), address, F.lit(">")))
+    entry = F.when(F.col("kind").isin(*shown), written)
+    held = stored(named.select(*{c: None for c in ["message_id", "kind", *order]}, entry.alias("entry")))
     entries = held.filter(F.col("kind").isin(*shown)).withColumn("label", F.when(_namespace(), REPLY_TO).otherwise(label))
     lines = ordered_concat(
         entries, ["message_id", "label"], order, "entry", ", ", segment_rows

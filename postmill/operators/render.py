@@ -17,7 +17,6 @@ from postmill.operators.attachments import attachment_dedup
 from postmill.operators.messages import LAYOUT, content_type, layout_table, message_ids, message_type, transfer_encoding
 from postmill.operators.ordered import SEGMENT_BYTES, large_groups, ordered_concat, parted
 from postmill.operators.recipients import ORDER, formatted, recipient_headers
-from postmill.session import small_table
 
 # Pieces of one message joined into one text: attachments are large, so segments are shorter than for addresses.
 SEGMENT_PIECES = 20_000
@@ -66,7 +65,8 @@ def _words(c: Column, position: str, charset: str) -> Column:
 
 def encode_names(df: DataFrame, column: str = "name", charset: str = "utf-8") -> DataFrame:
     """Display names with 8-bit characters as encoded words."""
-    return df.withColumn(column, _words(secured(F.col(column)), "phrase", charset))
+    rows = settled(df.withColumn(column, secured(F.col(column))), column)
+    return rows.withColumn(column, _words(F.col(column), "phrase", charset))
 
 
 def _own_values(
@@ -169,10 +169,11 @@ def _quoted_printable(parts: pd.Series) -> pd.Series:
 
 def encoded(content: Column, encoding: Column) -> Column:
     """Binary content as it is sent. Quoted-printable runs in Python and is sent nothing else."""
-    text = crlf_breaks(content.cast("string"))
+    given = content.cast("string")
+    text, ended = crlf_breaks(given), given.endswith("\n") | given.endswith("\r")
     return (
         F.when(encoding == "base64", F.concat(F.base64(content), F.lit(CRLF)))
-        .when(encoding.isin("7bit", "8bit"), F.when(text.endswith(CRLF), text).otherwise(F.concat(text, F.lit(CRLF))))
+        .when(encoding.isin("7bit", "8bit"), F.concat(text, F.when(ended, "").otherwise(CRLF)))
         .when(encoding == "quoted-printable", _quoted_printable(F.when(encoding == "quoted-printable", content)))
         .otherwise(content.cast("string"))
     )
@@ -182,69 +183,78 @@ def _lines(*lines: Column) -> Column:
     return F.concat_ws("", *[F.concat(line, F.lit(CRLF)) for line in lines])
 
 
-def _slot_table(spark: SparkSession) -> DataFrame:
-    """``message_type, slots``: the body parts and closing boundaries of a type, as ``pos, step, part, level``."""
-    slots: dict[str, list[dict]] = {}
+def _own_slots() -> dict[str, list[tuple[int, int, str, int]]]:
+    """By message type, its body parts and closing boundaries, as ``(pos, step, part, level)``."""
+    slots: dict[str, list[tuple[int, int, str, int]]] = {}
     for kind, pos, part, level in LAYOUT:
-        own = [] if part in ("inline", "attachment") else [{"pos": pos, "step": 0, "part": part, "level": level}]
-        slots.setdefault(kind, []).extend(own)
+        slots.setdefault(kind, []).extend([] if part in ("inline", "attachment") else [(pos, 0, part, level)])
     for kind, pos, level in CLOSINGS:
-        slots[kind].append({"pos": pos, "step": 10 - level, "part": "", "level": level})
-    return small_table(spark, ("message_type", "slots"), list(slots.items()))
+        slots[kind].append((pos, 10 - level, "", level))
+    return slots
 
 
-def _placed(pos: Column, step: Column, piece: Column) -> Column:
+def _placed(pos: int, step: int, piece: Column) -> Column:
     zero = F.lit(0).cast("bigint")
     return F.struct(
-        pos.alias("pos"), step.alias("step"), zero.alias("seq"), zero.alias("t1"), zero.alias("t2"),
-        F.coalesce(piece, F.lit("")).alias("piece"),
+        F.lit(pos).cast("bigint").alias("pos"), F.lit(step).cast("bigint").alias("step"), zero.alias("seq"), zero.alias("t1"), zero.alias("t2"),
+        piece.alias("piece"),
     )
 
 
 def own_texts(messages: DataFrame, **options) -> DataFrame:
     """``message_id, pieces``: a message's own header lines, body parts and boundaries in one row, each as ``pos, step, seq, t1, t2,
-    piece``. Made in place, in one look at the messages; nothing is shuffled."""
+    piece``. Made in place, in one look at the messages; nothing is shuffled. Spread messages that lie in few splits.
+
+    The pieces of each type are written out, not worked out by a function over the type's slots: Spark compiles no such function, nor
+    what it holds. The one that is left goes over finished lines. With none, Spark would put all types into one Java method, which is
+    too long for Java to compile.
+    """
     named, values = _own_values(messages, **options)
-    body = encoded(F.col("body").cast("binary"), F.col("body_encoding"))
-    alt = encoded(F.col("alt_body").cast("binary"), F.col("alt_encoding"))
-    ical = encoded(F.when(~blank(F.col("ical")), F.col("ical")).cast("binary"), F.col("message_encoding"))
-    rows = named.withColumns({"_body": body, "_alt": alt, "_ical": ical, "_mark": _mark()})
-    rows = settled(rows, "_mark").join(F.broadcast(_slot_table(messages.sparkSession)), "message_type")
+    mime = {"body": F.col("content_type"), "text/plain": F.lit("text/plain"), "text/html": F.lit("text/html")}
+    mime["text/calendar"] = F.lit("text/calendar; method=REQUEST")
+    body = F.col("body"), F.col("body_encoding"), F.col("body_charset")
+    sources = {"body": body, "text/html": body, "text/plain": (F.col("alt_body"), F.col("alt_encoding"), F.col("alt_charset"))}
+    sources["text/calendar"] = F.when(~blank(F.col("ical")), F.col("ical")), F.col("message_encoding"), F.col("charset")
+    contents = {"_body": body, "_alt": sources["text/plain"], "_ical": sources["text/calendar"]}
+    held = {"body": "_body", "text/html": "_body", "text/plain": "_alt", "text/calendar": "_ical"}
+    rows = named.withColumns(
+        {c: encoded(text.cast("binary"), encoding) for c, (text, encoding, _) in contents.items()}
+        | {f"_line{PLACES[n]}": F.concat(F.lit(_line_start(PLACES[n]) + n + ": "), v) for n, v in values.items()} | {"_mark": _mark()}
+    )
+    rows = settled(rows, "_mark")
     mark = F.col("_mark")
 
-    def piece(slot: Column) -> Column:
-        part, level = slot["part"], slot["level"]
-        is_alt, is_ical = part == "text/plain", part == "text/calendar"
-        content = F.when(is_alt, F.col("_alt")).when(is_ical, F.col("_ical")).otherwise(F.col("_body"))
-        own_encoding = F.when(is_alt, F.col("alt_encoding")).when(is_ical, F.col("message_encoding")).otherwise(F.col("body_encoding"))
-        own_charset = F.when(is_alt, F.col("alt_charset")).when(is_ical, F.col("charset")).otherwise(F.col("body_charset"))
-        mime = F.when(part == "body", F.col("content_type")).when(is_ical, "text/calendar; method=REQUEST").otherwise(part)
+    def piece(pos: int, step: int, part: str, level: int) -> Column:
         start = F.concat(F.lit("--"), boundary(level, mark))
-        opened = _lines(
-            start, F.concat(F.lit("Content-Type: "), part, F.lit(";")),
-            F.concat(F.lit('\tboundary="'), boundary(level + 1, mark), F.lit('"')), F.lit(""),
-        )
-        head = _lines(
-            start, F.concat(F.lit("Content-Type: "), mime, F.lit("; charset="), own_charset),
-            F.when(own_encoding != "7bit", F.concat(F.lit("Content-Transfer-Encoding: "), own_encoding)), F.lit(""),
-        )
-        text = F.when(level == 0, content).when(part.startswith("multipart/"), opened).otherwise(
-            F.concat(head, content, F.lit(CRLF + CRLF))
-        )
+        if step:
+            return F.concat(F.lit(CRLF + "--"), boundary(level, mark), F.lit("--" + CRLF))
+        if part.startswith("multipart/"):
+            text = _lines(
+                start, F.lit(f"Content-Type: {part};"), F.concat(F.lit('\tboundary="'), boundary(level + 1, mark), F.lit('"')), F.lit("")
+            )
+        elif level == 0:
+            text = F.col(held[part])
+        else:
+            _, encoding, charset = sources[part]
+            head = _lines(
+                start, F.concat(F.lit("Content-Type: "), mime[part], F.lit("; charset="), charset),
+                F.when(encoding != "7bit", F.concat(F.lit("Content-Transfer-Encoding: "), encoding)), F.lit(""),
+            )
+            text = F.concat(head, F.col(held[part]), F.lit(CRLF + CRLF))
         # The preamble comes before the first part of every multipart message.
-        first = F.when((slot["pos"] == 1) & (level > 0), PREAMBLE).otherwise("")
-        closed = F.concat(F.lit(CRLF + "--"), boundary(level, mark), F.lit("--" + CRLF))
-        return F.when(slot["step"] > 0, closed).otherwise(F.concat(first, text))
-
-    zero = F.lit(0).cast("bigint")
-    lines = [
-        F.when(v.isNotNull(), _placed(F.lit(PLACES[n] - 100).cast("bigint"), zero, F.concat(F.lit(_line_start(PLACES[n]) + n + ": "), v)))
-        for n, v in values.items()
-    ]
-    gap = _placed(F.lit(-1).cast("bigint"), zero, F.lit(CRLF + CRLF))
-    shown = F.filter("slots", lambda s: (s["part"] != "text/calendar") | ~blank(F.col("ical")))
-    parts = F.transform(shown, lambda s: _placed(s["pos"], s["step"], piece(s)))
-    return rows.select("message_id", F.concat(F.array_compact(F.array(*lines)), F.array(gap), parts).alias("pieces"))
+        return F.concat(F.lit(PREAMBLE), text) if pos == 1 and level > 0 else text
+
+    def parts(slots: list[tuple[int, int, str, int]]) -> Column:
+        return F.array(*[_placed(pos, step, F.coalesce(piece(pos, step, part, level), F.lit(""))) for pos, step, part, level in slots])
+
+    shown = F.lit(None)
+    for kind, slots in _own_slots().items():
+        plain = [s for s in slots if s[2] != "text/calendar"]
+        made = parts(slots) if plain == slots else F.when(blank(F.col("ical")), parts(plain)).otherwise(parts(slots))
+        shown = F.when(F.col("message_type") == kind, made).otherwise(shown)
+    lines = F.filter(F.array(*[_placed(PLACES[n] - 100, 0, F.col(f"_line{PLACES[n]}")) for n in values]), lambda p: p["piece"].isNotNull())
+    gap = F.array(_placed(-1, 0, F.lit(CRLF + CRLF)))
+    return rows.select("message_id", F.concat(lines, gap, shown).alias("pieces"))
 
 
 def _line_start(place: int) -> str:

@@ -6,7 +6,7 @@ import email.policy
 import pytest
 from pyspark.sql import functions as F
 
-from postmill.operators.render import render_corpus
+from postmill.operators.render import own_texts, ready, render_corpus
 from postmill.sources.sinks import write_corpus
 
 LONG = "é" * 300 + " " + "word " * 300
@@ -122,3 +122,13 @@ def test_repeated_attachments_are_left_out(corpus):
     (row,) = render_corpus(*tables, files).collect()
     parts = [p.get_payload(decode=True) for p in parse(row.message).walk() if p.get_content_type() == "application/x-test"]
     assert sorted(parts) == sorted([b"z" * 100, b"x", b"differs"])
+
+
+def test_pieces_of_a_type_are_written_out(corpus):
+    """Spark compiles no function over array elements: only finished header lines go through one."""
+    _, _, (messages, _, _, attachments) = corpus
+    own = own_texts(ready(messages, attachments), host="h.example")
+    made = own._jdf.queryExecution().optimizedPlan().toString().split("AS pieces")[0]
+    assert "transform(" not in made and made.count("lambdafunction(") == 1
+    rows = own.collect()
+    assert len(rows) == len(CASES) and all(p.piece is not None for r in rows for p in r.pieces)
