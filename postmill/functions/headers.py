@@ -64,13 +64,15 @@ def _words(text: str, position: str, charset: str) -> str:
             return base64.b64encode(part.encode("utf-8")).decode("ascii")
         return "".join(chr(b) if b in plain else "_" if b == 32 else f"={b:02X}" for b in part.encode("utf-8"))
 
+    # A word's length is added up character by character: bytes for B, written characters for Q.
     room = 75 - 7 - len(charset)
-    words, part = [], ""
+    words, part, size = [], "", 0
     for char in text:
-        if part and len(encode(part + char)) > room:
+        own = len(char.encode("utf-8")) if scheme == "B" else len(encode(char))
+        if part and (-(-(size + own) // 3) * 4 if scheme == "B" else size + own) > room:
             words.append(part)
-            part = ""
-        part += char
+            part, size = "", 0
+        part, size = part + char, size + own
     words.append(part)
     return "\r\n ".join(f"=?{charset}?{scheme}?{encode(w)}?=" for w in words)
 

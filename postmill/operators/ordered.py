@@ -138,12 +138,15 @@ def ordered_concat(
         return F.least(F.lit(segment_rows), F.greatest(F.lit(1), F.ceil(F.octet_length(text) / F.lit(unit)))).cast("bigint")
 
     def joined(rows: DataFrame, keys: list[str], pieces: Column) -> DataFrame:
-        text = F.array_join(F.transform(F.array_sort(pieces), lambda p: p[piece]), separator).alias("text")
+        # sort_array and the field of all elements at once are compiled; array_sort and transform are not.
+        text = F.array_join(F.sort_array(pieces)[piece], separator).alias("text")
         return rows.repartition(*keys).groupBy(*keys).agg(text, *carry)
 
     single = F.collect_list(F.struct(*order, piece))
     if bundle:
-        shares = F.aggregate(bundle, F.lit(0).cast("bigint"), lambda n, p: n + share(p[piece]))
+        # No less than the sum of its pieces' shares: one each and one more for every ``unit`` bytes.
+        n_bytes = F.octet_length(F.array_join(F.col(bundle)[piece], ""))
+        shares = F.size(bundle).cast("bigint") + F.floor(n_bytes / F.lit(unit)).cast("bigint")
         named = stored(df.select(*group, bundle, shares.alias("_shares")))
         all_shares, gathered = F.col("_shares"), F.flatten(F.collect_list(bundle))
     else:

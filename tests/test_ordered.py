@@ -104,3 +104,10 @@ def test_bundled_pieces_are_cut_like_single_ones(rows):
     for limit in (60, 10_000):
         single = ordered_concat(rows, ["g"], ["seq"], "piece", ",", limit)
         assert sorted(single.collect()) == sorted(ordered_concat(bundled, ["g"], ["seq"], "piece", ",", limit, bundle="pieces").collect())
+
+
+def test_joining_is_compiled(rows):
+    """Spark compiles neither a sort by a function nor a function over array elements."""
+    bundled = rows.select("g", F.array(F.struct("seq", "piece")).alias("pieces"))
+    for got in (ordered_concat(rows, ["g"], ["seq"], "piece"), ordered_concat(bundled, ["g"], ["seq"], "piece", bundle="pieces")):
+        assert "lambdafunction(" not in got._jdf.queryExecution().optimizedPlan().toString()

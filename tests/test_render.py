@@ -1,11 +1,14 @@
 """Rendered messages are read back with the standard library's parser."""
 
+import base64
 import email
+import email.header
 import email.policy
 
 import pytest
 from pyspark.sql import functions as F
 
+from postmill.functions import headers as header_rules
 from postmill.operators.render import own_texts, ready, render_corpus
 from postmill.sources.sinks import write_corpus
 
@@ -132,3 +135,15 @@ def test_pieces_of_a_type_are_written_out(corpus):
     assert "transform(" not in made and made.count("lambdafunction(") == 1
     rows = own.collect()
     assert len(rows) == len(CASES) and all(p.piece is not None for r in rows for p in r.pieces)
+
+
+def test_header_words_are_encoded_once(monkeypatch):
+    """The length of a word is added up, not found by encoding it again with each character."""
+    calls = []
+    monkeypatch.setattr(header_rules.base64, "b64encode", lambda data, real=base64.b64encode: calls.append(data) or real(data))
+    for text in ("é" * 300, "日本語 and ünïcödé " * 20, "ab" * 40 + "é" * 5):
+        calls.clear()
+        written = header_rules._words(text, "text", "utf-8")
+        words = written.split("\r\n ")
+        assert all(len(w) <= 75 for w in words) and len(calls) in (0, len(words))
+        assert "".join(d.decode(c) for d, c in email.header.decode_header(written)) == text
