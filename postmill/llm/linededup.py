@@ -116,7 +116,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_
 
     A line's key is the line without white space at its ends and with A-Z in lower case. Null and empty texts are one empty
     line, whose key is too short to count. Rows with one doc_id (null is one) are one document when lines are counted, and each
-    keeps its own rest. An empty table gives no rows; all other columns pass through.
+    keeps its own rest. An empty table gives no rows; all other columns pass through, but for those of these two names, which give way.
     """
     ids = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     common = common_lines(docs.select(ids.alias("doc_id"), text_of("text").alias("text")), min_docs, min_chars, **settings)
@@ -134,7 +134,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_
     both = named.join(gone, ["_m1", "_m2"], "left")
     fields = [
         F.when(F.col("_gone").isNull(), F.col("_row.text")).otherwise(F.array_join(without_lines(cut, F.col("_gone")), "\n")).alias("text")
-        if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns
+        if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns if c not in ("_n_lines", "_n_dropped")
     ]
     return both.select(
         *fields, F.size(cut).cast("bigint").alias("_n_lines"),
