@@ -105,6 +105,19 @@ def parted(df: DataFrame, group: Sequence[str], large: DataFrame | None) -> tupl
     return df.join(named, same, "left_anti"), df.join(named, same, "left_semi")
 
 
+def whole_texts(
+    rows: DataFrame, group: Sequence[str], order: Sequence[str], piece: str, separator: str = "", carry: Sequence[Column] = (), bundle: str | None = None
+) -> DataFrame:
+    """``group..., text, carry...``: the pieces of each group joined in order, a group in one task.
+
+    Rows that lie by the group, or by some of its columns, stay where they are. ``bundle`` is as in ``ordered_concat``, which is for
+    groups that can be large.
+    """
+    gathered = F.flatten(F.collect_list(bundle)) if bundle else F.collect_list(F.struct(*order, F.coalesce(F.col(piece), F.lit("")).alias(piece)))
+    # sort_array and the field of all elements at once are compiled; array_sort and transform are not.
+    return rows.groupBy(*group).agg(F.array_join(F.sort_array(gathered)[piece], separator).alias("text"), *carry)
+
+
 def ordered_concat(
     df: DataFrame,
     group: Sequence[str],
@@ -137,31 +150,28 @@ def ordered_concat(
     def share(text: Column) -> Column:
         return F.least(F.lit(segment_rows), F.greatest(F.lit(1), F.ceil(F.octet_length(text) / F.lit(unit)))).cast("bigint")
 
-    def joined(rows: DataFrame, keys: list[str], pieces: Column) -> DataFrame:
-        # sort_array and the field of all elements at once are compiled; array_sort and transform are not.
-        text = F.array_join(F.sort_array(pieces)[piece], separator).alias("text")
-        return rows.repartition(*keys).groupBy(*keys).agg(text, *carry)
+    def joined(rows: DataFrame, keys: list[str], bundle: str | None = None) -> DataFrame:
+        return whole_texts(rows.repartition(*keys), keys, order, piece, separator, carry, bundle)
 
-    single = F.collect_list(F.struct(*order, piece))
     if bundle:
         # No less than the sum of its pieces' shares: one each and one more for every ``unit`` bytes.
         n_bytes = F.octet_length(F.array_join(F.col(bundle)[piece], ""))
         shares = F.size(bundle).cast("bigint") + F.floor(n_bytes / F.lit(unit)).cast("bigint")
         named = stored(df.select(*group, bundle, shares.alias("_shares")))
-        all_shares, gathered = F.col("_shares"), F.flatten(F.collect_list(bundle))
+        all_shares = F.col("_shares")
     else:
         named = df.withColumn(piece, F.coalesce(F.col(piece), F.lit("")))
-        all_shares, gathered = share(F.col(piece)), single
+        all_shares = share(F.col(piece))
     zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
     small, large = parted(named, group, large_groups(named, group, all_shares, segment_rows))
-    whole = joined(small, group, gathered).withColumn("segment", zero).withColumn("segments", one)
+    whole = joined(small, group, bundle).withColumn("segment", zero).withColumn("segments", one)
     if large is None:
         return whole
     if bundle:
         large = large.select(*group, F.inline(bundle))
     placed = running_total(in_ranges(large, group, order, "_range"), group, order, share(F.col(piece)), "_place", "_range")
     cut = placed.withColumn("_cut", F.floor(F.col("_place") / segment_rows))
-    parts = joined(cut, [*group, "_cut"], single)
+    parts = joined(cut, [*group, "_cut"])
     # A segment's number counts the cuts before it: one row per segment.
     along = Window.partitionBy(*group)
     numbered = parts.withColumn("segment", (F.row_number().over(along.orderBy("_cut")) - 1).cast("bigint")).withColumn(

@@ -15,7 +15,7 @@ from postmill.functions.address import PATTERNS, address_key, ascii_address, dom
 from postmill.functions.arrays import bound, settled
 from postmill.functions.headers import phrase
 from postmill.functions.text import blank, has_break, secured, trimmed
-from postmill.operators.ordered import SEGMENT, in_ranges, ordered_concat, running_total
+from postmill.operators.ordered import SEGMENT, in_ranges, ordered_concat, running_total, whole_texts
 from postmill.session import stored
 
 ORDER = ("kind_rank", "seq", "t1", "t2", "address")
@@ -172,26 +172,55 @@ def recipient_headers(
     undisclosed-recipients line; give ``messages`` to include those without any row here. A header of more than
     ``segment_rows`` addresses is given as several segments, to be joined by ``', '``.
     """
+    held = address_entries(df, order, transport)
+    return address_lines(held, order, segment_rows, messages)
+
+
+def address_entries(df: DataFrame, order: Sequence[str] = ORDER, transport: str = "smtp") -> DataFrame:
+    """``message_id, kind, order..., label, entry``: each recipient as ``recipient_headers`` writes it, stored once; ``label`` and ``entry`` are
+    null for kinds that are not written.
+
+    What makes the rows (cleaning, checks, duplicates, formatting) is not worked out again for each use.
+    """
     shown = ["cc", REPLY_TO] + (["to"] if transport != "mail" else [])
     shown += ["bcc"] if transport in ("sendmail", "qmail", "mail") else []
-    label = F.initcap("kind")
-    # Stored once: what makes the rows (cleaning, checks, duplicates, formatting) is not worked out again for each use.
     # A name is secured in a column of its own, not in a function over an array as in ``formatted``: Spark compiles none of those.
     named = settled(df.withColumn("_name", secured(F.col("name"))), "_name")
     address = secured(F.col("address"))
     written = F.when(blank(F.col("name")), address).otherwise(F.concat(phrase(F.col("_name")), F.lit(" <"), address, F.lit(">")))
-    entry = F.when(F.col("kind").isin(*shown), written)
-    held = stored(named.select(*{c: None for c in ["message_id", "kind", *order]}, entry.alias("entry")))
-    entries = held.filter(F.col("kind").isin(*shown)).withColumn("label", F.when(_namespace(), REPLY_TO).otherwise(label))
-    lines = ordered_concat(
-        entries, ["message_id", "label"], order, "entry", ", ", segment_rows
-    ).select(
+    is_shown = F.col("kind").isin(*shown)
+    label = F.when(is_shown, F.when(_namespace(), REPLY_TO).otherwise(F.initcap("kind")))
+    return stored(
+        named.select(*{c: None for c in ["message_id", "kind", *order]}, label.alias("label"), F.when(is_shown, written).alias("entry"))
+    )
+
+
+def address_lines(
+    entries: DataFrame,
+    order: Sequence[str] = ORDER,
+    segment_rows: int = SEGMENT,
+    messages: DataFrame | None = None,
+    together: bool = False,
+) -> DataFrame:
+    """The lines of ``recipient_headers`` from ``address_entries``.
+
+    ``together`` says that no header makes more than one segment. Then all rows of a message go to one task, from which its lines, and
+    what they are joined with by message, need no other shuffle.
+    """
+    columns = ["message_id", "label"], order, "entry", ", "
+    written = entries.filter("label is not null")
+    if together:
+        zero = F.lit(0).cast("bigint")
+        texts = whole_texts(written.repartition("message_id"), *columns).withColumn("segment", zero)
+    else:
+        texts = ordered_concat(written, *columns, segment_rows)
+    lines = texts.select(
         "message_id",
         F.col("label").alias("kind"),
         "segment",
         F.when(F.col("segment") == 0, F.concat("label", F.lit(": "), "text")).otherwise(F.col("text")).alias("header"),
     )
-    open_to = held.groupBy("message_id").agg(F.coalesce(F.bool_or(F.col("kind").isin("to", "cc")), F.lit(False)).alias("_open"))
+    open_to = entries.groupBy("message_id").agg(F.coalesce(F.bool_or(F.col("kind").isin("to", "cc")), F.lit(False)).alias("_open"))
     if messages is not None:
         open_to = messages.select("message_id").distinct().join(open_to, "message_id", "left")
     hidden = open_to.filter(~F.coalesce("_open", F.lit(False))).select(

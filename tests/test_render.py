@@ -9,7 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from postmill.functions import headers as header_rules
+from postmill.operators import ordered, recipients, render
 from postmill.operators.render import own_texts, ready, render_corpus
+from postmill.session import stored
 from postmill.sources.sinks import write_corpus
 
 LONG = "é" * 300 + " " + "word " * 300
@@ -147,3 +149,54 @@ def test_header_words_are_encoded_once(monkeypatch):
         words = written.split("\r\n ")
         assert all(len(w) <= 75 for w in words) and len(calls) in (0, len(words))
         assert "".join(d.decode(c) for d, c in email.header.decode_header(written)) == text
+
+
+def test_texts_are_neither_shuffled_nor_stored(corpus, monkeypatch):
+    """What goes into a message meets as it is given: nothing moves once texts are made, and none is written to be joined."""
+    _, _, tables = corpus
+    kept = []
+
+    def watched(df):
+        kept.append(df.columns)
+        return stored(df)
+
+    for module in (ordered, recipients, render):
+        monkeypatch.setattr(module, "stored", watched, raising=False)
+    rendered = render_corpus(*tables, host="h.example")
+    plan = rendered._jdf.queryExecution().executedPlan().toString()
+    joined, _, made = plan.partition("Union")
+    assert made and "Exchange" not in joined
+    assert kept and not {"piece", "pieces", "text"} & {c for columns in kept for c in columns}
+
+
+def test_a_message_is_cut_as_by_ranges_alone(corpus):
+    """Whether a message can be large is told from what goes into it, and holds for messages that are there twice or have no id."""
+    names, _, (messages, to, headers, attachments) = corpus
+    at = names.index("inline_attach")
+    files = attachments.withColumns({"seq": F.explode(F.sequence(F.lit(1), F.lit(4))), "name": F.concat(F.col("name"), F.col("seq").cast("string"))})
+
+    def more(table):
+        own = table.filter(F.col("message_id") == at)
+        return table.unionByName(own.withColumn("message_id", F.lit(None).cast("bigint")))
+
+    tables = more(messages).unionByName(messages.filter(F.col("message_id") == at)), more(to), more(headers), more(files)
+    entries = render._entries(tables[1])
+    pieces = render._pieces(tables[0], entries, tables[2], tables[3], together=False)
+    want = ordered.ordered_concat(pieces, ["message_id"], render.PIECE_ORDER, "piece", "", 40, bundle="pieces")
+    want = want.select("message_id", "segment", F.col("text").alias("message")).collect()
+    assert max(r.segment for r in want) > 0 and len({r.message_id for r in want}) == len(names) + 1
+    assert sorted(render_corpus(*tables, segment_rows=40).collect(), key=str) == sorted(want, key=str)
+    large = render._large_messages(tables[0], entries, tables[2], tables[3], 60)
+    assert at in {r.message_id for r in large.collect()}
+    assert render._large_messages(tables[0], entries, tables[2], tables[3], 20_000) is None
+
+
+def test_quoted_files_are_told_apart_as_they_are_given(corpus):
+    """Contents that differ in their breaks alone are sent alike, and are two files; names in 8 bits are sent as words."""
+    names, _, (messages, to, headers, attachments) = corpus
+    one = F.col("message_id") == names.index("inline_attach")
+    file = attachments.filter(one & (F.col("disposition") == "attachment"))
+    files = [file.withColumns({"seq": F.lit(n).cast("bigint"), "content": F.lit(c)}) for n, c in ((1, b"\xc3\xbc\r\n"), (2, b"\xc3\xbc\n"), (3, b"\xc3\xbc\n"))]
+    (row,) = render_corpus(*[t.filter(one) for t in (messages, to, headers)], files[0].unionByName(files[1]).unionByName(files[2])).collect()
+    parts = [p for p in parse(row.message).walk() if p.get_content_type() == "application/x-test"]
+    assert [(p.get_filename(), p.get_payload(decode=True).rstrip(b"\r\n")) for p in parts] == [("naïve.txt", "ü".encode())] * 2
