@@ -173,7 +173,8 @@ def test_a_message_is_cut_as_by_ranges_alone(corpus):
     """Whether a message can be large is told from what goes into it, and holds for messages that are there twice or have no id."""
     names, _, (messages, to, headers, attachments) = corpus
     at = names.index("inline_attach")
-    files = attachments.withColumns({"seq": F.explode(F.sequence(F.lit(1), F.lit(4))), "name": F.concat(F.col("name"), F.col("seq").cast("string"))})
+    files = attachments.withColumn("seq", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(20).cast("bigint"))))
+    files = files.withColumn("name", F.concat("name", F.col("seq").cast("string")))
 
     def more(table):
         own = table.filter(F.col("message_id") == at)
@@ -182,10 +183,10 @@ def test_a_message_is_cut_as_by_ranges_alone(corpus):
     tables = more(messages).unionByName(messages.filter(F.col("message_id") == at)), more(to), more(headers), more(files)
     entries = render._entries(tables[1])
     pieces = render._pieces(tables[0], entries, tables[2], tables[3], together=False)
-    want = ordered.ordered_concat(pieces, ["message_id"], render.PIECE_ORDER, "piece", "", 40, bundle="pieces")
+    want = ordered.ordered_concat(pieces, ["message_id"], render.PIECE_ORDER, "piece", "", 50, bundle="pieces")
     want = want.select("message_id", "segment", F.col("text").alias("message")).collect()
     assert max(r.segment for r in want) > 0 and len({r.message_id for r in want}) == len(names) + 1
-    assert sorted(render_corpus(*tables, segment_rows=40).collect(), key=str) == sorted(want, key=str)
+    assert sorted(render_corpus(*tables, segment_rows=50).collect(), key=str) == sorted(want, key=str)
     large = render._large_messages(tables[0], entries, tables[2], tables[3], 60)
     assert at in {r.message_id for r in large.collect()}
     assert render._large_messages(tables[0], entries, tables[2], tables[3], 20_000) is None
